@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .functions.arrays import computed_once, offsets
+from .functions.arrays import computed_once, offsets, span
 from .operators.lattice import (
     KEY_ANALYSIS_SCORE, KEY_FEATURE_SCORE, KEY_LM_SCORE, KEY_NORMAL_FORM, KEY_RANKS, KEY_UNKNOWN_WORD,
-    parse_lattice,
+    TOKEN_KEY, parse_lattice,
 )
-from .sources.scratch import spread
+from .operators.vocab import freq_ranks
+from .plans.dictionary import dictionaries as dictionary_job
+from .sources.scratch import materialise, spread
 
 SID = ["doc_id", "line_no"]
 RIVAL_MIN = 6
@@ -27,7 +29,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, line): lines with at least one token, numbered before empty ones are dropped."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return cut.select("doc_id", (F.col("p") + 1).alias("line_no"), "line").filter(F.trim("line") != "")
+    return cut.select("doc_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line").filter(F.trim("line") != "")
 
 
 def pieces(line: Column) -> Column:
@@ -59,7 +61,7 @@ def token_structs(line: Column) -> Column:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per token."""
     src = lines(spark, sf_dir).select(*SID, F.posexplode(token_structs(F.col("line"))).alias("p", "t"))
-    return src.select(*SID, (F.col("p") + 1).alias("tok_no"), "t.*")
+    return src.select(*SID, (F.col("p") + 1).cast("bigint").alias("tok_no"), "t.*")
 
 
 def _code(value: Column, codes: dict[str, int]) -> Column:
@@ -71,13 +73,14 @@ def _code(value: Column, codes: dict[str, int]) -> Column:
 
 def _node_line(t: Column, tok_no: Column, node_id: Column, rank: int, pos: Column) -> Column:
     low = F.lower(t["surface"])
+    safe = F.translate(low, "|", "/")
     score = F.concat(F.lit("-"), F.pmod(tok_no, F.lit(100)).cast("string"), F.lit(".25"))
     lm = F.when(t["ctype"] == "cap", F.concat(F.lit(f"|{KEY_LM_SCORE}:-"), t["n"].cast("string"), F.lit(".5")))
     unknown = F.when((pos == "mixed") & F.lit(rank == 1), f"|{KEY_UNKNOWN_WORD}")
     features = F.concat(
         F.lit(f"{KEY_FEATURE_SCORE}:"), t["n"].cast("string"), F.lit(".5"), F.coalesce(lm, F.lit("")),
         F.lit(f"|{KEY_ANALYSIS_SCORE}:"), score, F.coalesce(unknown, F.lit("")),
-        F.lit(f"|{KEY_NORMAL_FORM}:"), low, F.lit("/"), low, F.lit(f"|{KEY_RANKS}:{rank}"),
+        F.lit(f"|{KEY_NORMAL_FORM}:"), safe, F.lit("/"), safe, F.lit(f"|{KEY_RANKS}:{rank}"),
     )
     prev = F.when(tok_no == 1, F.lit(0)).otherwise(2 * tok_no - 3)
     return F.concat_ws(
@@ -112,3 +115,56 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed dumps: (doc_id, line_no, comment, nodes)."""
     return parse_lattice(dumps(spark, sf_dir)).filter(F.col("reason").isNull()).drop("reason")
+
+
+_TABLES: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(characters by code, tags) of the table, as the dictionary job leaves them: counted once per
+    application and read from its output afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _, by_code, tags = dictionary_job(sentences(spark, sf_dir))
+        _TABLES[key] = (materialise(by_code, "chars"), materialise(tags, "tags"))
+    return _TABLES[key]
+
+
+def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, text): a line's tokens without the blanks between them."""
+    return lines(spark, sf_dir).select(*SID, F.array_join(pieces(F.col("line")), "").alias("text"))
+
+
+def flip(seg: Column, place: Column) -> Column:
+    """A predicted segmentation tag: gold, except 1 -> 2 and others -> 1 at scattered places."""
+    wrong = F.pmod(F.col("doc_id") * 31 + F.col("line_no") * 17 + place * 7, F.lit(13)) == 0
+    return F.when(~wrong, seg).otherwise(F.when(seg == 1, 2).otherwise(1))
+
+
+def gold_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, gold, pred): segmentation tags of the joined text as arrays."""
+    gold = F.flatten(
+        F.transform(
+            pieces(F.col("line")),
+            lambda t: F.transform(
+                span(F.length(t)),
+                lambda i: F.when(i == 0, 1).when(i == F.length(t) - 1, 3).otherwise(2),
+            ),
+        )
+    )
+    rows = computed_once(lines(spark, sf_dir).select(*SID, "line"), gold=gold)
+    return rows.select(*SID, "gold", F.transform("gold", lambda g, i: flip(g, i + 1)).alias("pred"))
+
+
+def token_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A difficulty dictionary: the seven key columns and ``rank`` of every token seen at least twice."""
+    low = F.lower("surface")
+    keyed = tokens(spark, sf_dir).select(
+        "surface", low.alias("reading"), low.alias("dicform"), "pos", "subpos", "ctype", "cform"
+    )
+    counts = keyed.groupBy(*TOKEN_KEY).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > 1)
+    counts = counts.withColumn("token", F.concat_ws("|", *TOKEN_KEY))
+    return freq_ranks(counts, NUM_TOP, NUM_BUCKETS).select(*TOKEN_KEY, "rank")
+
+
+NUM_TOP, NUM_BUCKETS = 30, 12

@@ -11,7 +11,7 @@ from ..functions.arrays import bind, computed_once, empty_array, running_fold, s
 from ..functions.hashing import uniform
 from ..functions.text import codepoints, is_full_width, zen2han
 from .lattice import KEY_UNKNOWN_WORD
-from .lookup import BOS, EOS, UNK, char_id, char_table, tag_id, tag_table
+from .lookup import BOS, EOS, UNK, char_id, char_table, tag_id, tag_lists, text_table
 
 # Segmentation tags and the order of the tag kinds in an example.
 SEG_IDS = {"B": 1, "I": 2, "E": 3}
@@ -156,7 +156,8 @@ def resolve_tags(nodes: Column, length: Column, tables: dict[str, Column]) -> Co
 
 
 def tag_tables(tags: DataFrame) -> dict[str, Column]:
-    return {k: tag_table(tags, k) for k in TAG_KINDS}
+    lists = tag_lists(tags)
+    return {k: text_table(lists.get(k, [])) for k in TAG_KINDS}
 
 
 def encode_sentences(

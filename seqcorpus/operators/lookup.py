@@ -68,32 +68,37 @@ def gold_pred_join(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> Dat
     return gold.join(pred, list(keys), "inner")
 
 
+def number_table(values: Sequence[int | float], as_type: str = "int") -> Column:
+    """A constant array; the optimizer folds it to one literal before any task starts."""
+    if not values:
+        return F.array().cast(f"array<{as_type}>")
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{as_type}>")
+
+
+def text_table(values: Sequence[str]) -> Column:
+    return F.split(F.lit("\x01".join(values)), "\x01") if values else F.array().cast("array<string>")
+
+
 def char_table(chars: DataFrame, default: int = UNK) -> Column:
-    """The character dictionary ``(ch, id)`` as one array indexed by codepoint.
+    """The character dictionary ``(ch, id)`` as one constant array indexed by codepoint.
 
-    A scalar sub-query: Spark runs it once and every task sees the finished array. Its length is the
-    largest known codepoint plus one, so Unicode bounds it.
+    Sub-queries are not allowed inside higher-order functions, so the dictionary is fetched: a finished
+    table of at most one small row per codepoint, which Unicode bounds.
     """
-    known = chars.select(F.ascii("ch").cast("bigint").alias("cp"), F.col("id").cast("int").alias("id"))
-    top = known.agg(F.max("cp")).scalar()
-    slots = (
-        chars.sparkSession.range(CODEPOINT_LIMIT).withColumnRenamed("id", "cp")
-        .filter(F.col("cp") <= top)
-        .join(known, "cp", "left")
-    )
-    pairs = F.sort_array(F.collect_list(F.struct("cp", F.coalesce("id", F.lit(default)).alias("id"))))
-    return slots.agg(pairs.getField("id").alias("table")).scalar()
+    known = {r[0]: r[1] for r in chars.select(F.ascii("ch"), F.col("id").cast("int")).collect()}
+    return number_table([known.get(c, default) for c in range(max(known, default=0) + 1)])
 
 
 def char_id(table: Column, ch: Column, default: int = UNK) -> Column:
     return F.coalesce(F.get(table, F.ascii(ch)), F.lit(default))
 
 
-def tag_table(tags: DataFrame, kind: str) -> Column:
-    """Tags of one kind in id order, as one array (a dictionary capped per kind by its builder)."""
-    rows = tags.filter(F.col("kind") == kind)
-    ordered = F.sort_array(F.collect_list(F.struct("id", "tag")))
-    return rows.agg(ordered.getField("tag").alias("labels")).scalar()
+def tag_lists(tags: DataFrame) -> dict[str, list[str]]:
+    """Tags of every kind in id order (dictionaries are capped per kind by their builder)."""
+    lists: dict[str, list[str]] = {}
+    for kind, tag, _ in sorted(tags.select("kind", "tag", "id").collect(), key=lambda r: (r[0], r[2])):
+        lists.setdefault(kind, []).append(tag)
+    return lists
 
 
 def tag_id(table: Column, tag: Column) -> Column:

@@ -140,16 +140,16 @@ def tag_accuracy(df: DataFrame, gold: str, pred: str, kinds: Sequence[str]) -> D
         F.col(gold), F.col(pred), lambda g, p: F.when(g == 0, 0).when(g == p, 3).otherwise(1)
     )
     marked = computed_once(df, __hits=hits)
-    per_kind = []
-    for k, kind in enumerate(kinds):
-        cells = F.filter("__hits", lambda _, i, k=k: i % width == k)
-        per_kind.append(
-            F.struct(
-                F.lit(kind).alias("kind"),
-                _count(cells, lambda c: c > 0).alias("labels"),
-                _count(cells, lambda c: c == 3).alias("hits"),
-            )
+
+    def of_kind(k: int, kind: str) -> Column:
+        cells = F.filter("__hits", lambda _, i: i % width == k)
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            _count(cells, lambda c: c > 0).alias("labels"),
+            _count(cells, lambda c: c == 3).alias("hits"),
         )
+
+    per_kind = [of_kind(k, kind) for k, kind in enumerate(kinds)]
     sums = marked.select(F.inline(F.array(*per_kind))).groupBy("kind").agg(
         F.sum("labels").alias("labels"), F.sum("hits").alias("hits")
     )

@@ -21,14 +21,16 @@ SUBSAMPLE_RATE = 1e-5
 def counted_values(nodes: Column) -> Column:
     """All (kind, value) pairs of a sentence: characters of rank-1 nodes, tags of every node."""
     chars = F.flatten(F.transform(F.filter(nodes, is_top), lambda n: codepoints(n["surface"])))
-    pairs = [
-        F.transform(chars, lambda c: F.struct(F.lit(CHAR_KIND).alias("kind"), c.alias("value"))),
-        *[
-            F.transform(nodes, lambda n, f=f, k=k: F.struct(F.lit(k).alias("kind"), n[f].alias("value")))
-            for k, f in COUNTED.items()
-        ],
-    ]
-    return F.concat(*pairs)
+
+    def pair(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    def tags(kind: str, field: str) -> Column:
+        return F.transform(nodes, lambda n: pair(kind, n[field]))
+
+    return F.concat(
+        F.transform(chars, lambda c: pair(CHAR_KIND, c)), *[tags(k, f) for k, f in COUNTED.items()]
+    )
 
 
 def feature_counts(df: DataFrame, nodes: str = "nodes") -> DataFrame:
