@@ -6,7 +6,7 @@ lattice nodes, as an analyser's dump would hold them. The whole table is used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .functions.arrays import computed_once, offsets, span
 from .operators.lattice import (
@@ -168,3 +168,7 @@ def token_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NUM_TOP, NUM_BUCKETS = 30, 12
+
+
+def by_document() -> W:
+    return W.partitionBy("doc_id")

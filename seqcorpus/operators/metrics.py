@@ -59,7 +59,7 @@ def span_matches(cells: Column) -> Column:
 
 
 def seg_counts(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """One row: sentences, both, gold_only, pred_only, matched, aligned."""
+    """One row: sentences, shared, gold_only, pred_only, matched, aligned."""
     cells = computed_once(df, __cells=_cells(F.col(gold), F.col(pred)))
     per_row = computed_once(
         cells,
@@ -70,7 +70,7 @@ def seg_counts(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFra
     )
     return per_row.agg(
         F.count("*").alias("sentences"),
-        F.coalesce(F.sum("__both"), F.lit(0)).alias("both"),
+        F.coalesce(F.sum("__both"), F.lit(0)).alias("shared"),
         F.coalesce(F.sum("__gold"), F.lit(0)).alias("gold_only"),
         F.coalesce(F.sum("__pred"), F.lit(0)).alias("pred_only"),
         F.coalesce(F.sum("__spans.matched"), F.lit(0)).alias("matched"),
@@ -101,7 +101,7 @@ def prf_den(
 
 def seg_boundary_prf(counts: DataFrame) -> DataFrame:
     """the first B of every sentence is free and does not count."""
-    return prf(counts, F.col("both"), F.col("pred_only"), F.col("gold_only"), F.col("sentences"))
+    return prf(counts, F.col("shared"), F.col("pred_only"), F.col("gold_only"), F.col("sentences"))
 
 
 def seg_token_prf(counts: DataFrame, strict: bool = False) -> DataFrame:
@@ -109,13 +109,13 @@ def seg_token_prf(counts: DataFrame, strict: bool = False) -> DataFrame:
     by default one is added per sentence, with ``strict`` only where the last B's coincide."""
     bonus = F.col("aligned") if strict else F.col("sentences")
     return prf_den(
-        counts, F.col("matched"), F.col("both") + F.col("pred_only"), F.col("both") + F.col("gold_only"), -bonus
+        counts, F.col("matched"), F.col("shared") + F.col("pred_only"), F.col("shared") + F.col("gold_only"), -bonus
     )
 
 
 def batch_seg_prf(counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """F16: the training-time variant with floors instead of guards in the quotients."""
-    tp = F.greatest(F.col("both") - F.col("sentences"), F.lit(0))
+    tp = F.greatest(F.col("shared") - F.col("sentences"), F.lit(0))
     fp, fn = F.greatest(F.col("pred_only"), F.lit(1)), F.greatest(F.col("gold_only"), F.lit(1))
     rated = counts.select(*keep, tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).withColumn(
         "precision", F.col("tp") / (F.col("tp") + F.col("fp"))

@@ -22,7 +22,7 @@ def _fields(value: Column) -> Column:
 
 
 def _is_count(text: Column) -> Column:
-    return text.rlike("^[+-]?[0-9]+$")
+    return text.rlike("^[+-]?[0-9]+$") & text.try_cast("bigint").isNotNull()
 
 
 def read_dict_tsv(
