@@ -19,46 +19,30 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running_fold(
-    arr: Column,
-    zero: Column,
-    step: Callable[[Column, Column], Column],
-    emit: Callable[[Column, Column], Column],
-    element_type: str,
-    finish: Callable[[Column], Column] | None = None,
-    chunk: int = 64,
-) -> Column:
-    """Fold ``arr`` from the left inside one row and collect what ``emit`` yields.
-
-    ``step(state, x)`` gives the next state, ``emit(state, x)`` an array (possibly empty) seen from
-    the state *before* ``x``; ``finish(state)`` may yield a last array. Output is gathered in
-    chunks, so a row of n elements copies about n * chunk / 2 items instead of n * n / 2.
-    """
-    nothing = empty_array(element_type)
-    none_done = F.array().cast(f"array<array<{element_type}>>")
-    start = F.struct(zero.alias("state"), nothing.alias("open"), none_done.alias("closed"))
-
-    def merge(acc: Column, x: Column) -> Column:
-        full = F.size(acc["open"]) >= chunk
-        new = emit(acc["state"], x)
-        return F.struct(
-            step(acc["state"], x).alias("state"),
-            F.when(full, new).otherwise(F.concat(acc["open"], new)).alias("open"),
-            F.when(full, F.array_append(acc["closed"], acc["open"])).otherwise(acc["closed"]).alias("closed"),
-        )
-
-    def done(acc: Column) -> Column:
-        body = F.flatten(F.array_append(acc["closed"], acc["open"]))
-        return body if finish is None else F.concat(body, finish(acc["state"]))
+def offsets(lengths: Column, block: int = 64) -> Column:
+    """Exclusive running sum of an int array: where each element starts.
 
-    return F.aggregate(arr, start, merge, done)
+    ``aggregate`` copies its whole state at every step, so a growing array in it costs n * n. Here sums
+    of blocks are added up first and every element then adds the part of its own block.
+    """
 
+    def total(arr: Column) -> Column:
+        return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
+
+    def with_blocks(values: Column) -> Column:
+        count = F.ceil(F.size(values) / block).cast("int")
+        sums = F.transform(span(count), lambda b: total(F.slice(values, b * block + 1, F.lit(block))))
+        before = bind(sums, lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b))))
+        return bind(
+            before,
+            lambda p: F.transform(
+                values,
+                lambda _, i: F.get(p, F.floor(i / block).cast("int"))
+                + total(F.slice(values, i - i % block + 1, i % block)),
+            ),
+        )
 
-def offsets(lengths: Column) -> Column:
-    """Exclusive running sum of an int array: where each element starts."""
-    return running_fold(
-        lengths, F.lit(0), lambda s, x: s + x, lambda s, _: F.array(s), "int"
-    )
+    return bind(lengths, with_blocks)
 
 
 def array_total(arr: Column, as_type: str = "bigint") -> Column:

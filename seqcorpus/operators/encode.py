@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import bind, computed_once, empty_array, running_fold, span
+from ..functions.arrays import bind, computed_once, empty_array, span
 from ..functions.hashing import uniform
 from ..functions.text import codepoints, is_full_width, zen2han
 from .lattice import KEY_UNKNOWN_WORD
@@ -120,39 +120,47 @@ def char_tag_rows(nodes: Column, tables: dict[str, Column]) -> Column:
 def resolve_tags(nodes: Column, length: Column, tables: dict[str, Column]) -> Column:
     """flat ``(length + 2) x 5`` ids; a tag stands only where all covering nodes agree.
 
-    Cells are sorted by character and folded, so a sentence costs n log n and is not shuffled. A
-    disagreement is kept as -1 until the character is complete.
+    Cells are sorted by character; the cells of one character are then neighbours and are compared
+    with its first one. A sentence costs n log n and is not shuffled.
     """
     kinds = ["seg", *TAG_KINDS]
-    cells = F.sort_array(char_tag_rows(nodes, tables))
 
     def zeros(n: Column | int) -> Column:
         return F.array_repeat(F.lit(0), F.lit(n) if isinstance(n, int) else n)
 
-    def settled(s: Column) -> Column:
-        return F.when(s["at"] < 0, empty_array("int")).otherwise(
-            F.array(*[F.greatest(s[k], F.lit(0)) for k in kinds])
+    def settle(cells: Column) -> Column:
+        heads = F.filter(
+            span(F.size(cells)),
+            lambda i: (i == 0) | (F.get(cells, i - 1)["at"] != F.get(cells, i)["at"]),
         )
 
-    def step(s: Column, x: Column) -> Column:
-        same = x["at"] == s["at"]
-        merged = [F.when(~same | (s[k] == x[k]), x[k]).otherwise(F.lit(-1)).alias(k) for k in kinds]
-        return F.struct(x["at"].alias("at"), *merged)
+        def one(s: Column, e: Column) -> Column:
+            head, rivals = F.get(cells, s), F.slice(cells, s + 2, e - s - 1)
+
+            def agreed(kind: str) -> Column:
+                return F.when(F.exists(rivals, lambda r: r[kind] != head[kind]), 0).otherwise(head[kind])
+
+            alone = F.array(*[head[k] for k in kinds])
+            tags = F.when(e - s == 1, alone).otherwise(F.array(*[agreed(k) for k in kinds]))
+            gap = head["at"] - F.coalesce(F.get(cells, s - 1)["at"], F.lit(-1)) - 1
+            return F.when(gap == 0, tags).otherwise(F.concat(zeros(gap * NUM_TAGS), tags))
+
+        return bind(
+            heads,
+            lambda h: F.flatten(
+                F.zip_with(h, F.concat(F.slice(h, F.lit(2), F.size(h)), F.array(F.size(cells))), one)
+            ),
+        )
 
-    def emit(s: Column, x: Column) -> Column:
-        gap = (x["at"] - s["at"] - 1) * NUM_TAGS
-        return F.when(x["at"] == s["at"], empty_array("int")).when(gap == 0, settled(s)).otherwise(
-            F.concat(settled(s), zeros(gap))
+    def filled(body: Column) -> Column:
+        inner = length * NUM_TAGS
+        return F.when(F.size(body) == inner, body).otherwise(
+            F.slice(F.concat(body, zeros(inner)), F.lit(1), inner)
         )
 
-    start = F.struct(F.lit(-1).alias("at"), *[F.lit(0).alias(k) for k in kinds])
-    body = running_fold(cells, start, step, emit, "int", finish=settled)
-    inner = length * NUM_TAGS
-    sized = bind(
-        body,
-        lambda b: F.when(F.size(b) == inner, b).otherwise(F.slice(F.concat(b, zeros(inner)), F.lit(1), inner)),
-    )
-    return F.concat(zeros(NUM_TAGS), sized, zeros(NUM_TAGS)).cast("array<bigint>")
+    cells = F.sort_array(char_tag_rows(nodes, tables))
+    body = bind(cells, lambda c: F.when(F.size(c) == 0, empty_array("int")).otherwise(settle(c)))
+    return F.concat(zeros(NUM_TAGS), bind(body, filled), zeros(NUM_TAGS)).cast("array<bigint>")
 
 
 def tag_tables(tags: DataFrame) -> dict[str, Column]:

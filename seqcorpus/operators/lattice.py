@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import bind, computed_once, empty_array, running_fold
+from ..functions.arrays import bind, computed_once, empty_array, span
 
 # The feature keys of the analyser's dump format.
 KEY_FEATURE_SCORE = "特徴量スコア"
@@ -49,46 +49,49 @@ def _last_value(features: Column, key: str) -> Column:
     return bind(hits, lambda h: F.get(h, F.size(h) - 1)["value"])
 
 
+def _score(features: Column, key: str) -> Column:
+    """NaN where the feature is missing, NULL where it is no number."""
+    return bind(
+        _last_value(features, key),
+        lambda v: F.when(v.isNull(), F.lit(float("nan")).cast("float")).otherwise(v.try_cast("float")),
+    )
+
+
 def _node(line: Column) -> Column:
-    """One node from ``struct<f array<string>, features array<struct<key,value>>>``."""
+    """One node from ``struct<f array<string>, features array<struct<key,value>>>``; numbers that do
+    not parse become NULL."""
     f, features = line["f"], line["features"]
-    ranks = int_list(F.coalesce(_last_value(features, KEY_RANKS), F.lit("")))
-    scores = [_last_value(features, k).try_cast("float") for k in SPECIAL_KEYS[:3]]
+
+    def field(i: int) -> Column:
+        return F.get(f, F.lit(i))
+
     return F.struct(
-        _strict(f[COL_ID], "int").alias("node_id"),
-        int_list(f[COL_PREV]).alias("prev"),
-        _strict(f[COL_START], "int").alias("start"),
-        (_strict(f[COL_END], "int") + 1).alias("end"),
-        f[COL_SURFACE].alias("surface"),
-        f[COL_CANONICAL].alias("canonical"),
-        f[COL_READING].alias("reading"),
-        f[COL_DICFORM].alias("dicform"),
-        *[f[c].alias(n) for c, n in zip(COL_TAGS, TOKEN_KEY[3:])],
-        *[_strict(f[c], "int").alias(f"{n}_num") for c, n in zip(COL_NUMBERS, TOKEN_KEY[3:])],
-        scores[0].alias("feature_score"),
-        scores[1].alias("lm_score"),
-        scores[2].alias("analysis_score"),
-        ranks.alias("ranks"),
+        _strict(field(COL_ID), "int").alias("node_id"),
+        int_list(field(COL_PREV)).alias("prev"),
+        _strict(field(COL_START), "int").alias("start"),
+        (_strict(field(COL_END), "int") + 1).alias("end"),
+        field(COL_SURFACE).alias("surface"),
+        field(COL_CANONICAL).alias("canonical"),
+        field(COL_READING).alias("reading"),
+        field(COL_DICFORM).alias("dicform"),
+        *[field(c).alias(n) for c, n in zip(COL_TAGS, TOKEN_KEY[3:])],
+        *[_strict(field(c), "int").alias(f"{n}_num") for c, n in zip(COL_NUMBERS, TOKEN_KEY[3:])],
+        _score(features, KEY_FEATURE_SCORE).alias("feature_score"),
+        _score(features, KEY_LM_SCORE).alias("lm_score"),
+        _score(features, KEY_ANALYSIS_SCORE).alias("analysis_score"),
+        int_list(F.coalesce(_last_value(features, KEY_RANKS), F.lit(""))).alias("ranks"),
         F.filter(features, lambda x: ~(x["key"].isin(SPECIAL_KEYS) & x["value"].isNotNull())).alias("features"),
     )
 
 
-def _bad_number(line: Column) -> Column:
-    """Does a full-length line hold a number field or score that does not parse?"""
-    f, features = line["f"], line["features"]
-    ints = [COL_ID, COL_START, COL_END, *COL_NUMBERS]
-    bad = F.lit(False)
-    for c in ints:
-        bad = bad | _strict(f[c], "int").isNull()
-    bad = bad | F.exists(int_list(f[COL_PREV]), lambda x: x.isNull())
-    for key in SPECIAL_KEYS[:3]:
-        bad = bad | F.exists(
-            features, lambda x: (x["key"] == key) & x["value"].isNotNull() & x["value"].try_cast("float").isNull()
-        )
-    return bad | F.exists(
-        features,
-        lambda x: (x["key"] == KEY_RANKS) & F.exists(int_list(x["value"]), lambda r: r.isNull()),
-    )
+def _bad_number(node: Column) -> Column:
+    """Did a number of the node not parse?"""
+    single = ["node_id", "start", "end", *[f"{n}_num" for n in TOKEN_KEY[3:]]]
+    single += ["feature_score", "lm_score", "analysis_score"]
+    bad = F.exists(node["prev"], lambda x: x.isNull()) | F.exists(node["ranks"], lambda x: x.isNull())
+    for name in single:
+        bad = bad | node[name].isNull()
+    return bad
 
 
 def sentence_lines(raw: Column) -> Column:
@@ -126,10 +129,12 @@ def parse_lattice(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
     rows = computed_once(cut, comment=comment_of(F.col("__lines")), __parsed=split_up)
     short = F.exists("__parsed", lambda x: F.size(x["f"]) < MIN_FIELDS)
-    reason = F.when(short, "short_line").when(F.exists("__parsed", _bad_number), "bad_number")
-    checked = computed_once(rows, reason=reason)
-    nodes = F.when(F.col("reason").isNull(), F.transform("__parsed", _node))
-    return computed_once(checked, nodes=nodes).select(*others, "comment", "nodes", "reason")
+    built = computed_once(rows, __short=short, __nodes=F.transform("__parsed", _node))
+    reason = F.when(F.col("__short"), "short_line").when(F.exists("__nodes", _bad_number), "bad_number")
+    checked = computed_once(built, reason=reason)
+    return checked.select(
+        *others, "comment", F.when(F.col("reason").isNull(), F.col("__nodes")).alias("nodes"), "reason"
+    )
 
 
 def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +156,7 @@ def cumulative_scores(node: Column) -> Column:
 def score_details(node: Column) -> Column:
     """(feature score, list with the language-model score if it has one) once per rank."""
     lm = node["lm_score"]
-    lms = F.when(lm.isNull() | F.isnan(lm), empty_array("float")).otherwise(F.array(lm))
+    lms = F.when(F.isnan(lm), empty_array("float")).otherwise(F.array(lm))
     return F.array_repeat(
         F.struct(node["feature_score"].alias("score"), lms.alias("lm")), F.size(node["ranks"])
     )
@@ -163,21 +168,34 @@ def top_one(df: DataFrame) -> DataFrame:
 
 
 def best_path(df: DataFrame, nodes: str = "nodes", name: str = "path") -> DataFrame:
-    """Chain of rank-1 nodes in file order, each naming its predecessor; starts at id 0."""
-    node_type = df.schema[nodes].dataType
-    assert isinstance(node_type, T.ArrayType)
-    element = node_type.elementType.simpleString()
+    """Chain of rank-1 nodes in file order, each naming its predecessor; starts at id 0.
+
+    Usually all rank-1 nodes form that chain, which neighbours tell. Only where they do not, the
+    places of the taken ones are folded out one by one.
+    """
 
     def follows(last: Column, n: Column) -> Column:
-        return F.array_contains(n["prev"], last) & is_top(n)
-
-    path = running_fold(
-        F.col(nodes),
-        F.lit(0),
-        lambda last, n: F.when(follows(last, n), n["node_id"]).otherwise(last),
-        lambda last, n: F.when(follows(last, n), F.array(n)).otherwise(empty_array(element)),
-        element,
-    )
+        return F.array_contains(n["prev"], last)
+
+    def chained(tops: Column) -> Column:
+        ids = F.concat(F.array(F.lit(0)), F.transform(tops, lambda n: n["node_id"]))
+        fits = bind(ids, lambda known: F.transform(tops, lambda n, i: follows(F.get(known, i), n)))
+        return F.forall(fits, lambda ok: ok)
+
+    def folded(tops: Column) -> Column:
+        start = F.struct(F.lit(0).alias("last"), empty_array("int").alias("taken"))
+
+        def merge(s: Column, i: Column) -> Column:
+            n = F.get(tops, i)
+            return F.when(
+                follows(s["last"], n),
+                F.struct(n["node_id"].alias("last"), F.array_append(s["taken"], i).alias("taken")),
+            ).otherwise(s)
+
+        taken = F.aggregate(span(F.size(tops)), start, merge, lambda s: s["taken"])
+        return F.transform(taken, lambda i: F.get(tops, i))
+
+    path = bind(F.filter(nodes, is_top), lambda t: F.when(chained(t), t).otherwise(folded(t)))
     return computed_once(df.drop(name), **{name: path})
 
 

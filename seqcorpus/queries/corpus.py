@@ -59,7 +59,10 @@ def lattice_nodes(spark, sf):
         *SID, F.col("node_id").cast("bigint").alias("node_id"), joined(F.col("prev")).alias("prev"),
         F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"),
         "surface", "canonical", "reading", "dicform", "pos", "subpos", "ctype", "cform", "pos_num",
-        *[F.col(c).cast("double").alias(c) for c in ("feature_score", "lm_score", "analysis_score")],
+        *[
+            F.nanvl(F.col(c), F.lit(None)).cast("double").alias(c)
+            for c in ("feature_score", "lm_score", "analysis_score")
+        ],
         joined(F.col("ranks")).alias("ranks"), F.array_join(shown, ",").alias("features"),
     )
 
