@@ -19,19 +19,19 @@ def feature_counts(spark, sf):
     return vocab.feature_counts(fx.sentences(spark, sf))
 
 
-@query("char_dictionary", "SELECT ch, cnt, id, format('{}:{:x}', ch, unicode(ch)) AS label FROM chardict", ("chardict",))
+@query("char_dictionary", "SELECT ch, cnt, id::INT AS id, format('{}:{:x}', ch, unicode(ch)) AS label FROM chardict", ("chardict",))
 def char_dictionary(spark, sf):
     return dictionary.dictionaries(fx.sentences(spark, sf))[1]
 
 
 @query("char_dictionary_by_freq", """
-SELECT ch, cnt, 3 + row_number() OVER (ORDER BY cnt DESC, ch) AS id,
+SELECT ch, cnt, (3 + row_number() OVER (ORDER BY cnt DESC, ch))::INT AS id,
        format('{}:{:x}', ch, unicode(ch)) AS label FROM charset""", ("charset",))
 def char_dictionary_by_freq(spark, sf):
     return dictionary.dictionaries(fx.sentences(spark, sf))[0]
 
 
-@query("tag_dictionary", "SELECT kind, tag, cnt, id FROM tagdict", ("tagdict",))
+@query("tag_dictionary", "SELECT kind, tag, cnt, id::INT AS id FROM tagdict", ("tagdict",))
 def tag_dictionary(spark, sf):
     return dictionary.dictionaries(fx.sentences(spark, sf))[2]
 
