@@ -35,36 +35,51 @@ def int_list(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ";"), lambda p: p != ""), lambda p: _strict(p, "int"))
 
 
-def parse_features(text: Column) -> Column:
-    """B2: ``key:value|flag`` to an array of (key, value); a flag has no value."""
-    parts = F.filter(F.split(text, "\\|"), lambda p: p != "")
+def feature_parts(text: Column) -> Column:
+    return F.filter(F.split(text, "\\|"), lambda p: p != "")
+
+
+def parse_features(parts: Column) -> Column:
+    """B2: ``key:value`` and ``flag`` strings to an array of (key, value); a flag has no value."""
     pairs = F.transform(parts, lambda p: F.split(p, ":", 2))
     return F.transform(
         pairs, lambda kv: F.struct(kv[0].alias("key"), F.get(kv, F.lit(1)).alias("value"))
     )
 
 
-def _last_value(features: Column, key: str) -> Column:
-    hits = F.filter(features, lambda f: (f["key"] == key) & f["value"].isNotNull())
-    return bind(hits, lambda h: F.get(h, F.size(h) - 1)["value"])
+def _last_value(text: Column, key: str) -> Column:
+    """Value of the last ``key:`` feature; plain searches, no arrays are built for it."""
+    barred = F.concat(F.lit("|"), text)
+    mark = f"|{key}:"
+    return F.when(
+        barred.contains(mark), F.substring_index(F.substring_index(barred, mark, -1), "|", 1)
+    )
 
 
-def _score(features: Column, key: str) -> Column:
+def _score(text: Column, key: str) -> Column:
     """NaN where the feature is missing, NULL where it is no number."""
-    return bind(
-        _last_value(features, key),
-        lambda v: F.when(v.isNull(), F.lit(float("nan")).cast("float")).otherwise(v.try_cast("float")),
+    missing = ~F.concat(F.lit("|"), text).contains(f"|{key}:")
+    return F.when(missing, F.lit(float("nan")).cast("float")).otherwise(_last_value(text, key).try_cast("float"))
+
+
+def _other_parts(text: Column) -> Column:
+    parts = feature_parts(text)
+    return F.filter(
+        parts,
+        lambda p: ~(
+            p.startswith(SPECIAL_KEYS[0] + ":") | p.startswith(SPECIAL_KEYS[1] + ":")
+            | p.startswith(SPECIAL_KEYS[2] + ":") | p.startswith(SPECIAL_KEYS[3] + ":")
+        ),
     )
 
 
-def _node(line: Column) -> Column:
-    """One node from ``struct<f array<string>, features array<struct<key,value>>>``; numbers that do
-    not parse become NULL."""
-    f, features = line["f"], line["features"]
+def _node(f: Column) -> Column:
+    """One node from the fields of its line; numbers that do not parse become NULL."""
 
     def field(i: int) -> Column:
         return F.get(f, F.lit(i))
 
+    text = field(COL_FEATURES)
     return F.struct(
         _strict(field(COL_ID), "int").alias("node_id"),
         int_list(field(COL_PREV)).alias("prev"),
@@ -76,11 +91,11 @@ def _node(line: Column) -> Column:
         field(COL_DICFORM).alias("dicform"),
         *[field(c).alias(n) for c, n in zip(COL_TAGS, TOKEN_KEY[3:])],
         *[_strict(field(c), "int").alias(f"{n}_num") for c, n in zip(COL_NUMBERS, TOKEN_KEY[3:])],
-        _score(features, KEY_FEATURE_SCORE).alias("feature_score"),
-        _score(features, KEY_LM_SCORE).alias("lm_score"),
-        _score(features, KEY_ANALYSIS_SCORE).alias("analysis_score"),
-        int_list(F.coalesce(_last_value(features, KEY_RANKS), F.lit(""))).alias("ranks"),
-        F.filter(features, lambda x: ~(x["key"].isin(SPECIAL_KEYS) & x["value"].isNotNull())).alias("features"),
+        _score(text, KEY_FEATURE_SCORE).alias("feature_score"),
+        _score(text, KEY_LM_SCORE).alias("lm_score"),
+        _score(text, KEY_ANALYSIS_SCORE).alias("analysis_score"),
+        int_list(F.coalesce(_last_value(text, KEY_RANKS), F.lit(""))).alias("ranks"),
+        parse_features(_other_parts(text)).alias("features"),
     )
 
 
@@ -95,18 +110,20 @@ def _bad_number(node: Column) -> Column:
 
 
 def sentence_lines(raw: Column) -> Column:
-    """Lines of a record up to its end mark, without the empty piece a final newline leaves."""
-    plain = F.when(raw.contains("\r"), F.regexp_replace(raw, "\r\n?", "\n")).otherwise(raw)
+    """Lines of a record up to its end mark, without the empty piece a final newline leaves.
 
-    def cut(lines: Column) -> Column:
-        return bind(
-            F.array_position(lines, END_MARK).cast("int"),
-            lambda end: F.when(end > 0, F.slice(lines, 1, end - 1))
-            .when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, 1, F.size(lines) - 1))
-            .otherwise(lines),
-        )
-
-    return bind(F.split(plain, "\n"), cut)
+    The text is cut before it is split, so the lines are built once.
+    """
+    plain = F.when(raw.contains("\r"), F.regexp_replace(raw, "\r\n?", "\n")).otherwise(raw)
+    inner = f"\n{END_MARK}\n"
+    body = (
+        F.when((plain == END_MARK) | plain.startswith(f"{END_MARK}\n") | (plain == ""), F.lit(None))
+        .when(plain.contains(inner), F.substring_index(plain, inner, 1))
+        .when(plain.endswith(f"\n{END_MARK}"), F.left(plain, F.length(plain) - len(END_MARK) - 1))
+        .when(plain.endswith("\n"), F.left(plain, F.length(plain) - 1))
+        .otherwise(plain)
+    )
+    return F.coalesce(F.split(body, "\n"), empty_array("string"))
 
 
 def comment_of(lines: Column) -> Column:
@@ -122,14 +139,13 @@ def parse_lattice(df: DataFrame, raw: str = "raw") -> DataFrame:
     """
     others = [c for c in df.columns if c != raw]
     cut = computed_once(df, __lines=sentence_lines(F.col(raw)))
-    fields = F.transform(F.filter("__lines", lambda x: ~x.startswith("#")), lambda x: F.split(x, "\t"))
-    split_up = F.transform(
-        fields,
-        lambda f: F.struct(f.alias("f"), parse_features(F.get(f, F.lit(COL_FEATURES))).alias("features")),
+    node_lines = F.filter("__lines", lambda x: ~x.startswith("#"))
+    # Fewer tabs than fields need: nothing is left behind the last needed one.
+    short = F.exists(
+        "__lines", lambda x: ~x.startswith("#") & (F.substring_index(x, "\t", MIN_FIELDS - 1) == x)
     )
-    rows = computed_once(cut, comment=comment_of(F.col("__lines")), __parsed=split_up)
-    short = F.exists("__parsed", lambda x: F.size(x["f"]) < MIN_FIELDS)
-    built = computed_once(rows, __short=short, __nodes=F.transform("__parsed", _node))
+    nodes = F.transform(F.transform(node_lines, lambda x: F.split(x, "\t")), _node)
+    built = computed_once(cut, comment=comment_of(F.col("__lines")), __short=short, __nodes=nodes)
     reason = F.when(F.col("__short"), "short_line").when(F.exists("__nodes", _bad_number), "bad_number")
     checked = computed_once(built, reason=reason)
     return checked.select(
@@ -195,8 +211,10 @@ def best_path(df: DataFrame, nodes: str = "nodes", name: str = "path") -> DataFr
         taken = F.aggregate(span(F.size(tops)), start, merge, lambda s: s["taken"])
         return F.transform(taken, lambda i: F.get(tops, i))
 
-    path = bind(F.filter(nodes, is_top), lambda t: F.when(chained(t), t).otherwise(folded(t)))
-    return computed_once(df.drop(name), **{name: path})
+    tops = F.col("__tops")
+    rows = computed_once(df.drop(name), __tops=F.filter(nodes, is_top))
+    path = F.when(chained(tops), tops).otherwise(folded(tops))
+    return computed_once(rows, **{name: path}).drop("__tops")
 
 
 def token_key(node: Column) -> Column:
