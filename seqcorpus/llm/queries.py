@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .common import ORACLES, QUERIES
-from . import byte_bpe, extraction, packing, personal, sharding, token_files  # noqa: F401
+from . import (  # noqa: F401
+    byte_bpe, exact_search, extraction, near_copies, near_search, packing, personal, quality, sharding, token_files,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
