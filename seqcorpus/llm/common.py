@@ -40,7 +40,7 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], chars: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:
+def batches_of(batches: Iterator[pa.RecordBatch], chars: int = 1 << 23) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of an Arrow stream in groups of a bounded number of characters (one text at least)."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -8,9 +8,11 @@ whole text. Pieces recur, so most come from the cache; the rest go to the librar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -94,21 +96,45 @@ class Encoder:
             done.update((p, raw[(i + new) * width:j * width]) for p, new, i, j in zip(batch, lead, cuts, cuts[1:]))
         return done
 
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        cut = [pieces(t) if t else [] for t in texts]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Texts are split and their pieces told apart by Arrow, so only different pieces of a call
+        are looked up one by one; the ids of all are then gathered by place."""
         if len(self.cache) > CACHED_PIECES:
             self.cache.clear()
-        get = self.cache.get
-        found = [list(map(get, parts)) for parts in cut]
-        missing = {p for parts, ids in zip(cut, found) if None in ids for p, x in zip(parts, ids) if x is None}
-        resolved = self._resolve(missing)
-        out = []
-        for parts, ids in zip(cut, found):
-            if None in ids:
-                ids = [resolved[p] if x is None else x for p, x in zip(parts, ids)]
-            out.append(np.frombuffer(b"".join(ids), self.dtype))
+        odd = [i for i, t in enumerate(texts) if not t or _ODD_BLANK.search(t)]
+        apart = self._ids({p for i in odd if texts[i] for p in pieces(texts[i])})
+        out = [np.zeros(0, self.dtype)] * len(texts)
+        for i in odd:
+            if texts[i]:
+                out[i] = np.frombuffer(b"".join([apart[p] for p in pieces(texts[i])]), self.dtype)
+        left = set(odd)
+        plain = [i for i in range(len(texts)) if i not in left]
+        if not plain:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        starts = split.offsets.to_numpy()
+        parts = split.flatten()
+        coded = parts.dictionary_encode()
+        codes = coded.indices.to_numpy().copy()
+        keys = [" " + p for p in coded.dictionary.to_pylist()] + parts.take(pa.array(starts[:-1])).to_pylist()
+        codes[starts[:-1]] = np.arange(len(keys) - len(plain), len(keys))  # a text's first piece has no blank
+        known = self._ids(set(keys))
+        ids = [known[k] for k in keys]
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        gathered = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + counts, counts) + np.arange(ends[-1])]
+        for i, part in zip(plain, np.split(gathered, ends[starts[1:-1] - 1])):
+            out[i] = part
         return out
 
+    def _ids(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of different pieces, from the cache or else by their words."""
+        found = {p: ids for p in wanted if (ids := self.cache.get(p)) is not None}
+        return found | self._resolve(wanted.difference(found)) if len(found) < len(wanted) else found
+
     def _resolve(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the cache lacks: of their words from the cache, or from the library."""
         split = {p: words(p) for p in missing}
@@ -129,15 +155,3 @@ def encoder(path: str) -> Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
-
-
-def in_chunks(texts: list[str | None], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` that hold about ``chars`` characters each, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or "") > chars:
-            yield start, i
-            start, size = i, 0
-        size += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
