@@ -38,11 +38,11 @@ def _items(words: Column) -> Column:
     return F.transform(once, lambda w: _wrap(_wrap(_rotate(w, ROTATE_ITEM)) * F.lit(_signed(MIX_SECOND))))
 
 
-def seq_hash(arr: Column, narrow: bool = True, seed: int = SEED) -> Column:
+def seq_hash(arr: Column, narrow: bool = False, seed: int = SEED) -> Column:
     """Signed 32-bit hash of an ``array<bigint>``; both halves of every element are mixed in.
 
-    ``narrow`` says that all elements are below 2**32 (dictionary ids always are), so the high
-    halves are zero words and only stir the state.
+    ``narrow`` promises that all elements are below 2**32 (dictionary ids always are): their high
+    halves are zero words, which only stir the state.
     """
     arr = arr.cast("array<bigint>")
     start = F.lit(_signed(seed)).cast("bigint")

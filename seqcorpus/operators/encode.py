@@ -173,29 +173,31 @@ def encode_sentences(
     chars: DataFrame,
     tags: DataFrame,
     sid: Sequence[str],
-    max_length: int = 100,
+    max_length: int | None = None,
     augment: Augment = Augment(),
     path_only_unks: bool = False,
 ) -> DataFrame:
     """``nodes`` and ``path`` to ``codes``, ``chars``, ``tags``, ``unks``.
 
     ``codes`` are the ids before augmentation; the content hash is taken from them. The cheap
-    length tests run before any tag is resolved. ``reason`` is ``length_mismatch`` where the path's
-    surfaces do not have the length its offsets say; those rows have no tags.
+    length tests run before any tag is resolved. ``reason`` is ``too_long`` for more than ``max_length``
+    codes (no limit by default) and ``length_mismatch`` where the path's surfaces do not have the length
+    its offsets say; those rows have no tags.
     """
     table, tables = char_table(chars), tag_tables(tags)
     plain = encode_path(F.col("path"), table, sid)
     coded = computed_once(df, codes=plain, length=path_length(F.col("path")))
-    fitting = coded.filter(F.size("codes") <= max_length)
+    long = F.lit(False) if max_length is None else F.size("codes") > max_length
     changed = augment.unk_prob > 0 or augment.zen2han_prob > 0
     final = encode_path(F.col("path"), table, sid, augment) if changed else F.col("codes")
-    good = F.size("codes") == F.col("length") + 2
+    mismatch = F.size("codes") != F.col("length") + 2
+    good = ~mismatch & ~long
     return computed_once(
-        fitting,
-        chars=final,
+        coded,
+        chars=final if max_length is None else F.when(~long, final),
         tags=F.when(good, resolve_tags(F.col("nodes"), F.col("length"), tables)),
         unks=unk_flags(F.col("path" if path_only_unks else "nodes")),
-        reason=F.when(~good, "length_mismatch"),
+        reason=F.when(long, "too_long").when(mismatch, "length_mismatch"),
     )
 
 

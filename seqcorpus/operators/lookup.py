@@ -64,8 +64,8 @@ def label_join(df: DataFrame, labels: DataFrame, missing: str | None = "UNK") ->
 
 
 def gold_pred_join(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gold and predicted rows aligned by sentence and position."""
-    return gold.join(pred, list(keys), "inner")
+    """Gold and predicted rows aligned by sentence and position; rows of one side alone stay, with nulls."""
+    return gold.join(pred, list(keys), "full_outer")
 
 
 def number_table(values: Sequence[int | float], as_type: str = "int") -> Column:

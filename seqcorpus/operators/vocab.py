@@ -70,12 +70,14 @@ def top_per_kind(counts: DataFrame, n: int) -> DataFrame:
     return counts.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= n).drop("__r")
 
 
-def build_tag_dict(counts: DataFrame, limit: int = 20_000) -> DataFrame:
+def build_tag_dict(counts: DataFrame, limit: int | None = None) -> DataFrame:
     """(kind, tag, cnt, id), ids from 1 per kind by falling frequency; kinds are named as in
-    the examples. ``limit`` is the reference's dictionary cap and bounds the window."""
+    the examples. ``limit`` keeps the most frequent only."""
     tags = counts.filter(F.col("kind") != CHAR_KIND)
     order = W.partitionBy("kind").orderBy(F.col("cnt").desc(), F.col("value"))
-    numbered = tags.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= limit)
+    numbered = tags.withColumn("__r", F.row_number().over(order))
+    if limit is not None:
+        numbered = numbered.filter(F.col("__r") <= limit)
     kind = F.col("kind")
     for counted, field in COUNTED.items():
         kind = F.when(F.col("kind") == counted, field).otherwise(kind)

@@ -10,19 +10,19 @@ from ..sources.dicts import write_dicts
 from ..sources.records import read_records, resolve_inputs
 from ..sources.scratch import materialise
 
-MAX_CHARS = 20_000
 
-
-def dictionaries(parsed: DataFrame, max_chars: int = MAX_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def dictionaries(parsed: DataFrame, max_chars: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(characters by frequency, characters by code, tags) of parsed sentences.
 
-    The corpus is counted once; everything after works on the capped counts.
+    The corpus is counted once; everything after works on the counts, of the
+    ``max_chars`` most frequent values of each kind if that is set.
     """
-    counts = materialise(top_per_kind(feature_counts(parsed), max_chars), "counts")
+    counts = feature_counts(parsed)
+    counts = materialise(counts if max_chars is None else top_per_kind(counts, max_chars), "counts")
     return build_char_dict(counts, "freq"), build_char_dict(counts, "code"), build_tag_dict(counts, max_chars)
 
 
-def run(spark: SparkSession, list_file: str, output: str, max_chars: int = MAX_CHARS) -> None:
+def run(spark: SparkSession, list_file: str, output: str, max_chars: int | None = None) -> None:
     paths = resolve_inputs(spark, list_file, always_list=True)
     good, _ = quarantine(parse_lattice(read_records(spark, paths)))
     write_dicts(*dictionaries(good, max_chars), output)

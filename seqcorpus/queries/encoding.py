@@ -8,12 +8,12 @@ from .. import fixtures as fx
 from ..functions import hashing, text
 from ..functions.arrays import joined
 from ..operators import encode, lattice, lookup, masking
-from .base import MAX_CODES, NARROW, WIDE, query, sql_unit
+from .base import NARROW, WIDE, query, sql_unit
 
 SID = fx.SID
 
 
-def coded(spark, sf, max_length: int = MAX_CODES, **options):
+def coded(spark, sf, max_length: int | None = None, **options):
     chars, tags = fx.dictionaries(spark, sf)
     found = lattice.best_path(fx.sentences(spark, sf))
     return encode.encode_sentences(found, chars, tags, SID, max_length, **options)
@@ -33,10 +33,18 @@ def encoded_sentences(spark, sf):
     """Documents to encoded sentences: tokens, counts, dictionary, ids."""
     chars, _ = fx.dictionaries(spark, sf)
     ids = encode.encode_chars(F.col("text"), lookup.char_table(chars))
-    rows = fx.joined_text(spark, sf).filter(F.length("text") + 2 <= MAX_CODES)
+    rows = fx.joined_text(spark, sf)
     return rows.select(*SID, (F.length("text") + 2).alias("codes"), joined(ids).alias("chars"))
 
 
+@query("too_long", """
+SELECT doc_id, line_no, (n + 2)::INT AS codes, 'too_long' AS reason FROM coded WHERE n + 2 > 600""", ("coded",))
+def too_long(spark, sf):
+    """What a length limit of 600 sets apart."""
+    done = coded(spark, sf, 600).filter(F.col("reason").isNotNull())
+    return done.select(*SID, F.size("codes").alias("codes"), "reason")
+
+
 @query("encoded_paths", """
 SELECT doc_id, line_no, (n + 2)::INT AS codes, array_to_string(codes, ',') AS chars FROM coded""", ("coded",))
 def encoded_paths(spark, sf):
@@ -87,7 +95,7 @@ WITH t AS (
   JOIN (SELECT tag, id FROM tagdict WHERE kind = 'cform') f ON f.tag = chars.cform)
 SELECT doc_id, line_no, '0,0,0,0,0,' ||
        string_agg(concat_ws(',', seg, pos, subpos, ctype, cform), ',' ORDER BY cp) || ',0,0,0,0,0' AS tags
-FROM t GROUP BY doc_id, line_no HAVING count(*) + 2 <= """ + str(MAX_CODES), ("chars", "tagdict"))
+FROM t GROUP BY doc_id, line_no""", ("chars", "tagdict"))
 def resolved_tags(spark, sf):
     return coded(spark, sf).filter(F.col("reason").isNull()).select(*SID, joined(F.col("tags")).alias("tags"))
 
@@ -96,7 +104,7 @@ def resolved_tags(spark, sf):
 WITH f AS (SELECT *, unnest(range(n)) AS p FROM nodes)
 SELECT doc_id, line_no, count(*) + 2 AS flags, sum(unk::BIGINT)::BIGINT AS unknown,
        '0,' || string_agg(unk::INT::VARCHAR, ',' ORDER BY node_id, p) || ',0' AS unks
-FROM f GROUP BY doc_id, line_no HAVING sum((node_rank = 1)::INT) + 2 <= {MAX_CODES}""", ("nodes",))
+FROM f GROUP BY doc_id, line_no""", ("nodes",))
 def unk_flags(spark, sf):
     rows = coded(spark, sf).filter(F.col("reason").isNull())
     return rows.select(
@@ -108,7 +116,7 @@ def unk_flags(spark, sf):
 
 @query("path_unk_flags", f"""
 SELECT doc_id, line_no, count(*) + 2 AS flags, '0,' || string_agg((pos = 'mixed')::INT::VARCHAR, ',' ORDER BY cp) || ',0' AS unks
-FROM chars GROUP BY doc_id, line_no HAVING count(*) + 2 <= {MAX_CODES}""", ("chars",))
+FROM chars GROUP BY doc_id, line_no""", ("chars",))
 def path_unk_flags(spark, sf):
     rows = coded(spark, sf, path_only_unks=True).filter(F.col("reason").isNull())
     return rows.select(*SID, F.size("unks").cast("bigint").alias("flags"), joined(F.col("unks")).alias("unks"))
@@ -169,7 +177,7 @@ WITH k AS (SELECT chars.*, coalesce(d.id, 1) AS id,
     n = 1 AND chars.pos = 'mixed' AND {sql_unit("doc_id, line_no, start_idx", "unk")} < 0.5 AS hidden
   FROM chars LEFT JOIN chardict d USING (ch))
 SELECT doc_id, line_no, '2,' || string_agg((CASE WHEN hidden THEN 1 ELSE id END)::VARCHAR, ',' ORDER BY cp) || ',3' AS chars
-FROM k GROUP BY doc_id, line_no HAVING count(*) + 2 <= {MAX_CODES}""", ("chars", "chardict"))
+FROM k GROUP BY doc_id, line_no""", ("chars", "chardict"))
 def augmented_codes(spark, sf):
     rows = coded(spark, sf, augment=encode.Augment(unk_prob=0.5)).filter(F.col("reason").isNull())
     return rows.select(*SID, joined(F.col("chars")).alias("chars"))
@@ -193,8 +201,8 @@ hashed AS (SELECT doc_id, line_no, n, codes, (CASE WHEN h >= 2147483648 THEN h -
 def seq_hash(spark, sf):
     chars, _ = fx.dictionaries(spark, sf)
     ids = encode.encode_chars(F.col("text"), lookup.char_table(chars))
-    rows = fx.joined_text(spark, sf).filter(F.length("text") + 2 <= MAX_CODES)
-    hashed = rows.select(*SID, hashing.seq_hash(ids).alias("hash"))
+    rows = fx.joined_text(spark, sf)
+    hashed = rows.select(*SID, hashing.seq_hash(ids, narrow=True).alias("hash"))
     unit = hashing.hash_unit(F.col("hash")).cast("double")
     return hashed.select(*SID, "hash", F.round(unit, 6).alias("unit"))
 
@@ -228,7 +236,7 @@ y AS (SELECT doc_id, line_no, cp, CASE op WHEN 3 THEN 99999
         WHEN 2 THEN ids[least(len(list_filter(uptos, lambda z: z <= u)), 59) + 1] ELSE id END AS new, id FROM x, tab)
 SELECT doc_id, line_no, '2,' || string_agg(new::VARCHAR, ',' ORDER BY cp) || ',3' AS chars,
        '2,' || string_agg(id::VARCHAR, ',' ORDER BY cp) || ',3' AS chars_orig
-FROM y GROUP BY doc_id, line_no HAVING count(*) + 2 <= {MAX_CODES}""", ("chars", "chardict"))
+FROM y GROUP BY doc_id, line_no""", ("chars", "chardict"))
 def masked_chars(spark, sf):
     chars, _ = fx.dictionaries(spark, sf)
     rows = coded(spark, sf).filter(F.col("reason").isNull())

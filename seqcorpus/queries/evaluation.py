@@ -9,14 +9,13 @@ from ..functions import scores
 from ..functions.arrays import joined
 from ..operators import decode, encode, metrics
 from ..sources.records import parse_debug_table
-from .base import MAX_CODES, query
+from .base import query
 from .encoding import coded
 
 SID = fx.SID
 
-TOKEN_SQL = f"""
-fit AS (SELECT t.*, CASE WHEN n >= 6 THEN 'NUL' ELSE pos END AS shown FROM tokens t
-        WHERE (SELECT sum(n) FROM tokens u WHERE u.doc_id = t.doc_id AND u.line_no = t.line_no) + 2 <= {MAX_CODES})"""
+TOKEN_SQL = """
+fit AS (SELECT t.*, CASE WHEN n >= 6 THEN 'NUL' ELSE pos END AS shown FROM tokens t)"""
 
 
 def tagged(spark, sf):
@@ -78,7 +77,7 @@ cells AS (SELECT *, CASE WHEN n >= 6 THEN 'NUL' ELSE pt END AS pos, CASE WHEN n
 SELECT doc_id, line_no, '# S-ID:' || doc_id || '-' || line_no || chr(10) || string_agg(concat_ws(chr(9), ch, segl, pos, subpos, ctype, cform,
    printf('%.1f', 100.0 / (seg + 1)), printf('%.1f', 100.0 / (posid + 1)), printf('%.1f', 100.0 / (sid + 1)),
    printf('%.1f', 100.0 / (yid + 1)), printf('%.1f', 100.0 / (fid + 1))), chr(10) ORDER BY cp) || chr(10) || 'EOS' AS value
-FROM cells GROUP BY doc_id, line_no HAVING count(*) + 2 <= {MAX_CODES}""", ("chars", "tagdict"))
+FROM cells GROUP BY doc_id, line_no""", ("chars", "tagdict"))
 def debug_table(spark, sf):
     return debug_text(spark, sf)
 
@@ -86,7 +85,7 @@ def debug_table(spark, sf):
 @query("debug_table_parsed", "WITH " + DEBUG_SQL + f"""
 SELECT doc_id, line_no, '# S-ID:' || doc_id || '-' || line_no AS comment, string_agg(ch, '' ORDER BY cp) AS text,
    string_agg(segl || '/' || pos, ' ' ORDER BY cp) AS tags
-FROM cells GROUP BY doc_id, line_no HAVING count(*) + 2 <= {MAX_CODES}""", ("chars", "tagdict"))
+FROM cells GROUP BY doc_id, line_no""", ("chars", "tagdict"))
 def debug_table_parsed(spark, sf):
     rows = parse_debug_table(debug_text(spark, sf).withColumnRenamed("value", "raw"))
     return rows.select(
@@ -168,7 +167,7 @@ def label_accuracy(spark, sf):
 
 
 @query("tag_accuracy", "WITH " + DEBUG_SQL + f""",
-fit AS (SELECT doc_id, line_no FROM cells GROUP BY ALL HAVING count(*) + 2 <= {MAX_CODES}),
+fit AS (SELECT doc_id, line_no FROM cells GROUP BY ALL),
 k AS (SELECT unnest(['seg', 'pos', 'subpos', 'ctype', 'cform']) AS kind, unnest([seg, posid, sid, yid, fid]) AS gold
       FROM cells JOIN fit USING (doc_id, line_no))
 SELECT kind, count(*) FILTER (gold <> 0) AS labels, count(*) FILTER (gold = 1) AS hits,
@@ -181,7 +180,7 @@ def tag_accuracy(spark, sf):
 
 
 @query("tag_coverage", "WITH " + DEBUG_SQL + f""",
-fit AS (SELECT doc_id, line_no FROM cells GROUP BY ALL HAVING count(*) + 2 <= {MAX_CODES}),
+fit AS (SELECT doc_id, line_no FROM cells GROUP BY ALL),
 c AS (SELECT cells.* FROM cells JOIN fit USING (doc_id, line_no))
 SELECT sum(4 + (posid <> 0)::INT)::BIGINT AS set_tags, count(*) + 2 * count(DISTINCT (doc_id, line_no)) AS positions,
        count(DISTINCT (doc_id, line_no)) AS sentences,
@@ -193,12 +192,13 @@ def tag_coverage(spark, sf):
 
 
 @query("gold_pred_join", """
-SELECT quality, toxic, lang, count(*) AS docs FROM labels JOIN documents USING (doc_id) GROUP BY ALL""")
+SELECT coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, lang, count(*) AS docs FROM labels FULL JOIN documents USING (doc_id) GROUP BY ALL""")
 def gold_pred_join(spark, sf):
     from ..operators.lookup import gold_pred_join as join
 
     rows = join(fx.table(spark, sf, "labels"), fx.table(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"])
-    return rows.groupBy("quality", "toxic", "lang").agg(F.count("*").alias("docs"))
+    marked = rows.fillna(-1, ["quality", "toxic"])
+    return marked.groupBy("quality", "toxic", "lang").agg(F.count("*").alias("docs"))
 
 
 def emb():

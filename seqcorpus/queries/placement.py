@@ -9,24 +9,24 @@ from ..functions import hashing
 from ..functions.arrays import joined
 from ..operators import encode, layout, lookup
 from ..operators.numbering import positions
-from .base import MAX_CODES, query, sql_unit
+from .base import KEY_LENGTH, query, sql_unit
 from .encoding import HASH_SQL
 
 SID = fx.SID
 
 KEY_SQL = f"""
 lens AS (SELECT *, greatest(4, (n + 2 + floor({sql_unit("doc_id, line_no", "length")} * 7) - 3)::INT) AS len FROM hashed),
-keyed AS (SELECT doc_id, line_no, (CASE WHEN hash < 0 THEN {MAX_CODES} - len ELSE len - {MAX_CODES} END)::INT AS k1, hash AS k2 FROM lens)"""
+keyed AS (SELECT doc_id, line_no, (CASE WHEN hash < 0 THEN {KEY_LENGTH} - len ELSE len - {KEY_LENGTH} END)::INT AS k1, hash AS k2 FROM lens)"""
 
 
 def keyed(spark, sf):
     chars, _ = fx.dictionaries(spark, sf)
-    rows = fx.joined_text(spark, sf).filter(F.length("text") + 2 <= MAX_CODES)
+    rows = fx.joined_text(spark, sf)
     codes = rows.select(*SID, encode.encode_chars(F.col("text"), lookup.char_table(chars)).alias("chars"))
-    hashed = codes.withColumn("k2", hashing.seq_hash(F.col("chars")))
+    hashed = codes.withColumn("k2", hashing.seq_hash(F.col("chars"), narrow=True))
     draw = hashing.uniform(1, [F.col(c) for c in SID], "length")
     length = hashing.jitter_len(F.size("chars"), draw)
-    return hashed.withColumn("k1", hashing.zigzag_key(length, F.col("k2"), MAX_CODES))
+    return hashed.withColumn("k1", hashing.zigzag_key(length, F.col("k2"), KEY_LENGTH))
 
 
 @query("zigzag_layout", "WITH " + HASH_SQL + "," + KEY_SQL + """
@@ -94,7 +94,7 @@ w AS (SELECT *, count(*) OVER g AS size, max(length) OVER g AS width FROM b WIND
 
 def codes(spark, sf):
     chars, _ = fx.dictionaries(spark, sf)
-    rows = fx.joined_text(spark, sf).filter(F.length("text") + 2 <= MAX_CODES)
+    rows = fx.joined_text(spark, sf)
     return rows.select(*SID, encode.encode_chars(F.col("text"), lookup.char_table(chars)).alias("chars"))
 
 

@@ -66,7 +66,9 @@ def test_length_mismatch_is_kept_apart(spark):
 def test_empty_sentence_and_max_length(spark):
     row = encoded(spark, "EOS")
     assert (row["chars"], row["tags"], row["unks"]) == ([2, 3], [0] * 10, [0, 0])
-    assert encoded(spark, dump(node(1, "0", 0, 2, "ab")), max_length=3) is None
+    long = encoded(spark, dump(node(1, "0", 0, 2, "ab")), max_length=3)
+    assert (long["reason"], long["chars"], long["tags"]) == ("too_long", None, None)
+    assert encoded(spark, dump(node(1, "0", 0, 2, "ab")), max_length=4)["reason"] is None
 
 
 def test_quarantine(spark):
