@@ -29,14 +29,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: rows of whole texts that travel to a Python worker at once; bounds its memory
+BATCH_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package known to the executors, and batches of texts small."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and text alone, under fixed names, so that no other column of ``docs`` can clash; null text: empty."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -129,7 +129,7 @@ def signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, known = Bands(percent), set()
-        for ids, batch in batches_of(batches):
+        for ids, batch in batches_of(batches, 1 << 21):
             sets = shingles(batch, width)
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
             common = values[counts > 3]
@@ -140,7 +140,7 @@ def signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 if set_id is None or set_id in known:
                     tiles.append(np.zeros(0, np.uint64))
                     continue
-                if len(known) > 1_000_000:
+                if len(known) > 200_000:
                     known.clear()
                 known.add(set_id)
                 place = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches_of, query, table, texts_of
+from .common import batches_of, prepare, query, table, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -144,6 +144,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [None if t is None else redacted(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
 
+    prepare(docs.sparkSession)
     return docs.mapInArrow(clean, docs.schema)
 
 

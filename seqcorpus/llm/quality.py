@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import batches_of, materialise, query, table, texts_of
+from .common import batches_of, materialise, prepare, query, table, texts_of
 
 FIT_ROWS = 100_000
 FIT_PARTS = 32
@@ -203,6 +203,7 @@ def accepted(docs: DataFrame, model: Model, least: float = ACCEPTED, text_col: s
                 scores = model.score(np.array([statistics(t or "") for t in texts]))
                 yield part.filter(pa.array(scores >= least))
 
+    prepare(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

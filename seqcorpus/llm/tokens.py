@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 300_000
 CACHED_LENGTH = 64
 
 
