@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import batches_of, materialise, prepare, query, table, texts_of
 
 FIT_ROWS = 100_000
-FIT_PARTS = 32
+FIT_PARTS = 16
 FEATURES = 384
 WIDTH = 3.0
 RIDGE = 1e-3
@@ -129,7 +129,7 @@ def _sums(rows: DataFrame, of) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    found = [np.frombuffer(r["sums"]) for r in rows.select("x", "y").mapInArrow(run, "sums binary").collect()]
+    found = [np.frombuffer(r["sums"]) for r in rows.select("x", "y").coalesce(FIT_PARTS).mapInArrow(run, "sums binary").collect()]
     return np.sum(found, 0) if found else None
 
 
