@@ -29,14 +29,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-#: rows of whole texts that travel to a Python worker at once; bounds its memory
+#: rows and bytes of whole texts that travel to a Python worker at once (one row at least); bound its memory
 BATCH_ROWS = "1000"
+BATCH_BYTES = str(8 << 20)
 
 
 def prepare(spark: SparkSession) -> None:
     """Make the package known to the executors, and batches of texts small."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

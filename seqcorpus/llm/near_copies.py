@@ -32,6 +32,7 @@ from .common import batches_of, materialise, query, table, texts_of
 from .graphs import components
 
 TILE_ROWS = 2048
+TILE_SHINGLES = 2 << 20  # of a tile's sets together, unless a single set has more
 BROADCAST_BYTES = 32 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -234,11 +235,15 @@ def comparison_tiles(members: DataFrame, percent: int) -> DataFrame:
     one size band (or two neighbouring ones) each."""
     band = F.floor(F.log(F.col("n_shingles") + 0.5) / F.lit(math.log(100 / percent))).cast("int")
     sized = members.withColumn("band", band)
-    groups = sized.groupBy("root").agg(F.count("*").alias("rows"))
-    small = sized.join(groups.filter(F.col("rows") <= TILE_ROWS), "root").select("doc_id", "set_id", F.array(
+
+    def fill():  # of tiles, by rows or by n-grams, whichever is more
+        return F.greatest(F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)
+
+    groups = sized.groupBy("root").agg(fill().alias("fill"))
+    small = sized.join(groups.filter(F.col("fill") <= 1), "root").select("doc_id", "set_id", F.array(
         F.struct("root", *[F.lit(-1).alias(c) for c in ("band", "part", "other", "with")])).alias("tiles"))
-    large = sized.join(groups.filter(F.col("rows") > TILE_ROWS).select("root"), "root")
-    parts = large.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts"))
+    large = sized.join(groups.filter(F.col("fill") > 1).select("root"), "root")
+    parts = large.groupBy("root", "band").agg(F.ceil(fill()).cast("int").alias("parts"))
     around = parts.select("root", "band", "parts")
     for step, name in ((1, "above"), (-1, "below")):
         near = parts.select("root", (F.col("band") - step).alias("band"), F.col("parts").alias(name))
