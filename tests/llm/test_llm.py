@@ -262,8 +262,9 @@ def test_near_copies(spark, width, percent):
         assert near_copies.near_copies(df.limit(0)).count() == 0
 
 
-def test_large_groups_are_compared_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "TILE_ROWS", 8)
+@pytest.mark.parametrize("bound, most", [("TILE_ROWS", 8), ("TILE_SHINGLES", 800)])
+def test_large_groups_are_compared_in_parts(spark, monkeypatch, bound, most):
+    monkeypatch.setattr(near_copies, bound, most)
     base = [f"w{i}" for i in range(80)]
     texts = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
