@@ -2,26 +2,30 @@
 
 Two forms. *In-row*: a dictionary with a proven bound (codepoints, tag kinds, sampling weights)
 becomes one array that expressions index, so sentences are never exploded or shuffled. *Joins*: any
-other dictionary; a side is broadcast only after its rows were counted against a bound, otherwise
-the rows are salted so that one hot key cannot fill a task.
+other dictionary; it is broadcast only after its bytes were summed against a bound. Beyond it, keys are
+counted: those with more than a ``1 / HOT_SHARE`` of the rows (so at most ``HOT_SHARE`` keys) are looked up by
+broadcast and never shuffled, and only the rest is joined by key.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-CODEPOINT_LIMIT = 0x110000
+from ..sources.scratch import materialise
+
 NUL, UNK, BOS, EOS = 0, 1, 2, 3
 FIRST_CHAR_ID, FIRST_TAG_ID = 4, 1
-BROADCAST_ROWS = 200_000
-SALTS = 16
+BROADCAST_BYTES = 64 << 20
+HOT_SHARE = 1_000
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Does ``df`` have at most ``rows`` rows? Stops reading once the answer is known."""
-    return df.limit(rows + 1).count() <= rows
+def byte_size(df: DataFrame) -> int:
+    """Bytes of a flat table: the text of its values and 16 for every value."""
+    row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16 * len(df.columns)))
+    return df.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).first()[0]
 
 
 def lookup_join(
@@ -29,28 +33,31 @@ def lookup_join(
     dictionary: DataFrame,
     on: Sequence[str],
     defaults: dict[str, object],
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """Left equi-join on ``on`` with a value for misses (``None`` keeps the NULL)."""
+    """Left equi-join on ``on`` with a value for misses (``None`` keeps the NULL). Keys of ``dictionary`` are unique."""
     values = [c for c in dictionary.columns if c not in on]
-    if at_most(dictionary, broadcast_rows):
-        joined = df.join(F.broadcast(dictionary), list(on), "left")
-    else:
-        # Copies of a hot key are dealt over the salts; the dictionary is repeated once per salt.
-        dealt = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-        repeated = dictionary.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = dealt.join(repeated, [*on, "__salt"], "left").drop("__salt")
     filled = [
         (F.col(v) if defaults.get(v) is None else F.coalesce(F.col(v), F.lit(defaults[v]))).alias(v)
         for v in values
     ]
-    return joined.select(*df.columns, *filled)
+    if byte_size(dictionary) <= broadcast_bytes:
+        return df.join(F.broadcast(dictionary), list(on), "left").select(*df.columns, *filled)
+    counts = materialise(df.groupBy(*on).agg(F.count("*").alias("__n")), "keys")
+    rows = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hot = counts.filter(F.col("__n") * hot_share > rows).select(*on)  # fewer than hot_share keys, null among them
+    entries = materialise(F.broadcast(hot).join(dictionary, list(on), "left"), "hot")
+    named = entries.select(*[F.col(k).alias(f"__hot_{k}") for k in on], *values)
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in on])
+    often = df.join(F.broadcast(named), same)
+    seldom = df.join(F.broadcast(named.drop(*values)), same, "left_anti").join(dictionary, list(on), "left")
+    return often.select(*df.columns, *filled).unionByName(seldom.select(*df.columns, *filled))
 
 
 def char_join(df: DataFrame, chars: DataFrame, default: int = UNK) -> DataFrame:
-    """E2 on one row per character: (ch) -> id. Codepoints bound the dictionary."""
-    return lookup_join(df, chars.select("ch", "id"), ["ch"], {"id": default}, CODEPOINT_LIMIT)
+    """E2 on one row per character: (ch) -> id."""
+    return lookup_join(df, chars.select("ch", "id"), ["ch"], {"id": default})
 
 
 def tag_join(df: DataFrame, tags: DataFrame) -> DataFrame:

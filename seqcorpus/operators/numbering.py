@@ -1,31 +1,43 @@
 """Global and grouped positions, prefix sums and moving windows that no single task has to hold.
 
 ``row_number()`` without (or with a hot) ``partitionBy`` sends all rows of a group through one task.
-Here rows are range-partitioned on (group, order), written once with their place inside the
-partition, and shifted by the totals of the partitions before them. Only one row per (partition,
-group) ever meets in one place.
+Here rows are written once, range-partitioned on (group, order), written again with their place inside
+the partition, and shifted by the totals of the partitions before them. Only one row per (partition,
+group) ever meets in one place. The shift is broadcast: without groups it has one row per partition, with
+groups it is a finished table, whose size decides. So rows are dealt once, by range, and not again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.scratch import materialise
 
-_PART, _PLACE = "__part", "__place"
+_PART, _PLACE, _LOCAL = "__part", "__place", "__local"
 _LOCAL_BITS = (1 << 33) - 1
 
 
-def _pieces(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def _pieces(stored: DataFrame) -> int:
+    """Ranges for a written table: as many as the scan has splits, which follow from its bytes."""
+    spark = stored.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, stored.rdd.getNumPartitions())
 
 
-def _ranged(df: DataFrame, order: Sequence[Column], groups: Sequence[str], pieces: int | None) -> DataFrame:
+def _sorted_ranges(df: DataFrame, order: Sequence[Column], groups: Sequence[str], pieces: int | None) -> DataFrame:
+    """``df`` in ranges of (group, order). It is written first: ranges are sampled, which would compute it twice."""
     keys = [F.col(g).asc_nulls_first() for g in groups] + list(order)
-    ranged = df.repartitionByRange(pieces or _pieces(df), *keys).sortWithinPartitions(*keys)
+    stored = materialise(df, "unordered")
+    return stored.repartitionByRange(pieces or _pieces(stored), *keys).sortWithinPartitions(*keys)
+
+
+def _placed(ranged: DataFrame) -> DataFrame:
     return ranged.withColumn(_PART, F.spark_partition_id()).withColumn(
         _PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))
     )
@@ -36,18 +48,18 @@ def _shift(totals: DataFrame, groups: Sequence[str], names: Sequence[str]) -> Da
     group, so the window is bounded by the number of partitions."""
     before = W.partitionBy(*groups).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     cols = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__before_{n}") for n in names]
-    return totals.select(_PART, *groups, "__first", *cols)
+    kept = [c for c in ("__first", "__total") if c in totals.columns]
+    return totals.select(
+        F.col(_PART).alias("__p"), *[F.col(g).alias(f"__g_{g}") for g in groups], *kept, *cols)
 
 
 def _join_shift(rows: DataFrame, shift: DataFrame, groups: Sequence[str]) -> DataFrame:
-    named = shift.select(
-        F.col(_PART).alias("__p"), *[F.col(g).alias(f"__g_{g}") for g in groups],
-        *[c for c in shift.columns if c.startswith("__before") or c == "__first"],
-    )
-    on = rows[_PART] == named["__p"]
+    """Without groups there is a row per partition; with groups the written table's size chooses the join."""
+    small = materialise(shift, "shift") if groups else F.broadcast(shift)
+    on = rows[_PART] == small["__p"]
     for g in groups:
-        on = on & rows[g].eqNullSafe(named[f"__g_{g}"])
-    return rows.join(named, on, "inner")
+        on = on & rows[g].eqNullSafe(small[f"__g_{g}"])
+    return rows.join(small, on, "inner")
 
 
 def positions(
@@ -61,13 +73,25 @@ def positions(
 
     ``order`` must be total (end it with a unique key) for repeatable results.
     """
-    rows = materialise(_ranged(df, order, groups, pieces), "positions")
+    rows = materialise(_placed(_sorted_ranges(df, order, groups, pieces)), "positions")
     totals = rows.groupBy(_PART, *groups).agg(F.count("*").alias("n"), F.min(_PLACE).alias("__first"))
     shifted = _join_shift(rows, _shift(totals, groups, ["n"]), groups)
     place = F.col("__before_n") + F.col(_PLACE) - F.col("__first") + 1
     return shifted.select(*df.columns, place.cast("bigint").alias(name))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds partition, place and the running sum of the last column, which it replaces."""
+    part, place, total = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        sums = pc.add(pc.cumulative_sum_checked(batch.column(batch.num_columns - 1)), pa.scalar(total, pa.int64()))
+        new = {_PART: pa.array([part] * n, pa.int64()), _PLACE: pa.array(range(place, place + n), pa.int64()), _LOCAL: sums}
+        old = {f: batch.column(i) for i, f in enumerate(batch.schema.names[:-1])}
+        yield pa.RecordBatch.from_pydict(old | new)
+        place, total = place + n, sums[n - 1].as_py() if n else total
+
+
 def prefix_sums(
     df: DataFrame,
     order: Sequence[Column],
@@ -76,25 +100,22 @@ def prefix_sums(
     position: str = "position",
     pieces: int | None = None,
 ) -> DataFrame:
-    """Global inclusive running sum of an integer column, with the position and the grand total.
+    """Global inclusive running sum of an integer column (nulls count 0), with the position and the grand total.
 
-    Adds ``name``, ``position`` and ``name + '_total'``.
+    Adds ``name``, ``position`` and ``name + '_total'``. Sums inside a partition are carried along the sorted
+    rows, batch by batch; a window would deal the rows once more.
     """
-    rows = materialise(_ranged(df, order, (), pieces), "prefix")
-    totals = rows.groupBy(_PART).agg(
-        F.count("*").alias("n"), F.sum(value).alias("v"), F.min(_PLACE).alias("__first")
-    )
-    all_parts = W.partitionBy()
-    shift = _shift(totals, (), ["n", "v"]).join(
-        totals.select(F.col(_PART), F.sum("v").over(all_parts).alias("__total")), _PART
-    )
-    inside = W.partitionBy(_PART).orderBy(_PLACE).rowsBetween(W.unboundedPreceding, 0)
-    local = rows.withColumn("__local", F.sum(value).over(inside))
-    joined = local.join(shift, _PART)
+    added = [StructField(c, LongType()) for c in (_PART, _PLACE, _LOCAL)]
+    ranged = _sorted_ranges(df, order, (), pieces).select("*", F.coalesce(F.col(value).cast("bigint"), F.lit(0)).alias(_LOCAL))
+    rows = materialise(ranged.mapInArrow(_running, StructType([*df.schema.fields, *added])), "prefix")
+    totals = rows.groupBy(_PART).agg(F.count("*").alias("n"), F.max_by(_LOCAL, _PLACE).alias("v"))
+    totals = totals.withColumn("__total", F.sum("v").over(W.partitionBy()))  # one row per partition
+    shift = _shift(totals, (), ["n", "v"])
+    joined = _join_shift(rows, shift, ())
     return joined.select(
         *df.columns,
-        (F.col("__before_n") + F.col(_PLACE) - F.col("__first") + 1).cast("bigint").alias(position),
-        (F.col("__before_v") + F.col("__local")).cast("bigint").alias(name),
+        (F.col("__before_n") + F.col(_PLACE) + 1).cast("bigint").alias(position),
+        (F.col("__before_v") + F.col(_LOCAL)).cast("bigint").alias(name),
         F.col("__total").cast("bigint").alias(f"{name}_total"),
     )
 

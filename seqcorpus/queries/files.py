@@ -23,7 +23,7 @@ SID = fx.SID
 def write_dumps(spark, sf, compression: str = "gzip") -> str:
     """Dumps as text files whose records end in ``EOS`` lines."""
     path = scratch_path(spark, "dumps")
-    body = F.expr("left(raw, length(raw) - 3)")
+    body = F.left("raw", F.length("raw") - len(records.RECORD_END) + 1)
     out = fx.dumps(spark, sf).select(body.alias("value")).write
     out.option("lineSep", records.RECORD_END).option("compression", compression).text(path)
     return path
@@ -42,11 +42,17 @@ def records_roundtrip(spark, sf):
 def streamed_counts(spark, sf):
     """The dictionary counts as a stream over the folder, run until it is read."""
     folder = write_dumps(spark, sf)
-    name = f"counts_{folder.rsplit('-', 1)[1]}"
-    stream = streaming_counts(spark, folder).writeStream.outputMode("complete").format("memory").queryName(name)
+    stored = scratch_path(spark, "counts")
+    batches: list[int] = []
+
+    def store(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{stored}/{batch}")
+        batches.append(batch)
+
+    stream = streaming_counts(spark, folder).writeStream.outputMode("complete").foreachBatch(store)
     stream = stream.option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{stored}/{batches[-1]}")
 
 
 @query("carried_comments", """

@@ -9,34 +9,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions.arrays import bind, computed_once
 
 END_MARK = "EOS"
-RECORD_END = "EOS\n"
+RECORD_END = "\nEOS\n"
 COMMENT_MARK = "#"
 # List lines must be longer than this, per job.
 EXAMPLE_JOB_LIST_MIN, DICTIONARY_JOB_LIST_MIN = 4, 5
 
 
-def strip_last_mark(value: Column) -> Column:
-    """A file may end in ``EOS`` without a newline; its last record then still holds the mark."""
-    return F.when(
-        (value == END_MARK) | value.endswith("\n" + END_MARK), F.expr("left(value, length(value) - 3)")
-    ).otherwise(value)
+def marked_records(value: Column) -> Column:
+    """The records, each ending in a line with the mark alone, of a text cut at ``RECORD_END``.
+
+    Only a whole line is a mark: a line such as ``# VIDEOS`` is content. Marks at the head of the text are
+    empty records, one each. A file may end in the mark without a newline, or without a mark; so a newline
+    directly before the mark's own cannot be told from the file's last one and is dropped. Two empty records
+    that follow each other share the newline between their marks and count as one.
+    """
+    mark = len(END_MARK)
+    heads = F.when(value.startswith(END_MARK + "\n"), F.regexp_extract(value, "^(?:EOS\\n)+", 0)).otherwise("")
+    empty = F.array_repeat(F.lit(END_MARK), (F.length(heads) / (mark + 1)).cast("int"))
+    rest = F.substr(value, F.length(heads) + 1)
+    unended = (
+        F.when(rest.endswith("\n" + END_MARK), F.left(rest, F.length(rest) - mark - 1))
+        .when(rest.endswith("\n"), F.left(rest, F.length(rest) - 1))
+        .otherwise(rest)
+    )
+    lone = F.when(F.length(unended) > 0, F.concat(unended, F.lit("\n" + END_MARK))).otherwise(F.lit(END_MARK))
+    record = F.when((value == "") | (rest == END_MARK), END_MARK).when(rest != "", lone)
+    return F.concat(empty, F.array_compact(F.array(record)))
 
 
 def read_records(
-    spark: SparkSession, paths: str | Sequence[str], sep: str = RECORD_END, strict: bool = True,
-    streaming: bool = False, name: str = "raw",
+    spark: SparkSession, paths: str | Sequence[str], strict: bool = True, streaming: bool = False, name: str = "raw",
 ) -> DataFrame:
-    """A1: one row per record, without its delimiter but ending in the mark.
+    """A1: one row per record, ending in the mark.
 
     ``strict`` fails on malformed UTF-8; otherwise such records get a ``valid`` of false.
     """
-    reader = (spark.readStream if streaming else spark.read).option("lineSep", sep)
+    reader = (spark.readStream if streaming else spark.read).option("lineSep", RECORD_END)
     rows = reader.text(paths if isinstance(paths, str) else list(paths))
-    value = strip_last_mark(F.col("value")) if sep == RECORD_END else F.col("value")
-    raw = F.concat(value, F.lit(END_MARK)).alias(name)
     if strict:
-        return rows.select(F.concat(F.validate_utf8(value), F.lit(END_MARK)).alias(name))
-    return rows.select(raw, F.is_valid_utf8("value").alias("valid"))
+        return rows.select(F.explode(marked_records(F.validate_utf8("value"))).alias(name))
+    return rows.select(F.explode(marked_records(F.col("value"))).alias(name), F.is_valid_utf8("value").alias("valid"))
 
 
 def resolve_inputs(spark: SparkSession, spec: str, always_list: bool = False) -> list[str]:

@@ -70,7 +70,7 @@ def test_positions_with_a_hot_group(spark):
     got = numbering.positions(df, [F.col("id").desc()], ["g"], pieces=16)
     want = df.withColumn("p", F.row_number().over(W.partitionBy("g").orderBy(F.col("id").desc())).cast("bigint"))
     assert got.exceptAll(want).count() == 0 and got.count() == 3000
-    hot = numbering._ranged(df, [F.col("id")], ["g"], 16).filter("g = 99").select("__part").distinct().count()
+    hot = numbering._placed(numbering._sorted_ranges(df, [F.col("id")], ["g"], 16)).filter("g = 99").select("__part").distinct().count()
     assert hot > 4
 
 
@@ -125,11 +125,11 @@ def test_sentence_difficulty_default_and_empty(spark):
     assert got == {1: 2, 2: 3, 3: 0, 4: 0}
 
 
-def test_salted_join_equals_broadcast(spark):
+def test_join_with_hot_keys_equals_broadcast(spark):
     df = spark.range(500).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 60).alias("k"))
     dic = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     small = lookup.lookup_join(df, dic, ["k"], {"v": -1})
-    large = lookup.lookup_join(df, dic, ["k"], {"v": -1}, broadcast_rows=5)
+    large = lookup.lookup_join(df, dic, ["k"], {"v": -1}, broadcast_bytes=5, hot_share=4)
     assert small.exceptAll(large).count() == 0 and large.count() == 500
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
 
