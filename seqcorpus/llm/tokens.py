@@ -1,8 +1,9 @@
-"""Token ids of whole texts by a public vocabulary file, piece by piece through a cache.
+"""Token ids of whole texts by a public vocabulary file, each different piece of a batch once.
 
 A text is cut before each blank that a non-blank follows. The vocabulary's split pattern always
 starts a token there, so pieces can be encoded apart and their ids joined: the ids are those of the
-whole text. Pieces recur, so most come from the cache; the rest go to the library in one batch.
+whole text. Pieces recur, so Arrow tells the different ones of a batch apart; those not met before go to
+the library joined, and the ids of all are gathered by place. Pieces met are kept in flat arrays, up to a bound.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-CACHED_PIECES = 300_000
-CACHED_LENGTH = 64
+#: pieces that go to the library in one call; pieces that a worker keeps with their ids, and the bytes of these
+CALL_PIECES = 1024
+KEPT_PIECES, KEPT_BYTES = 800_000, 48 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -27,40 +29,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: a blank at the head, before white space or at the end: such texts are encoded as they are
 _ODD_BLANK = re.compile(r"\A | (?=\s|\Z)")
 
 
-def pieces(text: str) -> list[str]:
-    """Parts of ``text`` that the split pattern never joins; together they are the text."""
-    if not _ODD_BLANK.search(text):
-        first, *rest = text.split(" ")
-        return [first, *[" " + part for part in rest]]
-    out: list[str] = []
-    for part in text.split(" "):
-        if part and not part[0].isspace():
-            out.append(" " + part)
-        elif out:
-            out[-1] += " " + part
-        else:
-            out.append(" " + part)
-    if text[:1] != " " or text[:2].isspace() or len(text) == 1:
-        out[0] = out[0][1:]
-    else:  # a leading blank starts the first word: the empty part before it is no piece
-        out[0] = out[0][1:]
-        out = out[1:] if not out[0] else out
-    return out
-
-
-def words(piece: str) -> tuple[str, ...]:
-    """Parts at a single line's end and before a last sign; the pattern always parts tokens there."""
-    line, end, following = piece.partition("\n")
-    if not end:
-        return (piece[:-1], piece[-1]) if piece[-1] in ".,!?" and piece[-2:-1].isalpha() else (piece,)
-    if not line or not following or "\n" in following or line[-1].isspace() or following[0].isspace():
-        return (piece,)
-    return (*words(line), "\n", *words(following))
-
-
 class Encoder:
     """Encodes texts to ids as ``uint16`` (vocabularies above 65,536 ids: ``uint32``)."""
 
@@ -73,76 +45,74 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 65_536 else "<u4")
         #: bytes of each id: the byte-level alphabet writes one character for each byte
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode_parts(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of each part. Words are joined to long texts, at places where the pattern parts them,
-        and the ids told apart by their bytes: a call for each word would cost more than its ids."""
-        words = [p for p in parts if (p[0] == " " and len(p) > 1 or p[0].isalpha()) and not (p[:2].isspace() or p[-1].isspace())]
-        rest = list(parts.difference(words))
-        done = {}
-        for at in range(0, len(rest), 1024):
-            found = self.tokenizer.encode_batch_fast(rest[at:at + 1024], add_special_tokens=False)
-            done.update(zip(rest[at:at + 1024], [np.array(f.ids, self.dtype).tobytes() for f in found]))
-        for at in range(0, len(words), 1024):
-            batch = words[at:at + 1024]
-            lead = [p[0] != " " for p in batch]  # these stand after a line's end of one byte and one id
-            texts = ["\n" + p if new else p for p, new in zip(batch, lead)]
-            (found,) = self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)
-            ids = np.array(found.ids, self.dtype)
-            ends = np.cumsum([len(t.encode()) for t in texts])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1).tolist()]
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            done.update((p, raw[(i + new) * width:j * width]) for p, new, i, j in zip(batch, lead, cuts, cuts[1:]))
-        return done
+        self._forget()
+
+    def _forget(self) -> None:
+        self.kept, self.kept_ids, self.kept_sizes = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text from the library."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), 256):
+            found = self.tokenizer.encode_batch_fast(texts[at:at + 256], add_special_tokens=False)
+            out += [np.array(f.ids, self.dtype) for f in found]
+        return out
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that each follow a blank, in one array, and the number of each piece's ids. Joined pieces are
+        told apart by their bytes: a call for each would cost more than its ids."""
+        flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for at in range(0, len(pieces), CALL_PIECES):
+            part = pieces.slice(at, CALL_PIECES)
+            ids = self._whole([" " + " ".join(part.to_pylist())])[0]
+            ends = np.cumsum(pc.binary_length(part).to_numpy() + 1)
+            flat.append(ids)
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1, prepend=0))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where different pieces are kept, after those not met before were encoded."""
+        if len(self.kept) + len(pieces) > KEPT_PIECES or self.kept.nbytes + self.kept_ids.nbytes > KEPT_BYTES:
+            self._forget()
+        found = pc.index_in(pieces, value_set=self.kept)
+        new = pieces.filter(found.is_null())
+        places = found.fill_null(-1).to_numpy().astype(np.int64)
+        places[places < 0] = len(self.kept) + np.arange(len(new))
+        ids, sizes = self._joined(new)
+        self.kept = pa.concat_arrays([self.kept, new])
+        self.kept_ids, self.kept_sizes = np.concatenate([self.kept_ids, ids]), np.concatenate([self.kept_sizes, sizes])
+        return places
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Texts are split and their pieces told apart by Arrow, so only different pieces of a call
-        are looked up one by one; the ids of all are then gathered by place."""
-        if len(self.cache) > CACHED_PIECES:
-            self.cache.clear()
-        odd = [i for i, t in enumerate(texts) if not t or _ODD_BLANK.search(t)]
-        apart = self._ids({p for i in odd if texts[i] for p in pieces(texts[i])})
+        """Ids of each text."""
+        odd = [i for i, t in enumerate(texts) if _ODD_BLANK.search(t)]
         out = [np.zeros(0, self.dtype)] * len(texts)
-        for i in odd:
-            if texts[i]:
-                out[i] = np.frombuffer(b"".join([apart[p] for p in pieces(texts[i])]), self.dtype)
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
+            out[i] = ids
         left = set(odd)
-        plain = [i for i in range(len(texts)) if i not in left]
+        plain = [i for i, t in enumerate(texts) if t and i not in left]
         if not plain:
             return out
         split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
         starts = split.offsets.to_numpy()
         parts = split.flatten()
-        coded = parts.dictionary_encode()
-        codes = coded.indices.to_numpy().copy()
-        keys = [" " + p for p in coded.dictionary.to_pylist()] + parts.take(pa.array(starts[:-1])).to_pylist()
-        codes[starts[:-1]] = np.arange(len(keys) - len(plain), len(keys))  # a text's first piece has no blank
-        known = self._ids(set(keys))
-        ids = [known[k] for k in keys]
-        width = self.dtype.itemsize
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        flat = np.frombuffer(b"".join(ids), self.dtype)
+        heads = self._whole(parts.take(pa.array(starts[:-1])).to_pylist())  # a text's first piece has no blank
+        later = np.ones(len(parts), bool)
+        later[starts[:-1]] = False
+        coded = parts.filter(pa.array(later)).dictionary_encode()
+        places = self._places(coded.dictionary)
+        codes = np.empty(len(parts), np.int64)
+        codes[later] = places[coded.indices.to_numpy()]
+        codes[~later] = np.arange(len(self.kept), len(self.kept) + len(heads))
+        flat = np.concatenate([self.kept_ids, *heads])
+        sizes = np.concatenate([self.kept_sizes, np.fromiter(map(len, heads), np.int64, len(heads))])
         counts = sizes[codes]
         ends = np.cumsum(counts)
         gathered = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + counts, counts) + np.arange(ends[-1])]
-        for i, part in zip(plain, np.split(gathered, ends[starts[1:-1] - 1])):
-            out[i] = part
+        for i, ids in zip(plain, np.split(gathered, ends[starts[1:-1] - 1])):
+            out[i] = ids
         return out
 
-    def _ids(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of different pieces, from the cache or else by their words."""
-        found = {p: ids for p in wanted if (ids := self.cache.get(p)) is not None}
-        return found | self._resolve(wanted.difference(found)) if len(found) < len(wanted) else found
-
-    def _resolve(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the cache lacks: of their words from the cache, or from the library."""
-        split = {p: words(p) for p in missing}
-        done = self._encode_parts({q for parts in split.values() for q in parts if q not in self.cache})
-        resolved = {p: b"".join([done[q] if q in done else self.cache[q] for q in parts]) for p, parts in split.items()}
-        self.cache.update((q, ids) for q, ids in done.items() if len(q) <= CACHED_LENGTH)
-        return resolved
-
 
 _ENCODERS: dict[str, Encoder] = {}
 

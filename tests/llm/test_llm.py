@@ -11,10 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqcorpus.llm import (
-    byte_bpe, exact_search, extraction, graphs, near_copies, near_search, packing, personal, quality, sharding, token_files,
+    byte_bpe, exact_search, extraction, graphs, near_copies, near_search, packing, personal, quality, sharding, token_files, tokens,
 )
 from seqcorpus.llm.common import scratch_path
-from seqcorpus.llm.tokens import encoder, pieces, vocabulary_path
+from seqcorpus.llm.tokens import encoder, vocabulary_path
 
 DOCS = "doc_id long, text string, size int, score string, shard string"
 WORDS = "a the of and to in that it is was for on are with as his they at be this from have or by one had not but".split()
@@ -47,14 +47,16 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_pieces_keep_the_ids():
+def test_pieces_keep_the_ids(monkeypatch):
     draw = random.Random(1)
     parts = [" ", "  ", "\n", "\t", "a", "b", "é", "1", ".", "'s", "'", "　", "x y", "<|endoftext|>", "文"]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(3000)]
     encode = encoder(vocabulary_path())
-    for text, ids in zip(texts, encode.encode(texts)):
-        assert "".join(pieces(text)) == text or not text
-        assert [*ids.tolist(), 2] == reference_ids(text), text
+    for kept in (1_000_000, 50):  # all pieces kept, then forgotten with each batch
+        monkeypatch.setattr(tokens, "KEPT_PIECES", kept)
+        for at in range(0, len(texts), 100):
+            for text, ids in zip(texts[at:at + 100], encode.encode(texts[at:at + 100])):
+                assert [*ids.tolist(), 2] == reference_ids(text), text
 
 
 def test_token_files(spark, docs, none):
