@@ -2,9 +2,11 @@
 
 The space is cut by a bounded sample: it is halved again and again along the line between two means, so all
 lists' shares are equal. Centroids are searched through a graph of nearest centroids, by a beam, for
-many vectors at once. Every row is put into its nearest list and into others almost as near (boundary vectors), a
-query searches the lists whose centroids are at most ``ratio`` times as far as its nearest. A list of any size is
-searched in blocks. Scores are cosines of the original vectors in double precision.
+many vectors at once. Every row is put into its nearest list and into others almost as near (boundary vectors). How many
+lists a query searches is measured on the table itself: ``PROBES`` queries are compared with all rows, and the number of
+lists, nearest first, is the least that holds the share ``recall`` of their true neighbours. So it grows with the lists
+where the vectors need it (near-random ones: a share of all lists). A list of any size is searched in blocks. Scores are
+cosines of the original vectors in double precision.
 
 Parameters: ``SAMPLE`` rows fit the lists; there are rows / ``LIST_ROWS`` lists, at most ``MOST_LISTS`` (so
 centroids and graph stay within some 10 MB, whatever the input).
@@ -30,10 +32,11 @@ LIST_ROWS = 512
 MOST_LISTS = 16_384
 REPLICAS = 4
 BOUNDARY = 1.15
-RATIO = 1.1
 NEIGHBOURS = 24
-BEAM = 96
-LEAST = 16  # lists that a query searches whatever their distances
+RECALL = 0.99  # share of the probes' true neighbours that the searched lists must hold
+PROBES = 256
+LEAST = 16  # lists that a query searches whatever the probes need
+PLANNED = 1 << 22  # distances to centroids held at once
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -112,7 +115,61 @@ class CentroidGraph:
         return np.take_along_axis(held, order, 1), np.sqrt(np.take_along_axis(held_away, order, 1))
 
 
-def search(vectors: DataFrame, is_query, k: int, ratio: float = RATIO, beam: int = BEAM) -> DataFrame:
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def by_distance(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """All lists for each row, nearest centroid first."""
+    away = (centroids**2).sum(1) - 2 * x.astype(np.float32) @ centroids.T
+    return np.argsort(away, 1, kind="stable").astype(np.int32)
+
+
+def true_neighbours(vectors: DataFrame, ids: np.ndarray, probes: np.ndarray, k: int) -> DataFrame:
+    """The ``k`` nearest of all rows for each probe, by one scan; a task gives ``k`` rows for each probe at most."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, best_ids = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, scores = batch.column(0).to_numpy(), probes @ unit(matrix(batch.column(1))).T
+            scores[ids[:, None] == own] = -np.inf
+            best = np.concatenate([best, scores], 1)
+            best_ids = np.concatenate([best_ids, np.repeat(own[None], len(ids), 0)], 1)
+            order = np.lexsort((best_ids, -best), axis=1)[:, :k]
+            best, best_ids = np.take_along_axis(best, order, 1), np.take_along_axis(best_ids, order, 1)
+        row, column = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[row], pa.int64()), pa.array(best_ids[row, column], pa.int64()), pa.array(best[row, column])],
+            ["query_id", "vec_id", "score"])
+
+    return top(vectors.mapInArrow(scan, FOUND), k)
+
+
+def lists_needed(vectors: DataFrame, is_query, candidates: DataFrame, centroids: np.ndarray, k: int, recall: float) -> int:
+    """How many lists, nearest first, hold the share ``recall`` of the true neighbours of sampled queries."""
+    least = min(LEAST, len(centroids))
+    ids, probes = sample(vectors.filter(is_query), PROBES)
+    if not len(ids):
+        return least
+    probes = unit(probes)
+    pairs = materialise(true_neighbours(vectors, ids, probes, k).select("query_id", "vec_id").distinct(), "true-neighbours")
+    held = pairs.join(candidates.select("vec_id", "cell"), "vec_id").select("query_id", "vec_id", "cell").distinct().toArrow()
+    if not len(held):
+        return least
+    order = by_distance(probes, centroids)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(centroids), dtype=np.int32)[None], 1)
+    row = {q: i for i, q in enumerate(ids.tolist())}
+    need: dict[tuple[int, int], int] = {}
+    for q, v, cell in zip(*(held[c].to_pylist() for c in ("query_id", "vec_id", "cell"))):
+        need[q, v] = min(need.get((q, v), len(centroids)), int(rank[row[q], cell]))
+    ordered = sorted(need.values())
+    return max(least, 1 + ordered[min(len(ordered), int(np.ceil(recall * len(ordered)))) - 1])
+
+
+def search(vectors: DataFrame, is_query, k: int, recall: float = RECALL) -> DataFrame:
     """The ``k`` nearest found for each row for which ``is_query`` holds, among all other rows.
 
     ``vectors`` has ``vec_id`` and ``vec`` (doubles, not all zero)."""
@@ -120,27 +177,35 @@ def search(vectors: DataFrame, is_query, k: int, ratio: float = RATIO, beam: int
     if not rows:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     _, points = sample(vectors, SAMPLE)
-    points = points / np.linalg.norm(points, axis=1, keepdims=True)
-    graph = CentroidGraph(balanced_centroids(points, max(1, min(MOST_LISTS, rows // LIST_ROWS, len(points) // 2))))
-
-    def posted(ratio: float, beam: int, most: int, least: int):
-        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    part = batch.slice(at, 1024)
-                    x = matrix(part.column(1))
-                    lists, away = graph.search(x / np.linalg.norm(x, axis=1, keepdims=True), beam)
-                    near = away[:, :most] <= ratio * away[:, :1]
-                    near[:, :least] = True
-                    row, column = np.nonzero(near & np.isfinite(away[:, :most]))
-                    taken = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists[row, column], pa.int32())], ["vec_id", "vec", "cell"])
-
-        return post
-
-    schema = "vec_id long, vec array<double>, cell int"
-    candidates = materialise(vectors.mapInArrow(posted(BOUNDARY, 16, REPLICAS, 1), schema), "posting-lists")
-    queries = materialise(vectors.filter(is_query).mapInArrow(posted(ratio, beam, beam, LEAST), schema), "list-queries")
+    graph = CentroidGraph(balanced_centroids(unit(points), max(1, min(MOST_LISTS, rows // LIST_ROWS, len(points) // 2))))
+    centroids = graph.centroids
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                lists, away = graph.search(unit(matrix(part.column(1))), 16)
+                near = away[:, :REPLICAS] <= BOUNDARY * away[:, :1]
+                near[:, :1] = True
+                row, column = np.nonzero(near & np.isfinite(away[:, :REPLICAS]))
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists[row, column], pa.int32())], ["vec_id", "vec", "cell"])
+
+    candidates = materialise(vectors.mapInArrow(post, "vec_id long, vec array<double>, cell int"), "posting-lists")
+    most = lists_needed(vectors, is_query, candidates, centroids, k, recall)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(1024, PLANNED // len(centroids)))
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                cells = by_distance(unit(matrix(part.column(1))), centroids)[:, :most]
+                edges = np.arange(len(part) + 1, dtype=np.int32) * cells.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.ListArray.from_arrays(edges, pa.array(cells.ravel()))], ["vec_id", "vec", "cells"])
+
+    planned = materialise(vectors.filter(is_query).mapInArrow(plan, "vec_id long, vec array<double>, cells array<int>"), "list-queries")
+    queries = planned.select("vec_id", "vec", F.explode("cells").alias("cell"))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, q, x_ids, x = left["vec_id"].to_numpy(), matrix(left["vec"]), right["vec_id"].to_numpy(), matrix(right["vec"])

@@ -224,6 +224,18 @@ def test_near_search(spark):
     assert near_search.search(rows.limit(0), F.lit(True), 3).count() == 0
 
 
+def test_near_search_of_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(near_search, "LIST_ROWS", 4)  # 2,000 lists
+    x = np.random.default_rng(8).normal(0, 1, (8000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = near_search.materialise(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<double>"), "many")
+    found = near_search.search(rows, F.col("vec_id") % 80 == 0, 5).collect()
+    scores = unit[::80] @ unit.T
+    hits = sum(
+        r["score"] >= np.sort(np.delete(scores[r["query_id"] // 80], r["query_id"]))[-5] - 1e-9 for r in found)
+    assert len(found) == 500 and hits >= 0.97 * 500
+
+
 def brute_components(texts, width, percent):
     sets = []
     for text in texts:
