@@ -1,13 +1,15 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree of elements. Elements that never hold the article (menus, footers, forms,
-scripts, adverts, reader comments ...) are known by tag, role, class or id and left out. For every other
-element the density is its characters per tag, adjusted for how many of both lie in links; an element's
-density sum adds up its children. The element with the largest sum is the core. The smallest density on
-its path to the body is the threshold: the core grows to its parent as long as that is no container of
-the page and its density reaches the threshold; an ``article`` or ``main`` around it is taken whole.
+scripts, adverts, reader comments ...) are known by tag, role, class or id and left out; but a form, a header or a
+hint drops no subtree without which the page would have no ``article`` or ``main``, or, where the page has neither, that
+holds most of its text outside links. For every other element the density is its characters per tag, adjusted for how many
+of both lie in links; an element's density sum adds up its children. The element with the largest sum is the core;
+an ``article`` or ``main`` around it is taken whole. Else the smallest density on the core's path to the body is the
+threshold: in every element that reaches it, the element of the largest sum is taken. Headings before what is taken
+beside or below them, and paragraphs and texts between such parts that are not mostly links, are taken with it.
 
-The text is that of the chosen subtree: character references decoded, white space made one blank, blocks
+The text is that of the chosen subtrees: character references decoded, white space made one blank, blocks
 joined by one blank. Nothing is cut off.
 
 Edge cases: null or empty html and pages without text give an empty text; open or stray tags, unquoted
@@ -40,6 +42,8 @@ INLINE = frozenset(
 NEVER = frozenset(
     "head nav footer aside form script style noscript template button select option textarea input iframe object embed applet svg math "
     "canvas audio video dialog menu map title xmp noembed noframes".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+LEAVES = HEADINGS | frozenset("p li td th tr dd dt".split())
 KEPT = frozenset("html body article main".split())
 #: elements that a start tag of the same set ends
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -59,13 +63,44 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped = ["#page"], [-1], [False]
+        self.hinted = [False]  # dropped by no more than a hint, a header or a form
         self.texts: list[tuple[int, str]] = []
         self._read(source)
+        self._settle()
 
-    def _drops(self, tag: str, attributes: str, inside: bool) -> bool:
-        if tag in NEVER:
+    def _settle(self) -> None:
+        """Keep hinted elements that hold the page's article, drop all other subtrees."""
+        tags, parents, hinted = self.tags, self.parents, self.hinted
+        n = len(tags)
+        if any(hinted):
+            under, linked, size = [False] * n, [False] * n, [0] * n
+            for i in range(1, n):
+                p = parents[i]
+                self.dropped[i] = self.dropped[i] or self.dropped[p]
+                under[i], linked[i] = under[p] or hinted[i], linked[p] or tags[i] == "a"
+            articles = [i for i in range(n) if tags[i] in ("article", "main") and not self.dropped[i]]
+            if not articles:
+                for i, text in self.texts:
+                    if not linked[i] and not self.dropped[i]:
+                        size[i] += len(text) - text.count(" ") - text.count("\n")
+                for i in range(n - 1, 0, -1):
+                    size[parents[i]] += size[i]
+                for i in range(1, n):
+                    hinted[i] = hinted[i] and 2 * size[i] <= size[0]
+            elif all(under[i] for i in articles):
+                holds = [False] * n
+                for i in articles:
+                    holds[i] = True
+                for i in range(n - 1, 0, -1):
+                    hinted[i] = hinted[i] and not holds[i]
+                    holds[parents[i]] = holds[parents[i]] or holds[i]
+        for i in range(1, n):
+            self.dropped[i] = self.dropped[i] or hinted[i] or self.dropped[parents[i]]
+
+    def _hints(self, tag: str, attributes: str, inside: bool) -> bool:
+        if tag == "form":
             return True
-        if tag in KEPT:
+        if tag in NEVER or tag in KEPT:
             return False
         if tag == "header":
             return not inside
@@ -94,7 +129,7 @@ class Page:
         while at < end:
             found = _TOKEN.search(source, at)
             stop = found.start() if found else end
-            if stop > at and not dropped[stack[-1]]:
+            if stop > at:
                 texts.append((stack[-1], source[at:stop]))
             if not found:
                 break
@@ -122,7 +157,8 @@ class Page:
                 texts.append((stack[-1], "\n"))
             tags.append(tag)
             parents.append(stack[-1])
-            dropped.append(dropped[stack[-1]] or self._drops(tag, found[3], bool(open_tags["article"] or open_tags["main"])))
+            dropped.append(tag in NEVER and tag != "form")
+            self.hinted.append(self._hints(tag, found[3], bool(open_tags["article"] or open_tags["main"])))
             if tag in RAW:
                 closing = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(source, at)
                 skip = source.find(">", closing.start()) if closing else -1
@@ -132,14 +168,16 @@ class Page:
                 open_tags[tag] += 1
 
 
-def core(page: Page) -> int:
-    """The element whose subtree is the article."""
+def core(page: Page) -> list[int]:
+    """The elements whose subtrees are the article, in page order."""
     n = len(page.tags)
     chars, below, link_chars, links = [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
     for i in range(1, n):
         linked[i] = linked[page.parents[i]] or page.tags[i] == "a"
     for i, text in page.texts:
+        if page.dropped[i]:
+            continue
         size = len(text) - text.count(" ") - text.count("\n")
         chars[i] += size
         if linked[i]:
@@ -155,33 +193,67 @@ def core(page: Page) -> int:
     body = next((i for i in range(n) if page.tags[i] == "body"), 0)
     share = link_chars[body] / max(1, chars[body])
     density, sums = [0.0] * n, [0.0] * n
-    for i in range(n - 1, 0, -1):
+    for i in range(n - 1, -1, -1):
         if page.dropped[i] or not chars[i]:
             continue
         c, t, lc, lt = chars[i], max(1, below[i]), max(1, link_chars[i]), max(1, links[i])
         base = math.log(c * lc / max(1, c - link_chars[i]) + share * c + math.e)
         density[i] = max(0.0, c / t * math.log(max(1.0, c * t / (lc * lt))) / math.log(max(base, 1.0001)))
-        sums[page.parents[i]] += density[i]
+        if i:
+            sums[page.parents[i]] += density[i]
     best = max(range(n), key=lambda i: (sums[i], -i))
     if not sums[best]:
-        return body
+        return [body]
     path = [best]
     while path[-1] not in (body, 0, -1):
         path.append(page.parents[path[-1]])
     path = [i for i in path if i >= 0]
-    threshold = min(density[i] for i in path)
-    for i in path[1:]:
-        if i == body or page.tags[i] in ("html", "#page") or density[i] < threshold:
-            break
-        if page.tags[best] in INLINE or page.tags[best] in ("p", "li", "td", "th", "tr", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6"):
-            best = i
     for i in path:
         if page.tags[i] in ("article", "main"):
-            best = i
-            break
-    if best != body and (page.tags[best] in INLINE or page.tags[best] == "p"):
-        best = page.parents[best] if page.parents[best] >= 0 else body
-    return best
+            return [i]
+    if best == path[-1]:
+        return [best]
+    return taken(page, path[-1], best, min(density[i] for i in path), density, sums, chars, link_chars)
+
+
+def taken(page: Page, body: int, best: int, threshold: float, density: list, sums: list, chars: list, link_chars: list) -> list[int]:
+    """In every element below ``body`` whose density reaches the threshold, the element of the largest sum."""
+    n, parents, tags = len(page.tags), page.parents, page.tags
+    own = [sums[i] or density[i] for i in range(n)]  # an element without children counts itself
+    most = list(range(n))
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        if not page.dropped[i] and own[most[i]] >= own[most[p]] and (most[p] != p or own[most[i]] > own[p]):
+            most[p] = most[i]
+
+    block = list(range(n))  # the element itself or, of an inline one, the block around it
+    for i in range(body + 1, n):
+        if parents[i] > body and tags[i] in INLINE:
+            block[i] = block[parents[i]]
+    marked, under = [False] * n, [False] * n
+    while parents[best] > body and tags[best] in INLINE | LEAVES:
+        best = parents[best]
+    marked[best] = True
+    below = [False] * n
+    for i in range(body, n):
+        below[i] = i == body or parents[i] >= body and below[parents[i]]
+        if i > body:
+            under[i] = marked[i] or under[parents[i]]
+        if below[i] and i > body and not under[i] and not page.dropped[i] and chars[i] and density[i] >= threshold:
+            marked[block[most[i]]] = True
+            under[i] = marked[i]
+    # what stands beside the taken parts: the last and first of them below each element
+    first, last = [n] * n, [-1] * n
+    for i in range(n - 1, 0, -1):
+        if marked[i] or last[i] >= 0:
+            p = parents[i]
+            first[p], last[p] = min(first[p], i), max(last[p], i)
+    for i in range(body + 1, n):
+        p = parents[i]
+        if below[i] and not under[p] and not page.dropped[i] and not marked[i] and last[i] < 0 and 2 * link_chars[i] <= chars[i]:
+            if tags[i] == "h1" and i < last[body] or i < last[p] and (tags[i] in HEADINGS or i > first[p]):
+                marked[i] = True
+    return [i for i in range(n) if marked[i]]
 
 
 def main_text(source: str | None) -> str:
@@ -189,11 +261,37 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    root = core(page)
     inside = [False] * len(page.tags)
+    for i in core(page):
+        inside[i] = True
     for i, parent in enumerate(page.parents):
-        inside[i] = i == root or i > root and inside[parent] and not page.dropped[i]
-    return " ".join(html.unescape("".join(text for i, text in page.texts if inside[i])).split())
+        inside[i] = inside[i] or i > 0 and inside[parent] and not page.dropped[i]
+    places = [at for at, (i, _) in enumerate(page.texts) if inside[i]]
+    if not places:
+        return ""
+    around = [False] * len(page.tags)  # elements that hold parts of the article and are none
+    for i in range(len(page.tags) - 1, 0, -1):
+        if (inside[i] or around[i]) and not inside[page.parents[i]]:
+            around[page.parents[i]] = True
+    holder = [0] * len(page.tags)
+    for i in range(1, len(page.tags)):
+        holder[i] = i if around[i] else holder[page.parents[i]]
+    first, last = {}, {}
+    for at in places:
+        i = holder[page.texts[at][0]]
+        first.setdefault(i, at)
+        last[i] = at
+    for i in range(len(page.tags) - 1, 0, -1):
+        p = page.parents[i]
+        if i in first:
+            first[p], last[p] = min(first.get(p, first[i]), first[i]), max(last.get(p, last[i]), last[i])
+    parts = []
+    for at, (i, text) in enumerate(page.texts):
+        if inside[i] or around[i] and first.get(i, at) < at < last.get(i, at):
+            parts.append(text)
+        elif not page.dropped[i]:
+            parts.append("\n")
+    return " ".join(html.unescape("".join(parts)).split())
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

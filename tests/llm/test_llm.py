@@ -187,6 +187,26 @@ def test_extraction(spark):
     assert sorted(found) == [(1, 29), (2, 0), (2, 0)] and extraction.extract(pages.limit(0)).count() == 0
 
 
+PARAGRAPHS = [f"<p>{'word%d ' % i * 50}</p>" for i in range(7)]
+
+
+@pytest.mark.parametrize("parts", [
+    ["<div id=content><section><h2>one</h2>", *PARAGRAPHS[:3], "</section><p>bridge</p>loose<section>", *PARAGRAPHS[3:], "</section></div>"],
+    ["<h1>headline</h1><div class=body>", *PARAGRAPHS[:4], "</div>"],
+    ["<form id=aspnet><main><h1>headline</h1>", *PARAGRAPHS[:2], "</main></form>"],
+    ["<div class=widget><h1>headline</h1>", *PARAGRAPHS[:4], "</div>"],
+])
+def test_extraction_keeps_all_parts(parts):
+    wanted = " ".join(re.sub("<[^>]*>", " ", " ".join(parts)).split())
+    page = f"<html><body><nav><a href=x>menu</a></nav>{''.join(parts)}<div><h3>More</h3><a href=y>Another story</a></div></body></html>"
+    assert extraction.main_text(page) == wanted
+
+
+def test_extraction_is_linear_in_depth():
+    for odd in ("<b>x" * 50_000, "<div>x" * 50_000, "<form>" * 50_000 + "x", "<article>" * 50_000 + "x", "<p>x<b>y" * 50_000):
+        extraction.main_text(f"<body>{odd}")
+
+
 def vectors(spark, n=700, seed=5):
     random_ = np.random.default_rng(seed)
     x = random_.normal(0, 0.125, (n, 16)).astype("float32")
