@@ -1,7 +1,9 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Kinds with fixed patterns (``email``, ``ip``, ``card``, ``phone``) are always reported; ``iban`` (mod 97)
-and ``ssn`` spans are added where they overlap none of these and score enough. All scans are linear in
+and ``ssn`` spans are added: an account number unless a fixed span at least as long overlaps it, the others where
+they overlap none and score enough. An account number ends where its country's length says (of countries without
+one, at the longest group border that mod 97 confirms), whatever words follow. All scans are linear in
 the text: an email is looked for around its ``@`` sign, digits are never scanned from their middle.
 
 Edge cases: a null or empty text has no span; spans are in codepoints, end exclusive; spans of different
@@ -29,7 +31,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_GROUPED = re.compile(r" ?[A-Z0-9]")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+IBAN_LEAST, IBAN_MOST = 15, 34
+#: characters of an account number by country
+IBAN_SIZES = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+    "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+    "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+    "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 # score of a confirmed span alone, and the words that raise it
@@ -57,6 +68,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost account numbers, each read on from its country and check digits."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < free:
+            continue
+        number, at, ends = m[0], m.end(), []
+        while len(number) < IBAN_MOST and (more := _GROUPED.match(text, at)):
+            number, at = number + more[0][-1], more.end()
+            if len(number) >= IBAN_LEAST and text[at:at + 1] not in _ALNUM:
+                ends.append((len(number), at))
+        size = IBAN_SIZES.get(m[0][:2])
+        for n, end in reversed(ends):
+            if (size is None or n == size) and mod97(number[:n]):
+                yield m.start(), end
+                free = end
+                break
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of local part, sign and domain, found from the sign outwards."""
     free, at = 0, text.find("@")
@@ -102,10 +132,10 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int,
     """Kind, start, end and score of all spans, by start, then by kind."""
     found = base_spans(text)
     if _DIGIT.search(text):
-        more = [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        more = [(i, 4, j) for i, j in ibans(text) if not any(i < b and a < j and j - i <= b - a for a, _, b in found)]
         if "-" in text:
-            more += [(m.start(), 5, m.end()) for m in _SSN.finditer(text) if score(text, m.start(), "ssn") >= threshold]
-        more = [x for x in more if not any(x[0] < b and a < x[2] for a, _, b in found)]
+            more += [(i, 5, j) for i, j in map(re.Match.span, _SSN.finditer(text))
+                     if score(text, i, "ssn") >= threshold and not any(i < b and a < j for a, _, b in found)]
         found = sorted(found + more)
     return [(KINDS[k], a, b, score(text, a, KINDS[k])) for a, k, b in found]
 

@@ -172,6 +172,23 @@ def test_personal_spans(docs, none):
     assert personal.find_personal(none).count() == 0
 
 
+IBANS = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "BE68 5390 0754 7034", "NO9386011117947"]
+
+
+def test_account_numbers_before_any_word():
+    for number in IBANS:
+        for after in ("", " Please pay", " BIC COBADEFFXXX", " I paid", " 12", ", AB12 CDEF", "@", " " + IBANS[0]):
+            text = f"to {number}{after}"
+            assert ("iban", 3, 3 + len(number)) in [s[:3] for s in personal.spans(text)], text
+            assert number not in personal.redacted(text)
+        assert not [s for s in personal.spans(f"{number}x {number}7 {number[:-1]}") if s[0] == "iban"]
+    # digits that pass Luhn: the card stays, the longer account number with it
+    digits = next(d for i in range(10**6) for d in [f"{i:012d}"] for full in [f"{98 - int(d + '111400') % 97:02d}{d}"] if personal.luhn(full) and len(full) == 14)
+    full = f"BE{98 - int(digits + '111400') % 97:02d}{digits}"
+    assert {s[0] for s in personal.spans(full)} == {"card", "iban"} and personal.redacted(full + " Thanks") == "[IBAN] Thanks"
+    personal.spans("DE89 " * 10**5 + "DE89A" * 10**5)
+
+
 PAGE = """<html><head><title>no</title></head><body class="has-sidebar"><header>Site</header><nav><ul><li><a href=x>menu</a></ul></nav>
 <article><h1>T</h1><p>One &amp; two<b>x</b>y<p>Three<br>four <a href=q>link</a></p><div class="comments"><p>reader says {0}</p></div></article>
 <aside>side</aside><form><p>formtext</p></form><div class="cookie-notice">we use</div><script>var t="</p>";</script><footer>f</footer></body>"""
