@@ -34,6 +34,7 @@ from .graphs import components
 TILE_ROWS = 2048
 TILE_SHINGLES = 2 << 20  # of a tile's sets together, unless a single set has more
 BROADCAST_BYTES = 32 << 20
+ROW_BYTES, TILE_BYTES = 64, 56  # of a row of ids, and of each tile it carries
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -269,14 +270,14 @@ def links(texts: DataFrame, compared: DataFrame, width: int, percent: int) -> Da
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            carried = batch.column_names[:-1]
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 sets = shingles(part.column("text").to_pylist(), width)
                 edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("set_id"), part.column("tiles"), pa.ListArray.from_arrays(edges, pa.array(flat))],
-                    ["set_id", "tiles", "shingles"])
+                    [*part.columns[:-1], pa.ListArray.from_arrays(edges, pa.array(flat))], [*carried, "shingles"])
 
     def compare(rows: pa.Table) -> pa.Table:
         ids = rows["set_id"].to_pylist()
@@ -286,9 +287,15 @@ def links(texts: DataFrame, compared: DataFrame, width: int, percent: int) -> Da
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     kind = compared.schema["tiles"].dataType.simpleString()
-    small = compared.count() * 64 <= BROADCAST_BYTES  # else both sides are shuffled by id
-    chosen = texts.join(F.broadcast(compared) if small else compared, "doc_id").select("set_id", "tiles", "text")
-    shipped = chosen.mapInArrow(arrays, f"set_id long, tiles {kind}, shingles array<long>")
+    rows, tiles = compared.agg(F.count("*"), F.coalesce(F.sum(F.size("tiles")), F.lit(0))).first()
+    if rows * ROW_BYTES + tiles * TILE_BYTES <= BROADCAST_BYTES or rows * ROW_BYTES > BROADCAST_BYTES:
+        small = rows * ROW_BYTES <= BROADCAST_BYTES  # else both sides are shuffled by id
+        chosen = texts.join(F.broadcast(compared) if small else compared, "doc_id").select("set_id", "tiles", "text")
+        shipped = chosen.mapInArrow(arrays, f"set_id long, tiles {kind}, shingles array<long>")
+    else:  # ids alone are broadcast; the tiles, of which a large group has many a set, join the sets later
+        chosen = texts.join(F.broadcast(compared.select("doc_id", "set_id")), "doc_id").select("set_id", "text")
+        sets = chosen.mapInArrow(arrays, "set_id long, shingles array<long>")
+        shipped = sets.join(compared.select("set_id", "tiles").hint("merge"), "set_id")
     dealt = shipped.select("set_id", "shingles", F.explode("tiles").alias("tile"))
     return dealt.groupBy("tile").applyInArrow(compare, "a long, b long")
 

@@ -323,6 +323,24 @@ def test_large_groups_are_compared_in_parts(spark, monkeypatch, bound, most):
     assert found == [(i, *x) for i, x in enumerate(brute_components(texts, 3, 90))]
 
 
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "TILE_ROWS", 2)
+    monkeypatch.setattr(near_copies, "BROADCAST_BYTES", 8192)
+    sent, broadcast = [], F.broadcast
+
+    def measured(df):
+        sent.append(sum(64 + 56 * len(r["tiles"] if "tiles" in df.columns else ()) for r in df.collect()))
+        return broadcast(df)
+
+    monkeypatch.setattr(near_copies.F, "broadcast", measured)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted(map(tuple, near_copies.near_copies(df, 3, 90).collect()))
+    assert sent and max(sent) <= 8192
+    assert found == [(i, *x) for i, x in enumerate(brute_components(texts, 3, 90))]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99), (99, 100), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in graphs.components(edges).collect()}
