@@ -4,6 +4,7 @@ A text is cut before each blank that a non-blank follows. The vocabulary's split
 starts a token there, so pieces can be encoded apart and their ids joined: the ids are those of the
 whole text. Pieces recur, so Arrow tells the different ones of a batch apart; those not met before go to
 the library joined, and the ids of all are gathered by place. Pieces met are kept in flat arrays, up to a bound.
+Texts that hold an added token of the file (``<|endoftext|>``) are encoded whole: the library gives it its own id.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD_BLANK.pattern, *added]))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65_536 else "<u4")
         #: bytes of each id: the byte-level alphabet writes one character for each byte
@@ -85,7 +87,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        odd = [i for i, t in enumerate(texts) if _ODD_BLANK.search(t)]
+        odd = [i for i, t in enumerate(texts) if self.odd.search(t)]
         out = [np.zeros(0, self.dtype)] * len(texts)
         for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids

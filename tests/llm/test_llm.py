@@ -59,6 +59,18 @@ def test_pieces_keep_the_ids(monkeypatch):
                 assert [*ids.tolist(), 2] == reference_ids(text), text
 
 
+def test_added_tokens_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path())
+    draw = random.Random(9)
+    parts = [" ", "\n", "a", "b c", " d", "<|endoftext|>", " <|endoftext|>", "<|endof", "text|>"]
+    texts = ["a<|endoftext|>b"] + ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(500)]
+    for text, ids in zip(texts, encoder(vocabulary_path()).encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert 50256 in encoder(vocabulary_path()).encode(texts[:1])[0]
+
+
 def test_token_files(spark, docs, none):
     parts = token_files.write_tokens(docs, scratch_path(spark, "tokens"), vocabulary_path(), length=16)
     found = sorted(map(tuple, token_files.read_tokens(parts).collect()), key=lambda r: r[1])
