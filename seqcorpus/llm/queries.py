@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .common import ORACLES, QUERIES
 from . import (  # noqa: F401
-    byte_bpe, exact_search, extraction, near_copies, near_search, packing, personal, quality, sharding, token_files,
+    block_names, byte_bpe, exact_search, extraction, near_copies, near_search, packing, personal, quality, resampling, sharding,
+    token_files, vector_codes,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
