@@ -34,7 +34,16 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     Catalyst the real size of the table for its join choices."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Empty tables that ``materialise`` wrote, once all that reads them is written itself."""
+    for df in stored:
+        nothing = df.sparkSession.createDataFrame([], df.schema)
+        nothing.coalesce(1).write.mode("overwrite").parquet(df.scratch_path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
