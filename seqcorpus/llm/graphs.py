@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from seqcorpus.sources.scratch import release
 
 from .common import materialise
 
+HOT_SHARE = 1000  # a node with more than this part of all edges is joined by broadcast
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) of every node of ``edges`` (``a``, ``b``).
 
     Each round joins every node to the smallest neighbour of its neighbours, first upwards, then downwards, until
-    nothing changes; the number of rounds grows with the logarithm of the longest path. Minima are taken before they are
-    joined back, so a node with very many neighbours is never gathered; each round is written and read again."""
+    nothing changes; the number of rounds grows with the logarithm of the longest path. Minima are found by partial
+    aggregation. The edges of a node with very many neighbours are joined to its minimum by broadcast (there can be
+    fewer than ``HOT_SHARE`` such nodes), so they stay where they are; only other nodes' edges are dealt by node. Each round
+    is written and read again, and its predecessor emptied."""
     now = materialise(_canonical(edges), "edges")
     state = _state(now)
     if not state[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _canonical(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        large = materialise(large, "large-star")
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))  # here a > b in every edge
-        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
+        upward, least = _joined(both, F.least(F.min("b"), F.col("a")))
+        large = materialise(_canonical(upward.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large-star")
+        release(now, least)
+        downward, lower = _joined(large, F.min("b"))  # here a > b in every edge
+        small = downward.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
         now = materialise(_canonical(small), "small-star")
+        release(large, lower)
         new = _state(now)
         if new == state:
             break
@@ -35,6 +42,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _joined(edges: DataFrame, minimum: Column) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with ``m``, the minimum of their node ``a``, and the table of minima."""
+    least = materialise(edges.groupBy("a").agg(minimum.alias("m"), F.count("*").alias("n")), "minima")
+    of = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hub = F.col("n") * HOT_SHARE > of
+    hubs = least.filter(is_hub).select("a", "m")
+    if hubs.isEmpty():
+        return edges.join(least.select("a", "m"), "a"), least
+    often = edges.join(F.broadcast(hubs), "a")
+    seldom = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.filter(~is_hub).select("a", "m"), "a")
+    return often.unionByName(seldom), least
+
+
 def _canonical(edges: DataFrame) -> DataFrame:
     """Distinct edges from the larger to the smaller node, without loops."""
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

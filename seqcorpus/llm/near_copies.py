@@ -6,16 +6,25 @@ into D + 1 + 2E segments, at least 2E + 1 segments are the same in both. Each se
 segment's content) for all its segments but the E weakest, those with the fewest rare n-grams: passages that many
 documents share make no tile by themselves, and still no linked pair is lost.
 
-Tiles are sorted and read through once: each set of a tile is joined to the first one. Sets so joined are candidates;
-the members of each connected group of candidates are compared in tiles of bounded size, cut by size band and hash.
-Within one, bitmaps of hashed n-grams bound the overlap from above by counting bits, and what passes is decided on the
-sorted arrays. Sets already joined by links are not compared again: links found span each component.
+Tiles are dealt by key as they are made, never written. A task joins equal tiles of some thousand documents before it sends one
+of them, so a tile of very many sets is small when it arrives; there the sets of a tile are joined to its first one. Sets
+joined in this way are candidates. The members of each connected group of candidates are compared: bitmaps of hashed n-grams
+bound the overlap from above by counting bits, and what passes is decided on the sorted arrays. Sets already joined by
+links are not compared again: links found span each component.
 
-Equal sets are one class from the start (their number needs no pairs). N-grams are 64-bit hashes.
+A group that fills more than one block is compared in three rounds, in each of which a set is sent to its block once: within
+blocks dealt by hash; within blocks dealt by another hash, which join what the first ones found; and last the sets outside
+the group's largest component so far (the guests) with every block. Two sets of the largest component need no comparison,
+any other pair meets in the first or the last round. So a group of n sets of which g do not link to the rest costs
+about 3n + g * blocks sent sets instead of n * blocks.
+
+Equal sets are one class from the start (their number needs no pairs). N-grams are 64-bit hashes. A row is named by a
+hash of its id and text where its text is read again, and the set made from that text must be the one that was asked for.
 
 Edge cases: null or empty texts and texts of blanks have no n-gram, are linked with nothing and form their own component;
 a text with fewer words than n has one n-gram, the whole; texts of any length are read whole; repeated rows and ties fall
-in one component, named by its smallest id; a null id is kept and names no component; an empty table gives no row.
+in one component, named by its smallest id; rows of one id with different texts have a set each; a null id is kept and names
+no component; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,15 +35,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from seqcorpus.operators.lookup import lookup_join
+from seqcorpus.sources.scratch import release
 
-from .common import batches_of, materialise, query, table, texts_of
+from .common import materialise, query, table, texts_of
 from .graphs import components
 
-TILE_ROWS = 2048
-TILE_SHINGLES = 2 << 20  # of a tile's sets together, unless a single set has more
-BROADCAST_BYTES = 32 << 20
-ROW_BYTES, TILE_BYTES = 64, 56  # of a row of ids, and of each tile it carries
+TILE_ROWS = 2048  # sets that are compared with each other at once
+TILE_SHINGLES = 2 << 20  # of these sets together, unless a single set has more
+WINDOW = 1 << 20  # tiles that a task joins before it sends one of each
+BROADCAST_BYTES = 16 << 20
+ROW_BYTES = 64  # of a row of ids
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,82 +136,107 @@ def tiles_of(found: np.ndarray, rare: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-SETS = "doc_id long, n_shingles long, set_id long, tiles array<long>"
+def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a bounded number of characters (one row at least) with the texts of their last column."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy()
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars, "right")))
+            part = batch.slice(at, to - at)
+            yield part, [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+            at = to
 
 
-def signatures(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Size, identity and tiles of every document's set. A task gives a set's tiles once; its copies have none."""
+def set_ids(sets: list[np.ndarray]) -> list[int | None]:
+    """Identity of each set as a signed number; none for an empty one."""
     from xxhash import xxh3_64_intdigest
 
+    found = [xxh3_64_intdigest(s.tobytes()) if len(s) else None for s in sets]
+    return [None if s is None else s - (s >> 63 << 64) for s in found]
+
+
+def signatures(texts: DataFrame, width: int) -> DataFrame:
+    """``doc_id``, ``row_key``, size and identity of every row's set."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, known = Bands(percent), set()
-        for ids, batch in batches_of(batches, 1 << 21):
-            sets = shingles(batch, width)
+        for part, found in pieces(batches):
+            sets = shingles(found, width)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64())],
+                ["doc_id", "row_key", "n_shingles", "set_id"])
+
+    return texts.select("doc_id", "row_key", "text").mapInArrow(sign, "doc_id long, row_key long, n_shingles long, set_id long")
+
+
+def candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (``a``, ``b``) from each set of a tile to one other of it, so that the sets of a tile are connected."""
+
+    def joined(tiles: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        """One row for each tile, and edges (with ``b``) of the others to its set."""
+        tile = np.concatenate([np.zeros(0, np.uint64), *tiles]).view(np.int64)
+        owner = np.repeat(np.array(owners, np.int64), [len(t) for t in tiles])
+        order = np.lexsort((owner, tile))
+        tile, owner = tile[order], owner[order]
+        first = np.concatenate([[True], tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, bool)
+        leader = np.repeat(owner[first], np.diff(np.append(np.flatnonzero(first), len(tile))))
+        pairs = np.unique(np.stack([owner, leader])[:, owner != leader], axis=1)
+        none = np.zeros(int(first.sum()), np.int64)
+        b = pa.array(np.concatenate([none, pairs[1]]), mask=np.arange(len(none) + pairs.shape[1]) < len(none))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([tile[first], pairs[0]])), pa.array(np.concatenate([owner[first], pairs[0]])), b],
+            ["tile", "a", "b"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, known, tiles, owners, n = Bands(percent), set(), [], [], 0
+        for _, found in pieces(batches):
+            sets = shingles(found, width)
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
             common = values[counts > 3]
-            set_ids, tiles = [], []
-            for found in sets:
-                set_id = xxh3_64_intdigest(found.tobytes()) if len(found) else None
-                set_ids.append(set_id)
+            for set_id, own in zip(set_ids(sets), sets):
                 if set_id is None or set_id in known:
-                    tiles.append(np.zeros(0, np.uint64))
-                    continue
+                    continue  # a task gives a set's tiles once
                 if len(known) > 200_000:
                     known.clear()
                 known.add(set_id)
-                place = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
-                rare = common[place] != found if len(common) else np.ones(len(found), bool)
-                tiles.append(tiles_of(found, rare, bands))
-            edges = np.cumsum([0, *map(len, tiles)]).astype(np.int32)
-            signed = [None if s is None else s - (s >> 63 << 64) for s in set_ids]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed, pa.int64()),
-                pa.ListArray.from_arrays(edges, pa.array(np.concatenate(tiles).view(np.int64))),
-            ], ["doc_id", "n_shingles", "set_id", "tiles"])
-
-    return texts.mapInArrow(sign, SETS)
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """Edges from each set of a tile to the first one, with the sets of all tiles sorted over all tasks.
-
-    A tile of any size may lie across tasks; each task names the first set it saw of its first and last tile, and these
-    (two rows for each task) are joined in turn."""
+                place = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+                rare = common[place] != own if len(common) else np.ones(len(own), bool)
+                tiles.append(tiles_of(own, rare, bands))
+                owners.append(set_id)
+                n += len(tiles[-1])
+                if n >= WINDOW:
+                    yield joined(tiles, owners)
+                    tiles, owners, n = [], [], 0
+        yield joined(tiles, owners)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(a, b, tile):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tile, pa.int64())], ["a", "b", "tile"])
-
-        last_tile = first = None
+        last_tile = last = None
         for batch in batches:
-            tile, set_id = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(tile):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-            firsts = set_id[starts].copy()
-            if last_tile is None:
-                yield rows([firsts[0]], [None], [tile[0]])
-            elif tile[0] == last_tile:
-                firsts[0] = first
-            leader = np.repeat(firsts, np.diff(np.append(starts, len(tile))))
-            differ = leader != set_id
-            if differ.any():
-                pairs = np.unique(np.stack([set_id[differ], leader[differ]]), axis=1)
-                yield rows(pairs[0], pairs[1], [None] * pairs.shape[1])
-            last_tile, first = tile[-1], firsts[-1]
-        if last_tile is not None:
-            yield rows([first], [None], [last_tile])
-
-    posted = sets.select(F.explode("tiles").alias("tile"), "set_id")
-    ordered = posted.repartitionByRange("tile", "set_id").sortWithinPartitions("tile", "set_id")
-    found = materialise(ordered.mapInArrow(read, "a long, b long, tile long"), "tile-edges")
-    across = found.filter("tile is not null").groupBy("tile").agg(F.min("a").alias("b"), F.collect_set("a").alias("a"))
-    return found.filter("tile is null").select("a", "b").union(across.select(F.explode("a").alias("a"), "b"))
-
-
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of places that span the components of all links among ``sets``."""
+            edge = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            b = batch.column(2).fill_null(0).to_numpy()
+            tile, a = batch.column(0).to_numpy()[~edge], batch.column(1).to_numpy()
+            made = [np.stack([a[edge], b[edge]])]
+            if len(tile):
+                own = a[~edge]
+                starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+                leader = own[starts].copy()
+                if tile[0] == last_tile:
+                    leader[0] = last
+                last_tile, last = tile[-1], leader[-1]
+                leader = np.repeat(leader, np.diff(np.append(starts, len(tile))))
+                made.append(np.stack([own, leader])[:, own != leader])
+            pairs = np.unique(np.concatenate(made, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    posted = texts.select("text").mapInArrow(post, "tile long, a long, b long")
+    return posted.repartition("tile").sortWithinPartitions("tile", "a").mapInArrow(read, "a long, b long")
+
+
+def linked(sets: list[np.ndarray], percent: int, labels: list[int], home: list[bool | None]) -> list[tuple[int, int]]:
+    """Pairs of places that, with the components named by ``labels``, span the components of all links among ``sets``.
+
+    Where ``home`` is known, only sets at home are compared with guests."""
     n = len(sets)
     order = sorted(range(n), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order])
@@ -208,12 +247,15 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     for row, i in enumerate(order):
         at = sets[i] & np.uint64(width - 1)
         np.bitwise_or.at(bits[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    group = np.arange(n)
+    group = np.unique(np.array(labels)[order], return_inverse=True)[1]
+    side = None if None in home else np.array(home)[order]
     out = []
     for a in range(n):
         end = int(np.searchsorted(sizes, sizes[a] * 100 // percent, "right"))
         others = np.arange(a + 1, end)
         others = others[group[others] != group[a]]
+        if side is not None:
+            others = others[side[others] != side[a]]
         for at in range(0, len(others), 4096):
             part = others[at:at + 4096]
             here, there = bits[a], bits[part]
@@ -231,91 +273,139 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def comparison_tiles(members: DataFrame, percent: int) -> DataFrame:
-    """``set_id`` and the tiles in which it is compared: its whole group, or, of a large group, pairs of parts that hold
-    one size band (or two neighbouring ones) each."""
-    band = F.floor(F.log(F.col("n_shingles") + 0.5) / F.lit(math.log(100 / percent))).cast("int")
-    sized = members.withColumn("band", band)
-
-    def fill():  # of tiles, by rows or by n-grams, whichever is more
-        return F.greatest(F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)
-
-    groups = sized.groupBy("root").agg(fill().alias("fill"))
-    small = sized.join(groups.filter(F.col("fill") <= 1), "root").select("doc_id", "set_id", F.array(
-        F.struct("root", *[F.lit(-1).alias(c) for c in ("band", "part", "other", "with")])).alias("tiles"))
-    large = sized.join(groups.filter(F.col("fill") > 1).select("root"), "root")
-    parts = large.groupBy("root", "band").agg(F.ceil(fill()).cast("int").alias("parts"))
-    around = parts.select("root", "band", "parts")
-    for step, name in ((1, "above"), (-1, "below")):
-        near = parts.select("root", (F.col("band") - step).alias("band"), F.col("parts").alias(name))
-        around = around.join(near, ["root", "band"], "left").fillna(0, [name])
-    own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
-
-    def tile(band_, part, other, with_):
-        return F.struct("root", band_.cast("int").alias("band"), part.cast("int").alias("part"),
-                        F.lit(other).cast("int").alias("other"), with_.cast("int").alias("with"))
+def links(texts: DataFrame, chosen: DataFrame, tiles: Column, width: int, percent: int) -> DataFrame:
+    """Links found among the sets of ``chosen`` (``row_key``, ``set_id``, ``label``, ``root`` and what ``tiles`` needs).
 
-    def count(column):
-        return F.when(F.col(column) > 0, F.sequence(F.lit(0), F.col(column) - 1)).otherwise(F.array().cast("array<int>"))
-
-    spread = large.join(around, ["root", "band"]).withColumn("own", own).select("doc_id", "set_id", F.concat(
-        F.transform(count("parts"), lambda p: tile(F.col("band"), F.least(p, F.col("own")), 0, F.greatest(p, F.col("own")))),
-        F.transform(count("above"), lambda p: tile(F.col("band"), F.col("own"), 1, p)),
-        F.transform(count("below"), lambda p: tile(F.col("band") - 1, p, 1, F.col("own")))).alias("tiles"))
-    return small.unionByName(spread)
-
-
-def links(texts: DataFrame, compared: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that span each component: sets of the compared documents, tile by tile."""
+    ``tiles`` gives the blocks of a row as an array of (``part``, ``chunk``, ``home``); sets of one root, part and chunk meet."""
+    extra = [f for f in chosen.schema.fields if f.name not in ("row_key", "set_id")]
+    schema = ", ".join(["set_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in extra), "shingles array<long>"])
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            carried = batch.column_names[:-1]
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                sets = shingles(part.column("text").to_pylist(), width)
-                edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.ListArray.from_arrays(edges, pa.array(flat))], [*carried, "shingles"])
+        known: set = set()
+        for part, found in pieces(batches, 1 << 20):
+            sets, asked = shingles(found, width), part.column(0).to_pylist()
+            rows = []
+            for i, made in enumerate(set_ids(sets)):  # a row repeated as a whole is sent once by a task
+                if made == asked[i] and made not in known:
+                    known.add(made)
+                    rows.append(i)
+            if len(known) > 200_000:
+                known.clear()
+            kept, sets = part.take(pa.array(rows, pa.int64())), [sets[i] for i in rows]
+            edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns[:-1], pa.ListArray.from_arrays(edges, pa.array(flat))], ["set_id", *(f.name for f in extra), "shingles"])
 
     def compare(rows: pa.Table) -> pa.Table:
-        ids = rows["set_id"].to_pylist()
+        ids, first = np.unique(rows["set_id"].to_numpy(), return_index=True)
+        rows = rows.take(pa.array(first))
         column = rows["shingles"].combine_chunks()
         flat, edges = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-        found = linked([flat[i:j] for i, j in zip(edges, edges[1:])], percent)
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
-
-    kind = compared.schema["tiles"].dataType.simpleString()
-    rows, tiles = compared.agg(F.count("*"), F.coalesce(F.sum(F.size("tiles")), F.lit(0))).first()
-    if rows * ROW_BYTES + tiles * TILE_BYTES <= BROADCAST_BYTES or rows * ROW_BYTES > BROADCAST_BYTES:
-        small = rows * ROW_BYTES <= BROADCAST_BYTES  # else both sides are shuffled by id
-        chosen = texts.join(F.broadcast(compared) if small else compared, "doc_id").select("set_id", "tiles", "text")
-        shipped = chosen.mapInArrow(arrays, f"set_id long, tiles {kind}, shingles array<long>")
-    else:  # ids alone are broadcast; the tiles, of which a large group has many a set, join the sets later
-        chosen = texts.join(F.broadcast(compared.select("doc_id", "set_id")), "doc_id").select("set_id", "text")
-        sets = chosen.mapInArrow(arrays, "set_id long, shingles array<long>")
-        shipped = sets.join(compared.select("set_id", "tiles").hint("merge"), "set_id")
-    dealt = shipped.select("set_id", "shingles", F.explode("tiles").alias("tile"))
-    return dealt.groupBy("tile").applyInArrow(compare, "a long, b long")
+        found = linked([flat[i:j] for i, j in zip(edges, edges[1:])], percent, rows["label"].to_pylist(), rows["home"].to_pylist())
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
+
+    rows = chosen.count()
+    small = rows * ROW_BYTES <= BROADCAST_BYTES  # else both sides are dealt by row
+    met = texts.join(F.broadcast(chosen) if small else chosen, "row_key").select("set_id", *(f.name for f in extra), "text")
+    sent = met.mapInArrow(arrays, schema).select("set_id", "label", "root", "shingles", F.explode(tiles).alias("tile"))
+    dealt = sent.select("set_id", "label", "root", "shingles", "tile.part", "tile.chunk", "tile.home")
+    return materialise(dealt.groupBy("root", "part", "chunk").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _tile(part: Column, chunk: Column, home: Column) -> Column:
+    return F.struct(part.cast("int").alias("part"), chunk.cast("int").alias("chunk"), home.cast("boolean").alias("home"))
+
+
+def _block(salt: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "set_id"), blocks).cast("int")
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with ``label``: the component that the links so far give."""
+    nodes = components(found).select(F.col("node").alias("set_id"), F.col("root").alias("known"))
+    return materialise(members.join(nodes, "set_id", "left").select(
+        *members.columns, F.coalesce("known", "set_id").alias("label")), "labelled")
+
+
+def all_links(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that span each component among ``members`` (``root``, ``set_id``, ``row_key``, ``n_shingles``)."""
+    fill = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int")
+    full = materialise(members.groupBy("root").agg(fill.alias("blocks")).filter("blocks > 1"), "large-groups")
+    sized = materialise(lookup_join(members, full, ["root"], {"blocks": 1}), "sized-members")
+    release(members)
+    one = F.array(_tile(_block("first", F.col("blocks")), F.lit(0), F.lit(None)))
+    found = links(texts, sized.select("row_key", "set_id", F.col("set_id").alias("label"), "root", "blocks"), one, width, percent)
+    large = sized.filter("blocks > 1").select("row_key", "set_id", "root", "blocks", "n_shingles")
+    if large.isEmpty():
+        return found
+    again = F.array(_tile(_block("second", F.col("blocks")), F.lit(0), F.lit(None)))
+    labelled = _labelled(large, found)
+    found = found.union(links(texts, labelled.select("row_key", "set_id", "label", "root", "blocks"), again, width, percent))
+    release(labelled)
+    labelled = _labelled(large, found)
+    release(sized)
+    counts = labelled.groupBy("root", "label").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("root").agg(F.max(F.struct("n", "label")).alias("most")).select("root", F.col("most.label").alias("largest"))
+    placed = materialise(lookup_join(labelled, largest, ["root"], {"largest": None}).withColumn("guest", F.expr("label <> largest")), "guests")
+    release(labelled)
+    crowds = materialise(placed.filter("guest").groupBy("root").agg(fill.alias("chunks")), "crowds")
+    if crowds.isEmpty():
+        return found
+    met = lookup_join(placed, crowds, ["root"], {"chunks": 0}).filter("chunks > 0")
+    own = _block("first", F.col("blocks"))
+    chunk = F.when(F.col("guest"), _block("guests", F.col("chunks")))  # every set is at home once, and guests go to other blocks
+    rows = materialise(met.select("row_key", "set_id", "label", "root", "blocks", "chunks", own.alias("own"), chunk.alias("as_guest")), "met")
+    at_home = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: _tile(F.col("own"), c, F.lit(True)))
+    elsewhere = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda p: F.col("as_guest").isNotNull() & (p != F.col("own")))
+    guests = F.transform(elsewhere, lambda p: _tile(p, F.col("as_guest"), F.lit(False)))
+    return found.union(links(texts, rows, F.concat(at_home, guests), width, percent))
+
+
+def copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``row_key``, ``n_shingles``, ``component_id`` and ``first_key`` of every row: the key of the row that names
+    its component (null: a component of this row alone)."""
+    texts = keyed(texts_of(docs, id_col, text_col))
+    sets = materialise(signatures(texts, width), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
+    classes = materialise(sets.filter("set_id is not null").groupBy("set_id").agg(
+        first, F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "classes")
+    joined = components(candidates(texts, width, percent))
+    members = materialise(joined.join(classes, F.col("node") == F.col("set_id")).select(
+        "root", "set_id", F.col("first.row_key").alias("row_key"), "n_shingles"), "members")
+    roots = components(all_links(texts, members, width, percent))
+    named = materialise(roots.join(classes, F.col("node") == F.col("set_id")).select("root", "set_id", "first"), "named")
+    heads = named.groupBy("root").agg(F.min("first").alias("head"))
+    heads = materialise(heads.select("root", F.col("head.doc_id").alias("head_id"), F.col("head.row_key").alias("head_key")), "heads")
+    headed = lookup_join(named.select("root", "set_id"), heads, ["root"], {}).select("set_id", "head_id", "head_key")
+    of_set = classes.join(headed, "set_id", "left").filter("n > 1 or head_key is not null").select(
+        "set_id", F.when(F.col("head_key").isNull(), F.col("first.doc_id")).otherwise(F.col("head_id")).alias("component_id"),
+        F.coalesce("head_key", "first.row_key").alias("first_key"))
+    return lookup_join(sets, materialise(of_set, "components"), ["set_id"], {}, BROADCAST_BYTES).select(
+        "doc_id", "row_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first_key")
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
-    texts = texts_of(docs, id_col, text_col)
-    sets = materialise(signatures(texts, width, percent), "sets")
-    joined = components(candidates(sets))
-    classes = sets.filter("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    members = materialise(joined.join(classes, F.col("node") == F.col("set_id")).select("root", "set_id", "doc_id", "n_shingles"), "members")
-    compared = materialise(comparison_tiles(members, percent), "compared")
-    roots = components(links(texts, compared, width, percent))
-    named = roots.join(classes.select("set_id", "doc_id"), F.col("node") == F.col("set_id")).select("root", "set_id", "doc_id")
-    first = named.groupBy("root").agg(F.min("doc_id").alias("first"))
-    of_set = classes.join(named.join(first, "root").select("set_id", "first"), "set_id", "left").select(
-        "set_id", F.coalesce("first", "doc_id").alias("component_id"))
-    return sets.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return copies(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``: of each component the row of the smallest id (null last), of its repetitions one."""
+    found = materialise(copies(docs, width, percent, id_col, text_col).filter("first_key is not null"), "found-copies")
+    gone = found.filter("row_key <> first_key").select("row_key").distinct().withColumn("state", F.lit(1))
+    repeated = found.filter("row_key = first_key").groupBy("row_key").count().filter("count > 1").select("row_key", F.lit(2).alias("state"))
+    states = materialise(gone.unionByName(repeated), "row-states")
+    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key"))
+    marked = lookup_join(rows, states, ["row_key"], {"state": 0}, BROADCAST_BYTES)
+    once = marked.filter("state = 2").groupBy("row_key").agg(F.first("row").alias("row"))
+    return marked.filter("state = 0").select("row.*").unionByName(once.select("row.*"))
 
 
 @query("op9_near_copies")
