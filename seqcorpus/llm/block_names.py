@@ -5,7 +5,8 @@ name. Then the names of neighbouring blocks are paired, the pairs are sorted and
 each document has one name; a level names half as many things as the one before. Two texts are equal exactly if they
 end at the same level with the same name.
 
-All of it is DataFrame operations. Texts are dealt once, by range of their blocks; after that only integers travel. A block
+All of it is DataFrame operations. Texts are dealt once, by range of their blocks (of a block's head and hash, so that
+sampled borders are short; blocks are told apart by all their bytes); after that only integers travel. A block
 that is very frequent (counted by hash, which decides on nothing else; there can be at most ``HOT_SHARE`` of them) is
 dealt to ``SALTS`` ranges, named in each, and its names are joined to the least of them by a broadcast of as many rows. The
 same holds for pairs of names, and for texts: only their names, counts and the row that stays are joined back to the rows, by
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from .common import materialise, query, table
 
-BLOCK = 1024  # bytes
+BLOCK, HEAD = 1024, 16  # bytes
 HOT_SHARE = 1000  # what holds more than this part of all rows is dealt to several ranges
 SALTS = 64
 BLANKS = " \t\n\x0b\x0c\r"
@@ -50,11 +51,13 @@ def named(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     hot = [r["value"] for r in counts.filter(F.col("n") * HOT_SHARE > of).select("value").collect()]  # under HOT_SHARE rows
     is_hot = value.isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
-    by = [*keys, "salt"]
-    dealt = rows.withColumn("salt", salt).repartitionByRange(*by).sortWithinPartitions(*by)
-    placed = dealt.withColumn("place", F.monotonically_increasing_id())
+    texts = rows.select(*keys).dtypes[0][1] == "binary"
+    heads = [F.substring(keys[0], 1, HEAD), value] if texts else [F.col(k) for k in keys]
+    rows = rows.select("*", F.struct(*heads, salt).alias("border"), salt.alias("salt"))
+    by = ["border", *keys]
+    placed = rows.repartitionByRange("border").sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
     first = F.min("place").over(W.partitionBy(*by))  # the ranges already hold each value whole
-    plain = [c for c in rows.columns if c not in keys]
+    plain = [c for c in rows.columns if c not in (*keys, "border", "salt")]
     local = placed.withColumn("name", first)
     if not hot:
         return materialise(local.select(*plain, "name"), label)
