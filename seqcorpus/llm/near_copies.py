@@ -12,11 +12,13 @@ joined in this way are candidates. The members of each connected group of candid
 bound the overlap from above by counting bits, and what passes is decided on the sorted arrays. Sets already joined by
 links are not compared again: links found span each component.
 
-A group that fills more than one block is compared in three rounds, in each of which a set is sent to its block once: within
-blocks dealt by hash; within blocks dealt by another hash, which join what the first ones found; and last the sets outside
-the group's largest component so far (the guests) with every block. Two sets of the largest component need no comparison,
-any other pair meets in the first or the last round. So a group of n sets of which g do not link to the rest costs
-about 3n + g * blocks sent sets instead of n * blocks.
+A group that fills more than one block is first cut by prefixes: with the n-grams of its sets ordered by how many of
+these sets hold them, two linked sets share one among the first (1 - threshold) of each. A passage that many short
+documents share ties them to each other by tiles, but comes last in this order. What is still connected by shared
+prefix n-grams of a size band is compared in two rounds: within blocks, dealt by two hashes; then the sets outside
+the group's largest component so far (the guests) with every block of the first hash. Two sets of the largest component need
+no comparison, any other pair meets in the first or the last round. So a group of n sets of which g do not link to
+the rest costs about 3n + g * blocks sent sets instead of n * blocks.
 
 Equal sets are one class from the start (their number needs no pairs). N-grams are 64-bit hashes. A row is named by a
 hash of its id and text where its text is read again, and the set made from that text must be the one that was asked for.
@@ -36,15 +38,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from seqcorpus.operators.lookup import lookup_join
 from seqcorpus.sources.scratch import release
 
 from .common import materialise, query, table, texts_of
-from .graphs import components
+from .graphs import components, hot_join
 
-TILE_ROWS = 2048  # sets that are compared with each other at once
+TILE_ROWS = 1024  # sets that are compared with each other at once
 TILE_SHINGLES = 2 << 20  # of these sets together, unless a single set has more
 WINDOW = 1 << 20  # tiles that a task joins before it sends one of each
 BROADCAST_BYTES = 16 << 20
@@ -273,6 +275,28 @@ def linked(sets: list[np.ndarray], percent: int, labels: list[int], home: list[b
     return out
 
 
+def asked_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows whose text (the last column) gives the set that is asked for (the first), and the sets; a task gives each once."""
+    known: set = set()
+    for part, found in pieces(batches, 1 << 20):
+        sets, asked = shingles(found, width), part.column(0).to_pylist()
+        rows = []
+        for i, made in enumerate(set_ids(sets)):
+            if made == asked[i] and made not in known:
+                known.add(made)
+                rows.append(i)
+        if len(known) > 200_000:
+            known.clear()
+        yield part.take(pa.array(rows, pa.int64())), [sets[i] for i in rows]
+
+
+def _texts_of(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen`` (``row_key`` and more) with the texts of its rows."""
+    rows = chosen.count()
+    small = rows * ROW_BYTES <= BROADCAST_BYTES  # else both sides are dealt by row
+    return texts.join(F.broadcast(chosen) if small else chosen, "row_key").select(*chosen.columns, "text").drop("row_key")
+
+
 def links(texts: DataFrame, chosen: DataFrame, tiles: Column, width: int, percent: int) -> DataFrame:
     """Links found among the sets of ``chosen`` (``row_key``, ``set_id``, ``label``, ``root`` and what ``tiles`` needs).
 
@@ -281,17 +305,7 @@ def links(texts: DataFrame, chosen: DataFrame, tiles: Column, width: int, percen
     schema = ", ".join(["set_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in extra), "shingles array<long>"])
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set = set()
-        for part, found in pieces(batches, 1 << 20):
-            sets, asked = shingles(found, width), part.column(0).to_pylist()
-            rows = []
-            for i, made in enumerate(set_ids(sets)):  # a row repeated as a whole is sent once by a task
-                if made == asked[i] and made not in known:
-                    known.add(made)
-                    rows.append(i)
-            if len(known) > 200_000:
-                known.clear()
-            kept, sets = part.take(pa.array(rows, pa.int64())), [sets[i] for i in rows]
+        for kept, sets in asked_sets(batches, width):
             edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -306,14 +320,41 @@ def links(texts: DataFrame, chosen: DataFrame, tiles: Column, width: int, percen
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
 
-    rows = chosen.count()
-    small = rows * ROW_BYTES <= BROADCAST_BYTES  # else both sides are dealt by row
-    met = texts.join(F.broadcast(chosen) if small else chosen, "row_key").select("set_id", *(f.name for f in extra), "text")
+    met = _texts_of(texts, chosen.select("row_key", "set_id", *(f.name for f in extra)))
     sent = met.mapInArrow(arrays, schema).select("set_id", "label", "root", "shingles", F.explode(tiles).alias("tile"))
     dealt = sent.select("set_id", "label", "root", "shingles", "tile.part", "tile.chunk", "tile.home")
     return materialise(dealt.groupBy("root", "part", "chunk").applyInArrow(compare, "a long, b long"), "links")
 
 
+def prefix_edges(texts: DataFrame, chosen: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges that connect the sets of ``chosen`` (``row_key``, ``set_id``) which share an n-gram of their prefixes and a size band.
+
+    N-grams are ordered by how many rows of ``chosen`` hold them. Those of one row need no posting, they only fill prefixes."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for kept, sets in asked_sets(batches, width):
+            sizes = [len(s) for s in sets]
+            ids, band = np.array(kept.column(0).to_pylist(), np.int64), np.array([bands.of(n) for n in sizes], np.int32)
+            columns = [np.repeat(ids, sizes), np.repeat(np.array(sizes, np.int64), sizes), np.repeat(band, sizes),
+                       np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["set_id", "size", "band", "gram"])
+
+    rows = _texts_of(texts, chosen.select("row_key", "set_id")).mapInArrow(spread, "set_id long, size long, band int, gram long")
+    rows = materialise(rows, "member-grams")
+    counts = materialise(rows.groupBy("gram").agg(F.count("*").alias("held"), F.count("*").alias("n")).filter("n > 1"), "gram-counts")
+    own = W.partitionBy("set_id")
+    order = F.dense_rank().over(own.orderBy("held", "gram"))  # a row repeated as a whole counts once
+    shared = hot_join(rows, counts, ["gram"], "n").withColumn("place", order)
+    alone = F.col("size") - F.max("place").over(own)
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    first = shared.withColumn("alone", alone).filter(F.col("place") <= prefix - F.col("alone"))
+    posted = materialise(first.select("set_id", "gram", F.explode(F.array("band", F.col("band") + 1)).alias("band")), "prefixes")
+    release(rows, counts)
+    leaders = materialise(posted.groupBy("gram", "band").agg(F.min("set_id").alias("b"), F.count("*").alias("n")).filter("n > 1"), "leaders")
+    return hot_join(posted, leaders, ["gram", "band"], "n").select(F.col("set_id").alias("a"), "b")
+
+
 def _tile(part: Column, chunk: Column, home: Column) -> Column:
     return F.struct(part.cast("int").alias("part"), chunk.cast("int").alias("chunk"), home.cast("boolean").alias("home"))
 
@@ -332,24 +373,31 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
 def all_links(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that span each component among ``members`` (``root``, ``set_id``, ``row_key``, ``n_shingles``)."""
     fill = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int")
-    full = materialise(members.groupBy("root").agg(fill.alias("blocks")).filter("blocks > 1"), "large-groups")
-    sized = materialise(lookup_join(members, full, ["root"], {"blocks": 1}), "sized-members")
-    release(members)
-    one = F.array(_tile(_block("first", F.col("blocks")), F.lit(0), F.lit(None)))
-    found = links(texts, sized.select("row_key", "set_id", F.col("set_id").alias("label"), "root", "blocks"), one, width, percent)
-    large = sized.filter("blocks > 1").select("row_key", "set_id", "root", "blocks", "n_shingles")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        full = materialise(rows.groupBy("root").agg(fill.alias("blocks")).filter("blocks > 1"), "large-groups")
+        return materialise(lookup_join(rows, full, ["root"], {"blocks": 1}, BROADCAST_BYTES), "sized-members")
+
+    placed = sized(members)
+    large = placed.filter("blocks > 1")
+    if not large.isEmpty():
+        cut = components(prefix_edges(texts, large, width, percent)).select(F.col("node").alias("set_id"), F.col("root").alias("cut"))
+        parts = large.join(cut, "set_id").select(F.col("cut").alias("root"), "set_id", "row_key", "n_shingles")
+        placed = sized(placed.filter("blocks = 1").select(*parts.columns).unionByName(parts))
+        large = placed.filter("blocks > 1")
+
+    def block(salt: str) -> Column:
+        return _tile(_block(salt, F.col("blocks")), F.lit(0), F.lit(None))
+
+    twice = F.when(F.col("blocks") > 1, F.array(block("first"), _tile(
+        F.col("blocks") + _block("second", F.col("blocks")), F.lit(0), F.lit(None)))).otherwise(F.array(block("first")))
+    found = links(texts, placed.select("row_key", "set_id", F.col("set_id").alias("label"), "root", "blocks"), twice, width, percent)
     if large.isEmpty():
         return found
-    again = F.array(_tile(_block("second", F.col("blocks")), F.lit(0), F.lit(None)))
-    labelled = _labelled(large, found)
-    found = found.union(links(texts, labelled.select("row_key", "set_id", "label", "root", "blocks"), again, width, percent))
-    release(labelled)
     labelled = _labelled(large, found)
-    release(sized)
     counts = labelled.groupBy("root", "label").agg(F.count("*").alias("n"))
     largest = counts.groupBy("root").agg(F.max(F.struct("n", "label")).alias("most")).select("root", F.col("most.label").alias("largest"))
     placed = materialise(lookup_join(labelled, largest, ["root"], {"largest": None}).withColumn("guest", F.expr("label <> largest")), "guests")
-    release(labelled)
     crowds = materialise(placed.filter("guest").groupBy("root").agg(fill.alias("chunks")), "crowds")
     if crowds.isEmpty():
         return found
