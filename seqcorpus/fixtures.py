@@ -6,11 +6,13 @@ lattice nodes, as an analyser's dump would hold them. The whole table is used.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .functions.arrays import computed_once, offsets, span
 from .operators.lattice import (
-    KEY_ANALYSIS_SCORE, KEY_FEATURE_SCORE, KEY_LM_SCORE, KEY_NORMAL_FORM, KEY_RANKS, KEY_UNKNOWN_WORD,
+    COUNT_FIELDS, KEY_ANALYSIS_SCORE, KEY_FEATURE_SCORE, KEY_LM_SCORE, KEY_NORMAL_FORM, KEY_RANKS, KEY_UNKNOWN_WORD,
     TOKEN_KEY, parse_lattice,
 )
 from .operators.vocab import freq_ranks
@@ -112,9 +114,9 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed_once(src, raw=raw).select(*SID, "raw")
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed dumps: (doc_id, line_no, comment, nodes)."""
-    return parse_lattice(dumps(spark, sf_dir)).filter(F.col("reason").isNull()).drop("reason")
+def sentences(spark: SparkSession, sf_dir: str, fields: Sequence[str] | None = None) -> DataFrame:
+    """Parsed dumps: (doc_id, line_no, comment, nodes), with the named fields of nodes only."""
+    return parse_lattice(dumps(spark, sf_dir), fields=fields).filter(F.col("reason").isNull()).drop("reason")
 
 
 _TABLES: dict[tuple, tuple[DataFrame, DataFrame]] = {}
@@ -125,7 +127,7 @@ def dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     application and read from its output afterwards."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
-        _, by_code, tags = dictionary_job(sentences(spark, sf_dir))
+        _, by_code, tags = dictionary_job(sentences(spark, sf_dir, COUNT_FIELDS))
         _TABLES[key] = (materialise(by_code, "chars"), materialise(tags, "tags"))
     return _TABLES[key]
 

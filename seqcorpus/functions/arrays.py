@@ -45,6 +45,19 @@ def offsets(lengths: Column, block: int = 64) -> Column:
     return bind(lengths, with_blocks)
 
 
+def running_max(values: Column, block: int = 64) -> Column:
+    """Largest element so far, at each place; by blocks, as :func:`offsets`."""
+
+    def with_blocks(arr: Column) -> Column:
+        count = F.ceil(F.size(arr) / block).cast("int")
+        tops = F.transform(span(count), lambda b: F.array_max(F.slice(arr, b * block + 1, F.lit(block))))
+        before = bind(tops, lambda t: F.transform(t, lambda _, b: F.array_max(F.slice(t, F.lit(1), b))))
+        return bind(before, lambda p: F.transform(arr, lambda _, i: F.greatest(
+            F.get(p, F.floor(i / block).cast("int")), F.array_max(F.slice(arr, i - i % block + 1, i % block + 1)))))
+
+    return bind(values, with_blocks)
+
+
 def array_total(arr: Column, as_type: str = "bigint") -> Column:
     return F.aggregate(arr, F.lit(0).cast(as_type), lambda a, x: a + x.cast(as_type))
 

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import bind, computed_once, empty_array, span
-from ..functions.hashing import uniform
+from ..functions.arrays import bind, computed_once, empty_array, running_max, span
 from ..functions.text import codepoints, is_full_width, zen2han
-from .lattice import KEY_UNKNOWN_WORD
-from .lookup import BOS, EOS, UNK, char_id, char_table, tag_id, tag_lists, text_table
+from ..functions.hashing import seq_hash, uniform
+from .lattice import KEY_UNKNOWN_WORD, PATH_FIELDS
+from .lookup import BOS, EOS, UNK, TagIds, char_id, char_table, tag_ids
 
 # Segmentation tags and the order of the tag kinds in an example.
 SEG_IDS = {"B": 1, "I": 2, "E": 3}
 TAG_KINDS = ["pos", "subpos", "ctype", "cform"]
 NUM_TAGS = 1 + len(TAG_KINDS)
 SPECIAL_POS = 1
+#: fields of a node that examples are made from
+EXAMPLE_FIELDS = (*PATH_FIELDS, *TAG_KINDS, "pos_num", "features")
 
 
 @dataclass(frozen=True)
@@ -94,13 +96,13 @@ def encode_path(path: Column, table: Column, sid: Sequence[str], augment: Augmen
     return F.concat(bos, F.flatten(F.transform(path, ids)), eos)
 
 
-def char_tag_rows(nodes: Column, tables: dict[str, Column]) -> Column:
+def char_tag_rows(nodes: Column, tables: TagIds) -> Column:
     """B13 in-row: one struct (at, seg, pos, subpos, ctype, cform) of ids per node and character."""
     ids = F.transform(
         nodes,
         lambda n: F.struct(
             n["start"].alias("start"), n["end"].alias("end"),
-            *[tag_id(tables[k], n[k]).alias(k) for k in TAG_KINDS],
+            *[tables[k](n[k]).alias(k) for k in TAG_KINDS],
         ),
     )
     cells = F.transform(
@@ -117,40 +119,72 @@ def char_tag_rows(nodes: Column, tables: dict[str, Column]) -> Column:
     return F.flatten(cells)
 
 
-def resolve_tags(nodes: Column, length: Column, tables: dict[str, Column]) -> Column:
+def resolve_tags(nodes: Column, length: Column, tables: TagIds) -> Column:
     """flat ``(length + 2) x 5`` ids; a tag stands only where all covering nodes agree.
 
-    Cells are sorted by character; the cells of one character are then neighbours and are compared
-    with its first one. A sentence costs n log n and is not shuffled.
+    Spans are swept in order. Where no span reaches over a border, the sentence falls apart into islands, most of them one
+    span or a few equal ones. Within an island the sorted starts and ends bound intervals that the same nodes
+    cover; agreement is decided once for an interval and repeated for its characters (only its first and its last can
+    begin or end a node). Nothing is built for single characters but their five ids, and a sentence is not shuffled.
     """
-    kinds = ["seg", *TAG_KINDS]
 
     def zeros(n: Column | int) -> Column:
         return F.array_repeat(F.lit(0), F.lit(n) if isinstance(n, int) else n)
 
-    def settle(cells: Column) -> Column:
-        heads = F.filter(
-            span(F.size(cells)),
-            lambda i: (i == 0) | (F.get(cells, i - 1)["at"] != F.get(cells, i)["at"]),
-        )
+    def repeated(size: Column, first: Column, last: Column, tags: list[Column]) -> Column:
+        """Ids of an interval of ``size`` characters from the segmentation tags of its ends."""
 
-        def one(s: Column, e: Column) -> Column:
-            head, rivals = F.get(cells, s), F.slice(cells, s + 2, e - s - 1)
+        def cell(seg: Column) -> Column:
+            return F.array(seg, *tags)
 
-            def agreed(kind: str) -> Column:
-                return F.when(F.exists(rivals, lambda r: r[kind] != head[kind]), 0).otherwise(head[kind])
+        inner = F.flatten(F.array_repeat(cell(F.lit(SEG_IDS["I"])), size - 2))
+        return F.when(size == 1, cell(first)).when(size == 2, F.concat(cell(first), cell(last))).otherwise(
+            F.concat(cell(first), inner, cell(last)))
 
-            alone = F.array(*[head[k] for k in kinds])
-            tags = F.when(e - s == 1, alone).otherwise(F.array(*[agreed(k) for k in kinds]))
-            gap = head["at"] - F.coalesce(F.get(cells, s - 1)["at"], F.lit(-1)) - 1
-            return F.when(gap == 0, tags).otherwise(F.concat(zeros(gap * NUM_TAGS), tags))
+    def single(n: Column) -> Column:
+        return repeated(n["end"] - n["start"], F.lit(SEG_IDS["B"]), F.lit(SEG_IDS["E"]), [n[k] for k in TAG_KINDS])
 
-        return bind(
-            heads,
-            lambda h: F.flatten(
-                F.zip_with(h, F.concat(F.slice(h, F.lit(2), F.size(h)), F.array(F.size(cells))), one)
-            ),
-        )
+    def interval(a: Column, b: Column, cover: Column) -> Column:
+        head = F.get(cover, F.lit(0))
+
+        def agreed(value: Callable[[Column], Column]) -> Column:
+            return F.when(F.exists(cover, lambda n: value(n) != value(head)), 0).otherwise(value(head))
+
+        return repeated(
+            b - a, agreed(lambda n: seg_tag(a, n["start"], n["end"])), agreed(lambda n: seg_tag(b - 1, n["start"], n["end"])),
+            [agreed(lambda n, k=k: n[k]) for k in TAG_KINDS])
+
+    def island(members: Column) -> Column:
+        edges = F.array_sort(F.array_distinct(F.concat(
+            F.transform(members, lambda n: n["start"]), F.transform(members, lambda n: n["end"]))))
+
+        def between(e: Column) -> Column:
+            def one(i: Column) -> Column:
+                a, b = F.get(e, i), F.get(e, i + 1)
+                covering = F.filter(members, lambda n: (n["start"] <= a) & (n["end"] >= b))
+                return bind(covering, lambda c: interval(a, b, c))
+
+            return F.flatten(F.transform(span(F.size(e) - 1), one))
+
+        return bind(edges, between)
+
+    def swept(spans: Column, reach: Column) -> Column:
+        """``reach``: up to where the spans so far go, at each place."""
+        heads = F.filter(span(F.size(spans)), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1)))
+
+        def one(s: Column, e: Column) -> Column:
+            ids = F.when(e - s == 1, single(F.get(spans, s))).otherwise(bind(F.slice(spans, s + 1, e - s), island))
+            gap = F.get(spans, s)["start"] - F.coalesce(F.get(reach, s - 1), F.lit(0))
+            return F.when(gap <= 0, ids).otherwise(F.concat(zeros(gap * NUM_TAGS), ids))
+
+        return bind(heads, lambda h: F.flatten(
+            F.zip_with(h, F.concat(F.slice(h, F.lit(2), F.size(h)), F.array(F.size(spans))), one)))
+
+    def settled(spans: Column) -> Column:
+        ends = F.transform(spans, lambda n: n["end"])
+        rising = F.forall(span(F.size(spans)), lambda i: (i == 0) | (F.get(spans, i)["end"] >= F.get(spans, i - 1)["end"]))
+        ids = bind(F.when(rising, ends).otherwise(running_max(ends)), lambda reach: swept(spans, reach))
+        return F.when(F.size(spans) == 0, empty_array("int")).otherwise(ids)
 
     def filled(body: Column) -> Column:
         inner = length * NUM_TAGS
@@ -158,14 +192,9 @@ def resolve_tags(nodes: Column, length: Column, tables: dict[str, Column]) -> Co
             F.slice(F.concat(body, zeros(inner)), F.lit(1), inner)
         )
 
-    cells = F.sort_array(char_tag_rows(nodes, tables))
-    body = bind(cells, lambda c: F.when(F.size(c) == 0, empty_array("int")).otherwise(settle(c)))
-    return F.concat(zeros(NUM_TAGS), bind(body, filled), zeros(NUM_TAGS)).cast("array<bigint>")
-
-
-def tag_tables(tags: DataFrame) -> dict[str, Column]:
-    lists = tag_lists(tags)
-    return {k: text_table(lists.get(k, [])) for k in TAG_KINDS}
+    spans = F.sort_array(F.transform(F.filter(nodes, lambda n: n["end"] > n["start"]), lambda n: F.struct(
+        n["start"].alias("start"), n["end"].alias("end"), *[tables[k](n[k]).alias(k) for k in TAG_KINDS])))
+    return F.concat(zeros(NUM_TAGS), bind(bind(spans, settled), filled), zeros(NUM_TAGS)).cast("array<bigint>")
 
 
 def encode_sentences(
@@ -184,7 +213,8 @@ def encode_sentences(
     codes (no limit by default) and ``length_mismatch`` where the path's surfaces do not have the length
     its offsets say; those rows have no tags.
     """
-    table, tables = char_table(chars), tag_tables(tags)
+    table = char_table(chars)
+    df, tables = tag_ids(df, tags, TAG_KINDS, sid)
     plain = encode_path(F.col("path"), table, sid)
     coded = computed_once(df, codes=plain, length=path_length(F.col("path")))
     long = F.lit(False) if max_length is None else F.size("codes") > max_length
@@ -192,13 +222,21 @@ def encode_sentences(
     final = encode_path(F.col("path"), table, sid, augment) if changed else F.col("codes")
     mismatch = F.size("codes") != F.col("length") + 2
     good = ~mismatch & ~long
-    return computed_once(
+    done = computed_once(
         coded,
         chars=final if max_length is None else F.when(~long, final),
         tags=F.when(good, resolve_tags(F.col("nodes"), F.col("length"), tables)),
         unks=unk_flags(F.col("path" if path_only_unks else "nodes")),
         reason=F.when(long, "too_long").when(mismatch, "length_mismatch"),
     )
+    return done.drop("__tags")
+
+
+def path_hash(df: DataFrame, chars: DataFrame, sid: Sequence[str]) -> DataFrame:
+    """Content hashes (C9) of the sentences whose path has the length that its offsets say; no tag is looked up."""
+    coded = computed_once(df, codes=encode_path(F.col("path"), char_table(chars), sid))
+    fitting = coded.filter(F.size("codes") == path_length(F.col("path")) + 2)
+    return fitting.select(*sid, seq_hash(F.col("codes"), narrow=True).alias("hash"))
 
 
 def tag_view(tags: Column) -> Column:

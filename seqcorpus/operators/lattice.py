@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import bind, computed_once, empty_array, span
@@ -24,6 +26,11 @@ END_MARK = "EOS"
 
 TOKEN_KEY = ["surface", "reading", "dicform", "pos", "subpos", "ctype", "cform"]
 
+#: fields of a node that a consumer may ask the parser for (all by default)
+PATH_FIELDS = ("node_id", "prev", "start", "end", "surface", "ranks")
+COUNT_FIELDS = ("surface", *TOKEN_KEY[3:], "ranks")
+KEY_FIELDS = (*TOKEN_KEY, "ranks")
+
 
 def _strict(text: Column, as_type: str) -> Column:
     """NULL for anything but a plain number; blanks around it are not accepted."""
@@ -73,30 +80,31 @@ def _other_parts(text: Column) -> Column:
     )
 
 
-def _node(f: Column) -> Column:
-    """One node from the fields of its line; numbers that do not parse become NULL."""
+def _node(f: Column, wanted: Sequence[str] | None = None) -> Column:
+    """One node from the fields of its line; numbers that do not parse become NULL. Only ``wanted`` fields are built."""
 
     def field(i: int) -> Column:
         return F.get(f, F.lit(i))
 
     text = field(COL_FEATURES)
-    return F.struct(
-        _strict(field(COL_ID), "int").alias("node_id"),
-        int_list(field(COL_PREV)).alias("prev"),
-        _strict(field(COL_START), "int").alias("start"),
-        (_strict(field(COL_END), "int") + 1).alias("end"),
-        field(COL_SURFACE).alias("surface"),
-        field(COL_CANONICAL).alias("canonical"),
-        field(COL_READING).alias("reading"),
-        field(COL_DICFORM).alias("dicform"),
-        *[field(c).alias(n) for c, n in zip(COL_TAGS, TOKEN_KEY[3:])],
-        *[_strict(field(c), "int").alias(f"{n}_num") for c, n in zip(COL_NUMBERS, TOKEN_KEY[3:])],
-        _score(text, KEY_FEATURE_SCORE).alias("feature_score"),
-        _score(text, KEY_LM_SCORE).alias("lm_score"),
-        _score(text, KEY_ANALYSIS_SCORE).alias("analysis_score"),
-        int_list(F.coalesce(_last_value(text, KEY_RANKS), F.lit(""))).alias("ranks"),
-        parse_features(_other_parts(text)).alias("features"),
-    )
+    made = {
+        "node_id": _strict(field(COL_ID), "int"),
+        "prev": int_list(field(COL_PREV)),
+        "start": _strict(field(COL_START), "int"),
+        "end": _strict(field(COL_END), "int") + 1,
+        "surface": field(COL_SURFACE),
+        "canonical": field(COL_CANONICAL),
+        "reading": field(COL_READING),
+        "dicform": field(COL_DICFORM),
+        **{n: field(c) for c, n in zip(COL_TAGS, TOKEN_KEY[3:])},
+        **{f"{n}_num": _strict(field(c), "int") for c, n in zip(COL_NUMBERS, TOKEN_KEY[3:])},
+        "feature_score": _score(text, KEY_FEATURE_SCORE),
+        "lm_score": _score(text, KEY_LM_SCORE),
+        "analysis_score": _score(text, KEY_ANALYSIS_SCORE),
+        "ranks": int_list(F.coalesce(_last_value(text, KEY_RANKS), F.lit(""))),
+        "features": parse_features(_other_parts(text)),
+    }
+    return F.struct(*[made[n].alias(n) for n in made if wanted is None or n in wanted])
 
 
 def _bad_number(node: Column) -> Column:
@@ -109,6 +117,19 @@ def _bad_number(node: Column) -> Column:
     return bad
 
 
+def _plain_line() -> str:
+    """Pattern of node lines whose numbers surely parse; a line may be good without matching it."""
+    number, list_, decimal = r"-?[0-9]{1,9}", r"[0-9;]{0,9}", r"-?[0-9]{1,9}(?:\.[0-9]{1,9})?"
+    numbers = {COL_ID: number, COL_PREV: list_, COL_START: number, COL_END: number, **dict.fromkeys(COL_NUMBERS, number)}
+    fields = [numbers.get(i, r"[^\t]*+") for i in range(COL_FEATURES)]
+    scores = "|".join(SPECIAL_KEYS[:3])
+    part = rf"(?:(?:{scores}):{decimal}|{KEY_RANKS}:{list_}|(?!(?:{scores}|{KEY_RANKS}):)[^|\t]*+)(?=[|\t]|\z)"
+    return r"\A" + r"\t".join(fields) + rf"\t{part}(?:\|{part})*+(?:\t|\z)"
+
+
+PLAIN_LINE = _plain_line()
+
+
 def sentence_lines(raw: Column) -> Column:
     """Lines of a record up to its end mark, without the empty piece a final newline leaves.
 
@@ -131,26 +152,26 @@ def comment_of(lines: Column) -> Column:
     return bind(F.filter(lines, lambda x: x.startswith("#")), lambda c: F.get(c, F.size(c) - 1))
 
 
-def parse_lattice(df: DataFrame, raw: str = "raw") -> DataFrame:
+def parse_lattice(df: DataFrame, raw: str = "raw", fields: Sequence[str] | None = None) -> DataFrame:
     """B1: replaces ``raw`` by ``comment``, ``nodes`` and ``reason``.
 
-    ``reason`` is NULL for a good sentence, else ``short_line`` or ``bad_number`` (and ``nodes`` is
-    NULL); see :func:`quarantine`.
+    ``reason`` is NULL for a good sentence, else ``short_line`` or ``bad_number`` (and ``nodes`` is NULL); see
+    :func:`quarantine`. ``fields`` names those of a node that are needed: the others are neither cut out nor
+    parsed. Whether a sentence is good does not depend on it: numbers are tested on the line, by one pattern, and
+    only sentences with a line that does not match it are parsed whole to find out.
     """
     others = [c for c in df.columns if c != raw]
     cut = computed_once(df, __lines=sentence_lines(F.col(raw)))
     node_lines = F.filter("__lines", lambda x: ~x.startswith("#"))
+    built = computed_once(cut, comment=comment_of(F.col("__lines")), __rows=node_lines)
     # Fewer tabs than fields need: nothing is left behind the last needed one.
-    short = F.exists(
-        "__lines", lambda x: ~x.startswith("#") & (F.substring_index(x, "\t", MIN_FIELDS - 1) == x)
-    )
-    nodes = F.transform(F.transform(node_lines, lambda x: F.split(x, "\t")), _node)
-    built = computed_once(cut, comment=comment_of(F.col("__lines")), __short=short, __nodes=nodes)
-    reason = F.when(F.col("__short"), "short_line").when(F.exists("__nodes", _bad_number), "bad_number")
+    short = F.exists("__rows", lambda x: F.substring_index(x, "\t", MIN_FIELDS - 1) == x)
+    plain = F.forall("__rows", lambda x: x.rlike(PLAIN_LINE))
+    bad = F.exists("__rows", lambda x: bind(_node(F.split(x, "\t")), _bad_number))
+    reason = F.when(plain, None).when(short, "short_line").when(bad, "bad_number")
     checked = computed_once(built, reason=reason)
-    return checked.select(
-        *others, "comment", F.when(F.col("reason").isNull(), F.col("__nodes")).alias("nodes"), "reason"
-    )
+    nodes = F.transform(F.transform("__rows", lambda x: F.split(x, "\t")), lambda f: _node(f, fields))
+    return computed_once(checked, nodes=F.when(F.col("reason").isNull(), nodes)).select(*others, "comment", "nodes", "reason")
 
 
 def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

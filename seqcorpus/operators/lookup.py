@@ -10,10 +10,12 @@ broadcast and never shuffled, and only the rest is joined by key.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import bind
 from ..sources.scratch import materialise
 
 NUL, UNK, BOS, EOS = 0, 1, 2, 3
@@ -100,14 +102,90 @@ def char_id(table: Column, ch: Column, default: int = UNK) -> Column:
     return F.coalesce(F.get(table, F.ascii(ch)), F.lit(default))
 
 
+TAG_TABLE_BYTES = 1 << 20
+PROBES = 8
+_FREE = "\x02"
+
+
 def tag_lists(tags: DataFrame) -> dict[str, list[str]]:
-    """Tags of every kind in id order (dictionaries are capped per kind by their builder)."""
+    """Tags of every kind in id order, of a dictionary whose size is checked first."""
+    if byte_size(tags.select("kind", "tag", "id")) > TAG_TABLE_BYTES:
+        raise ValueError("the tag dictionary is too large for a constant table; join its labels (label_join)")
     lists: dict[str, list[str]] = {}
     for kind, tag, _ in sorted(tags.select("kind", "tag", "id").collect(), key=lambda r: (r[0], r[2])):
         lists.setdefault(kind, []).append(tag)
     return lists
 
 
-def tag_id(table: Column, tag: Column) -> Column:
-    """Ids count from 1 in array order and frequent tags come first; a miss gives 0."""
-    return F.coalesce(F.array_position(table, tag), F.lit(0)).cast("int")
+@dataclass(frozen=True)
+class HashTable:
+    """A constant table with open addressing: a key lies at its hash's slot or in one of the next ``probes - 1``."""
+
+    keys: Column
+    ids: Column
+    slots: int
+    probes: int
+
+    def id_of(self, key: Column, default: int = 0) -> Column:
+        """The key's id by one hash and at most ``probes`` comparisons."""
+
+        def probe(slot: Column, keys: Column, ids: Column) -> Column:
+            hits = [F.when(F.get(keys, slot + i) == key, F.get(ids, slot + i)) for i in range(self.probes)]
+            return F.coalesce(*hits, F.lit(default))
+
+        if not self.slots:
+            return F.lit(default)
+        slot = F.xxhash64(key).bitwiseAND(F.lit(self.slots - 1)).cast("int")
+        if self.probes == 1:
+            return bind(slot, lambda s: probe(s, self.keys, self.ids))
+        # a lambda variable, so that the plan holds the table once
+        return bind(self.keys, lambda keys: bind(self.ids, lambda ids: bind(slot, lambda s: probe(s, keys, ids))))
+
+
+def hash_table(entries: Sequence[tuple[str, int, int]]) -> HashTable:
+    """A table of (key, id, Spark's ``xxhash64`` of the key), doubled until no key is ``PROBES`` slots off (small ones: one)."""
+    slots = 16
+    while entries:
+        most = 1 if slots <= 4096 else PROBES
+        held: dict[int, tuple[str, int]] = {}
+        far = 0
+        for key, id_, hashed in entries:
+            at = hashed & (slots - 1)
+            step = next((i for i in range(PROBES + 1) if at + i not in held), PROBES + 1)
+            held[at + step], far = (key, id_), max(far, step + 1)
+        if far <= most and 2 * len(entries) <= slots:
+            rows = [held.get(i, (_FREE, 0)) for i in range(slots + far)]
+            return HashTable(text_table([k for k, _ in rows]), number_table([i for _, i in rows]), slots, far)
+        slots *= 2
+    return HashTable(text_table([]), number_table([]), 0, 0)
+
+
+TagIds = dict[str, Callable[[Column], Column]]
+
+
+def tag_ids(df: DataFrame, tags: DataFrame, kinds: Sequence[str], sid: Sequence[str], nodes: str = "nodes",
+            table_bytes: int = TAG_TABLE_BYTES) -> tuple[DataFrame, TagIds]:
+    """E3 in-row: ``df`` and, by kind, what gives the id of a tag (0 if unknown).
+
+    A dictionary of at most ``table_bytes`` becomes a constant hash table. Beyond it, the distinct tags of each
+    sentence are joined to the dictionary and come back with the sentence as a short array."""
+    known = tags.filter(F.col("kind").isin(*kinds)).select("kind", "tag", "id")
+    if byte_size(known) <= table_bytes:
+        rows = known.select("kind", "tag", "id", F.xxhash64("tag")).collect()  # as many as the checked bytes allow
+        tables = {k: hash_table([(r[1], r[2], r[3]) for r in rows if r[0] == k]) for k in kinds}
+        return df, {k: t.id_of for k, t in tables.items()}
+    df = materialise(df, "tagged-sentences")
+    pairs = F.array_distinct(F.flatten(F.transform(nodes, lambda n: F.array(
+        *[F.struct(F.lit(k).alias("kind"), n[k].alias("tag")) for k in kinds]))))
+    used = materialise(df.select(*sid, F.inline(pairs)), "used-tags")
+    entries = F.struct("kind", "tag", F.col("id").cast("int").alias("id"))
+    found = tag_join(used, known).groupBy(*sid).agg(F.collect_list(entries).alias("__tags"))  # of one sentence
+
+    def within(kind: str) -> Callable[[Column], Column]:
+        def id_of(tag: Column) -> Column:
+            hits = F.filter("__tags", lambda e: (e["kind"] == kind) & (e["tag"] == tag))
+            return F.coalesce(F.get(hits, F.lit(0))["id"], F.lit(0))
+
+        return id_of
+
+    return df.join(found, list(sid), "left"), {k: within(k) for k in kinds}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.lattice import parse_lattice, quarantine
+from ..operators.lattice import COUNT_FIELDS, parse_lattice, quarantine
 from ..operators.vocab import build_char_dict, build_tag_dict, feature_counts, top_per_kind
 from ..sources.dicts import write_dicts
 from ..sources.records import read_records, resolve_inputs
@@ -24,5 +24,5 @@ def dictionaries(parsed: DataFrame, max_chars: int | None = None) -> tuple[DataF
 
 def run(spark: SparkSession, list_file: str, output: str, max_chars: int | None = None) -> None:
     paths = resolve_inputs(spark, list_file, always_list=True)
-    good, _ = quarantine(parse_lattice(read_records(spark, paths)))
+    good, _ = quarantine(parse_lattice(read_records(spark, paths), fields=COUNT_FIELDS))
     write_dicts(*dictionaries(good, max_chars), output)

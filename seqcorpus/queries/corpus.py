@@ -16,31 +16,31 @@ SID = fx.SID
 
 @query("feature_counts", "SELECT kind, value, cnt FROM counts", ("counts",))
 def feature_counts(spark, sf):
-    return vocab.feature_counts(fx.sentences(spark, sf))
+    return vocab.feature_counts(fx.sentences(spark, sf, lattice.COUNT_FIELDS))
 
 
 @query("char_dictionary", "SELECT ch, cnt, id::INT AS id, format('{}:{:x}', ch, unicode(ch)) AS label FROM chardict", ("chardict",))
 def char_dictionary(spark, sf):
-    return dictionary.dictionaries(fx.sentences(spark, sf))[1]
+    return dictionary.dictionaries(fx.sentences(spark, sf, lattice.COUNT_FIELDS))[1]
 
 
 @query("char_dictionary_by_freq", """
 SELECT ch, cnt, (3 + row_number() OVER (ORDER BY cnt DESC, ch))::INT AS id,
        format('{}:{:x}', ch, unicode(ch)) AS label FROM charset""", ("charset",))
 def char_dictionary_by_freq(spark, sf):
-    return dictionary.dictionaries(fx.sentences(spark, sf))[0]
+    return dictionary.dictionaries(fx.sentences(spark, sf, lattice.COUNT_FIELDS))[0]
 
 
 @query("tag_dictionary", "SELECT kind, tag, cnt, id::INT AS id FROM tagdict", ("tagdict",))
 def tag_dictionary(spark, sf):
-    return dictionary.dictionaries(fx.sentences(spark, sf))[2]
+    return dictionary.dictionaries(fx.sentences(spark, sf, lattice.COUNT_FIELDS))[2]
 
 
 @query("top_per_kind", """
 SELECT kind, value, cnt FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cnt DESC, value) AS r FROM counts)
 WHERE r <= 3""", ("counts",))
 def top_per_kind(spark, sf):
-    return vocab.top_per_kind(vocab.feature_counts(fx.sentences(spark, sf)), 3)
+    return vocab.top_per_kind(vocab.feature_counts(fx.sentences(spark, sf, lattice.COUNT_FIELDS)), 3)
 
 
 @query("lattice_nodes", """
@@ -102,7 +102,7 @@ def bad_records(spark, sf):
 SELECT doc_id, line_no, count(*) AS nodes, string_agg(node_id::VARCHAR, ',' ORDER BY tok_no) AS ids
 FROM nodes WHERE node_rank = 1 GROUP BY doc_id, line_no""", ("nodes",))
 def top_one(spark, sf):
-    kept = lattice.top_one(fx.sentences(spark, sf))
+    kept = lattice.top_one(fx.sentences(spark, sf, ("node_id", "ranks")))
     return kept.select(
         *SID, F.size("nodes").cast("bigint").alias("nodes"),
         joined(F.transform("nodes", lambda n: n["node_id"])).alias("ids"),
@@ -114,7 +114,7 @@ SELECT doc_id, line_no, count(*) AS nodes, string_agg(node_id::VARCHAR, ',' ORDE
        string_agg(surface, ' ' ORDER BY tok_no) AS text
 FROM nodes WHERE node_rank = 1 GROUP BY doc_id, line_no""", ("nodes",))
 def best_path(spark, sf):
-    found = lattice.best_path(fx.sentences(spark, sf))
+    found = lattice.best_path(fx.sentences(spark, sf, lattice.PATH_FIELDS))
     return found.select(
         *SID, F.size("path").cast("bigint").alias("nodes"),
         joined(F.transform("path", lambda n: n["node_id"])).alias("ids"),

@@ -15,7 +15,7 @@ SID = fx.SID
 
 def coded(spark, sf, max_length: int | None = None, **options):
     chars, tags = fx.dictionaries(spark, sf)
-    found = lattice.best_path(fx.sentences(spark, sf))
+    found = lattice.best_path(fx.sentences(spark, sf, encode.EXAMPLE_FIELDS))
     return encode.encode_sentences(found, chars, tags, SID, max_length, **options)
 
 
@@ -78,7 +78,7 @@ SELECT kind, tag, coalesce(id, 0) AS id, cnt FROM (
 LEFT JOIN (SELECT kind, tag, id::INT AS id FROM tagdict WHERE tag <> 'mixed') USING (kind, tag)""", ("counts", "tagdict"))
 def tag_join(spark, sf):
     pairs = encode.TAG_KINDS
-    nodes = fx.sentences(spark, sf).select(F.inline("nodes"))
+    nodes = fx.sentences(spark, sf, pairs).select(F.inline("nodes"))
     rows = nodes.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("tag")) for k in pairs])))
     counts = rows.groupBy("kind", "tag").agg(F.count("*").alias("cnt"))
     return lookup.tag_join(counts, fx.dictionaries(spark, sf)[1].filter("tag <> 'mixed'"))
@@ -130,8 +130,8 @@ SELECT seg, kind, tag, count(*) AS cnt FROM (
 GROUP BY seg, kind, tag""", ("nodes",))
 def char_tags(spark, sf):
     _, tags = fx.dictionaries(spark, sf)
-    tables = encode.tag_tables(tags)
-    rows = fx.sentences(spark, sf).select(F.inline(encode.char_tag_rows(F.col("nodes"), tables)))
+    found, tables = lookup.tag_ids(fx.sentences(spark, sf, ("start", "end", *encode.TAG_KINDS)), tags, encode.TAG_KINDS, SID)
+    rows = found.select(F.inline(encode.char_tag_rows(F.col("nodes"), tables)))
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("id")) for k in encode.TAG_KINDS]
     counts = rows.select("seg", F.inline(F.array(*kinds))).groupBy("seg", "kind", "id").agg(F.count("*").alias("cnt"))
     labels = tags.select("kind", "id", "tag")
@@ -141,7 +141,7 @@ def char_tags(spark, sf):
 @query("seg_tags", """
 SELECT doc_id, line_no, string_agg(seg::VARCHAR, '' ORDER BY cp) AS seg FROM chars GROUP BY doc_id, line_no""", ("chars",))
 def seg_tags(spark, sf):
-    found = lattice.best_path(fx.sentences(spark, sf))
+    found = lattice.best_path(fx.sentences(spark, sf, lattice.PATH_FIELDS))
     tags = F.flatten(F.transform("path", lambda n: F.transform(
         F.sequence(n["start"], n["end"] - 1), lambda c: encode.seg_tag(c, n["start"], n["end"]))))
     return found.select(*SID, joined(tags, "").alias("seg"))
@@ -221,7 +221,7 @@ ops AS (SELECT doc_id, line_no, cp, ch, CASE
 @query("mask_plan", "WITH " + MASK_SQL + """
 SELECT doc_id, line_no, '0,' || string_agg(op::VARCHAR, ',' ORDER BY cp) || ',0' AS bert FROM ops GROUP BY doc_id, line_no""", ("chars",))
 def mask_plan(spark, sf):
-    found = lattice.best_path(fx.sentences(spark, sf))
+    found = lattice.best_path(fx.sentences(spark, sf, lattice.PATH_FIELDS))
     return found.select(*SID, joined(masking.mask_plan(F.col("path"), SID)).alias("bert"))
 
 
