@@ -1,16 +1,19 @@
-"""Sharding by sampled splitters: shards of near-equal bytes, equal texts side by side.
+"""Sharding by sampled splitters: shards of near-equal bytes, equal texts in one shard.
 
 Records are drawn by size (a record of k steps is drawn about k times) and the draws' quantiles split the
 space of keys (a hash of the text) into many small ranges. Exact bytes and rows of each range are counted;
-overfull ranges, which one hot text or a poor draw makes, are subdivided by a hash of the record. Ranges
+overfull ranges, which a poor draw makes, are subdivided by a second hash of the key. Ranges
 are ordered, so running totals (over ranges, then over the rows within each) give every record's exact byte
-position, and that its shard. Records of equal text keep the shard of the first of them unless their bytes
-are more than a small part of a shard. Single records above that part (there can be no more than ``LARGE_PART``
-for each shard) are dealt first, by size, to and fro over the shards; the positions at which one shard ends and the
-next begins then leave each shard just the bytes that it still lacks. ``slot`` counts on within a shard.
+position, and that its shard. Records of equal text keep the shard of the first of them.
 
-All of it is DataFrame operations. What is collected is one row of splitters; what is broadcast has one row for
-each range or shard: at most ``MOST_RANGES`` ranges, and as many subdivisions again.
+Groups of equal texts (or single records) above a small part of a shard are not put into ranges. Those that a shard can hold
+are dealt first, the largest first, each to the shard that holds least; there are at most ``LARGE_PART`` of them for each shard. Only groups of
+more bytes than a shard are parted: their records are spread over cells by a hash of the record and placed by their own
+positions. The positions at which one shard ends and the next begins leave each shard just the bytes that it still lacks.
+Slots count on over a shard's cells; a cell holds a bounded part of the rows, also of a large group.
+
+All of it is DataFrame operations. What is collected is one row of splitters and one for each large group; what is broadcast has one
+row for each cell or large group: at most ``MOST_RANGES`` ranges, as many subdivisions again, and the large groups.
 
 Edge cases: null or empty text has size 8 and checksum 0; null ids sort first; repeated rows take places
 one after another; an empty table gives no row; more shards than rows leaves shards empty.
@@ -18,6 +21,7 @@ one after another; an empty table gives no row; more shards than rows leaves sha
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -27,8 +31,8 @@ from .common import materialise, query, table
 SHARDS = 24
 LEAST_RANGES, MOST_RANGES, ROWS_IN_RANGE = 400, 4096, 250_000
 DRAWS_IN_RANGE = 50
-GROUP_PART = 256  # a group of equal texts above this part of a shard may be parted
-LARGE_PART = 32  # a record above this part of a shard is dealt by itself
+LARGE_PART = 256  # a group of equal texts above this part of a shard is dealt by itself
+CELL_ROWS = 250_000  # of a large group
 
 
 def _uniform(*columns: str) -> Column:
@@ -66,48 +70,66 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")), "shard-keys")
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = min(MOST_RANGES, max(LEAST_RANGES, rows // ROWS_IN_RANGE))
-    large_size = F.lit(total / shards / LARGE_PART)
-    turn = F.row_number().over(W.orderBy(F.desc("size"), "key", "doc_id")) - 1
-    there, back = F.col("turn") % shards, shards - 1 - F.col("turn") % shards
-    large = materialise(keyed.filter(F.col("size") > large_size).withColumn("turn", turn).withColumn(
-        "shard", F.when(F.floor(F.col("turn") / shards) % 2 == 0, there).otherwise(back).cast("int")), "large-records")
-    held = {r["shard"]: r["held"] for r in large.groupBy("shard").agg(F.sum("size").alias("held")).collect()}
-    small = keyed.filter(F.col("size") <= large_size)
-    small_total = total - sum(held.values())
-    lacking = [max(0.0, total / shards - held.get(i, 0)) for i in range(shards)]
-    scale = small_total / max(sum(lacking), 1e-9)
+    shard_bytes = total / shards
+    groups = keyed.groupBy("key").agg(F.sum("size").alias("group_bytes"), F.count("*").alias("group_rows"))
+    big = materialise(groups.filter(F.col("group_bytes") > shard_bytes / LARGE_PART), "large-groups")
+    apart = F.col("group_bytes") > shard_bytes  # under ``shards`` groups
+    met = keyed.join(F.broadcast(big), "key", "left")
+    # units: whole groups, and the large records of groups that no shard can hold
+    records = materialise(met.filter(apart & (F.col("size") > shard_bytes / LARGE_PART)).withColumn(
+        "unit", F.row_number().over(W.orderBy("key", "doc_id"))), "large-records")
+    units = big.filter(~apart).select("key", F.lit(0).alias("unit"), F.col("group_bytes").alias("bytes"), "group_rows").unionByName(
+        records.select("key", "unit", F.col("size").alias("bytes"), F.lit(1).cast("long").alias("group_rows")))
+    units = units.withColumn("parts", F.ceil(F.col("group_rows") / CELL_ROWS).cast("int"))
+    held = [(0, i) for i in range(shards)]
+    dealt = []
+    for u in sorted(units.collect(), key=lambda u: (-u["bytes"], u["key"], u["unit"])):  # ``LARGE_PART`` a shard at most
+        load, shard = heapq.heappop(held)
+        heapq.heappush(held, (load + u["bytes"], shard))
+        dealt.append((u["key"], u["unit"], u["parts"], -1 - len(dealt), shard))
+    units = keyed.sparkSession.createDataFrame(dealt, "key long, unit int, parts int, range int, shard int")
+    held = {shard: load for load, shard in held}
+
+    def part_of(parts: Column, *by: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), *by), parts).cast("int")
+
+    own = [*keyed.columns, "range", "part", "shard"]
+    whole = met.filter(F.col("group_bytes").isNotNull() & ~apart).join(F.broadcast(units.filter("unit = 0")), "key")
+    single = records.join(F.broadcast(units.filter("unit > 0")), ["key", "unit"])
+    dealt = whole.unionByName(single, allowMissingColumns=True).withColumn("part", part_of(F.col("parts"), "doc_id")).select(*own)
+
+    # the rest: by position, small groups as one
+    rest = met.filter(F.col("group_bytes").isNull() | (apart & (F.col("size") <= shard_bytes / LARGE_PART))).select(
+        *keyed.columns, F.coalesce(apart, F.lit(False)).alias("apart"))
+    rest_bytes = total - sum(held.values())
+    lacking = [max(0.0, shard_bytes - held.get(i, 0)) for i in range(shards)]
+    scale = rest_bytes / max(sum(lacking), 1e-9)
     edges = [sum(lacking[:i]) * scale for i in range(1, shards)]
-    ranged = small.withColumn("range", range_of(F.col("key"), splitters(small, small_total, ranges)))
-    # subdivide what holds more than twice its part of the bytes or of the rows
-    load = F.greatest(F.sum("size") * F.lit(ranges / max(small_total, 1)), F.count("*") * F.lit(ranges / max(rows, 1)))
+    ranged = rest.withColumn("range", range_of(F.col("key"), splitters(rest, rest_bytes, ranges)))
+    # subdivide what holds more than twice its part of the bytes or of the rows: by key, records of parted groups by id
+    load = F.greatest(F.sum("size") * F.lit(ranges / max(rest_bytes, 1)), F.count("*") * F.lit(ranges / max(rows, 1)))
     parts = ranged.groupBy("range").agg(F.greatest(F.lit(1), F.ceil(load / 2)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts"))
+    part = F.when(F.col("apart"), part_of(F.col("parts"), "doc_id", "key")).otherwise(part_of(F.col("parts"), "key"))
     celled = ranged.join(F.broadcast(parts), "range").withColumn("part", part)
-    cells = celled.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    cells = celled.groupBy("range", "part").agg(F.sum("size").alias("bytes"))
     before = W.orderBy("range", "part").rowsBetween(W.unboundedPreceding, -1)
-    based = cells.select(
-        "range", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base_bytes"),
-        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base_rows"))
+    based = cells.select("range", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
     cell = W.partitionBy("range", "part").orderBy("key", "doc_id", "text_crc32").rowsBetween(W.unboundedPreceding, 0)
-    group = W.partitionBy("range", "part", "key")
     start = F.sum("size").over(cell) - F.col("size")
-    placed = (
-        celled.withColumn("start", start).withColumn("row", F.count("*").over(cell) - 1)
-        .withColumn("group_bytes", F.sum("size").over(group)).withColumn("group_start", F.min("start").over(group))
-        .join(F.broadcast(based), ["range", "part"])
-    )
-    whole = F.col("group_bytes") <= F.lit(total / shards / GROUP_PART)
-    position = F.col("base_bytes") + F.when(whole, F.col("group_start")).otherwise(F.col("start"))
+    group_start = F.min("start").over(W.partitionBy("range", "part", "key"))
+    placed = celled.withColumn("start", start).withColumn("group_start", group_start).join(F.broadcast(based), ["range", "part"])
+    position = F.col("base") + F.when(F.col("apart"), F.col("start")).otherwise(F.col("group_start"))
     bounds = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    shard = F.size(F.filter(bounds, lambda e: e <= position))
-    placed = materialise(placed.select(
-        "doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("base_rows") + F.col("row")).alias("place")), "shards")
-    firsts = placed.groupBy("shard").agg(F.min("place").alias("first"), F.count("*").alias("rows"))
-    slotted = placed.join(F.broadcast(firsts), "shard").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"))
-    slot = F.coalesce(F.col("rows"), F.lit(0)) + F.floor(F.col("turn") / shards)
-    return slotted.unionByName(large.join(F.broadcast(firsts), "shard", "left").select(
-        "doc_id", "size", "text_crc32", "shard", slot.alias("slot")))
+    placed = placed.withColumn("shard", F.size(F.filter(bounds, lambda e: e <= position))).select(*own)
+
+    # slots: a shard's cells one after another
+    placed = materialise(placed.unionByName(dealt).select("doc_id", "size", "text_crc32", "key", "shard", "range", "part"), "shards")
+    counts = placed.groupBy("shard", "range", "part").agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("shard").orderBy("range", "part").rowsBetween(W.unboundedPreceding, -1)
+    firsts = materialise(counts.select("shard", "range", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")), "cells")
+    row = F.row_number().over(W.partitionBy("shard", "range", "part").orderBy("key", "doc_id", "text_crc32")) - 1
+    return placed.withColumn("row", row).join(F.broadcast(firsts), ["shard", "range", "part"]).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("row")).alias("slot"))
 
 
 @query("op7_sharding")

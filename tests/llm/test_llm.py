@@ -14,6 +14,7 @@ from seqcorpus.llm import (
     byte_bpe, exact_search, extraction, graphs, near_copies, near_search, packing, personal, quality, sharding, token_files, tokens,
 )
 from seqcorpus.llm.common import scratch_path
+from seqcorpus.llm.queries import QUERIES
 from seqcorpus.llm.tokens import encoder, vocabulary_path
 
 DOCS = "doc_id long, text string, size int, score string, shard string"
@@ -135,6 +136,39 @@ def test_shards_are_near_equal(spark):
     assert len(sizes) == 8 and max(sizes) < 1.01 * min(sizes)
 
 
+def test_equal_texts_share_a_shard(spark, tmp_path):
+    rows, draw = [], random.Random(12)
+    for g in range(900):  # groups of all sizes, some of them large, none that a shard could not hold
+        n = draw.choice([1, 1, 1, 2, 3, 20, 100 if g % 50 == 0 else 5, 700 if g % 300 == 0 else 2])
+        rows += [(len(rows) + i, f"text {g} " * draw.choice([1, 10])) for i in range(n)]
+    hot = [(100_000 + i, "one text of a third of all bytes") for i in range(sum(len(t) + 8 for _, t in rows) // 80)]
+    df = spark.createDataFrame(rows + hot, "doc_id long, text string").repartition(3)
+    shards = 12
+    found = sharding.shard_by_bytes(df, shards).join(df, "doc_id").collect()
+    assert len(found) == len(rows) + len(hot)
+    sizes, at, slots, size_of = [0] * shards, {}, {}, {}
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        at.setdefault(r["text"], set()).add(r["shard"])
+        size_of[r["text"]] = size_of.get(r["text"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert max(sizes) < 1.02 * min(sizes) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    fits = sum(sizes) / shards
+    assert all(len(at[t]) == 1 for t, n in size_of.items() if n <= fits) and any(n > fits for n in size_of.values())
+
+
+def test_sharding_query(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(some_texts())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op7_sharding"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in found) == [i for i, _ in rows]
+    assert all(r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 24 for r in found)
+    shard = {}
+    for r in found:
+        shard.setdefault(rows[r["doc_id"]][1] or "", set()).add(r["shard"])
+    assert all(len(s) == 1 for t, s in shard.items() if len(t) < 1000)
+
+
 def test_byte_bpe(docs, none):
     import base64
 
