@@ -12,8 +12,8 @@ joined in this way are candidates. The members of each connected group of candid
 bound the overlap from above by counting bits, and what passes is decided on the sorted arrays. Sets already joined by
 links are not compared again: links found span each component.
 
-A group that fills more than one block is first cut by prefixes: with the n-grams of its sets ordered by how many of
-these sets hold them, two linked sets share one among the first (1 - threshold) of each. A passage that many short
+A group that fills more than one block is first cut by prefixes: with n-grams ordered by how many sets of a bounded
+sample hold them, two linked sets share one among the first (1 - threshold) of each (in any order, so the sample decides no result). A passage that many short
 documents share ties them to each other by tiles, but comes last in this order. What is still connected by shared
 prefix n-grams of a size band is compared in two rounds: within blocks, dealt by two hashes; then the sets outside
 the group's largest component so far (the guests) with every block of the first hash. Two sets of the largest component need
@@ -32,23 +32,24 @@ no component; an empty table gives no row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqcorpus.operators.lookup import lookup_join
 from seqcorpus.sources.scratch import release
 
 from .common import materialise, query, table, texts_of
-from .graphs import components, hot_join
+from .graphs import components
 
 TILE_ROWS = 1024  # sets that are compared with each other at once
 TILE_SHINGLES = 2 << 20  # of these sets together, unless a single set has more
-WINDOW = 1 << 20  # tiles that a task joins before it sends one of each
+WINDOW = 1 << 18  # tiles that a task joins before it sends one of each
+SAMPLE_SETS, GRAMS = 65_536, 1 << 19  # sets whose n-grams are counted to order prefixes, and n-grams that are kept of them
 BROADCAST_BYTES = 16 << 20
 ROW_BYTES = 64  # of a row of ids
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -138,7 +139,7 @@ def tiles_of(found: np.ndarray, rare: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a bounded number of characters (one row at least) with the texts of their last column."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy()
@@ -163,7 +164,7 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
     """``doc_id``, ``row_key``, size and identity of every row's set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in pieces(batches):
+        for part, found in pieces(batches, 1 << 20):
             sets = shingles(found, width)
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64())],
@@ -172,41 +173,38 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("doc_id", "row_key", "text").mapInArrow(sign, "doc_id long, row_key long, n_shingles long, set_id long")
 
 
-def candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (``a``, ``b``) from each set of a tile to one other of it, so that the sets of a tile are connected."""
+def star_edges(texts: DataFrame, tiler: Callable[[], Callable[[list[np.ndarray]], list[np.ndarray]]], read_sets) -> DataFrame:
+    """Edges (``a``, ``b``) from each set of a tile to one other of it, so that the sets of a tile are connected.
+
+    ``tiler()`` gives what finds the tiles of sets, ``read_sets`` the sets and their identities of an Arrow stream. A task joins
+    the sets of ``WINDOW`` tiles at a time: the sets of a tile meet its least one in a tile of that set's own,
+    and only this one stands for the tile outside."""
 
     def joined(tiles: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
-        """One row for each tile, and edges (with ``b``) of the others to its set."""
-        tile = np.concatenate([np.zeros(0, np.uint64), *tiles]).view(np.int64)
+        tile = np.concatenate([np.zeros(0, np.uint64), *tiles])
         owner = np.repeat(np.array(owners, np.int64), [len(t) for t in tiles])
         order = np.lexsort((owner, tile))
         tile, owner = tile[order], owner[order]
         first = np.concatenate([[True], tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, bool)
         leader = np.repeat(owner[first], np.diff(np.append(np.flatnonzero(first), len(tile))))
-        pairs = np.unique(np.stack([owner, leader])[:, owner != leader], axis=1)
-        none = np.zeros(int(first.sum()), np.int64)
-        b = pa.array(np.concatenate([none, pairs[1]]), mask=np.arange(len(none) + pairs.shape[1]) < len(none))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([tile[first], pairs[0]])), pa.array(np.concatenate([owner[first], pairs[0]])), b],
-            ["tile", "a", "b"])
+        met = owner != leader
+        own, head = np.unique(np.stack([owner[met], leader[met]]), axis=1)
+        heads = np.unique(head)
+        tile = np.concatenate([tile[first], *(mixed(x.view(np.uint64) + _FACTOR) for x in (head, heads))])
+        return pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(np.concatenate([owner[first], own, heads]))], ["tile", "a"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, known, tiles, owners, n = Bands(percent), set(), [], [], 0
-        for _, found in pieces(batches):
-            sets = shingles(found, width)
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            common = values[counts > 3]
-            for set_id, own in zip(set_ids(sets), sets):
+        find, known, tiles, owners, n = tiler(), set(), [], [], 0
+        for ids, sets in read_sets(batches):
+            for set_id, found in zip(ids, find(sets)):
                 if set_id is None or set_id in known:
                     continue  # a task gives a set's tiles once
-                if len(known) > 200_000:
+                if len(known) > 100_000:
                     known.clear()
                 known.add(set_id)
-                place = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
-                rare = common[place] != own if len(common) else np.ones(len(own), bool)
-                tiles.append(tiles_of(own, rare, bands))
+                tiles.append(found)
                 owners.append(set_id)
-                n += len(tiles[-1])
+                n += len(found)
                 if n >= WINDOW:
                     yield joined(tiles, owners)
                     tiles, owners, n = [], [], 0
@@ -215,26 +213,46 @@ def candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_tile = last = None
         for batch in batches:
-            edge = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            b = batch.column(2).fill_null(0).to_numpy()
-            tile, a = batch.column(0).to_numpy()[~edge], batch.column(1).to_numpy()
-            made = [np.stack([a[edge], b[edge]])]
-            if len(tile):
-                own = a[~edge]
-                starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-                leader = own[starts].copy()
-                if tile[0] == last_tile:
-                    leader[0] = last
-                last_tile, last = tile[-1], leader[-1]
-                leader = np.repeat(leader, np.diff(np.append(starts, len(tile))))
-                made.append(np.stack([own, leader])[:, own != leader])
-            pairs = np.unique(np.concatenate(made, axis=1), axis=1)
+            tile, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(tile):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            leader = own[starts].copy()
+            if tile[0] == last_tile:
+                leader[0] = last
+            last_tile, last = tile[-1], leader[-1]
+            leader = np.repeat(leader, np.diff(np.append(starts, len(tile))))
+            pairs = np.unique(np.stack([own, leader])[:, own != leader], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    posted = texts.select("text").mapInArrow(post, "tile long, a long, b long")
+    posted = texts.mapInArrow(post, "tile long, a long")
     return posted.repartition("tile").sortWithinPartitions("tile", "a").mapInArrow(read, "a long, b long")
 
 
+def candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges that connect the sets which share the content of a segment."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+        for _, found in pieces(batches, 1 << 20):
+            sets = shingles(found, width)
+            yield set_ids(sets), sets
+
+    def tiler():
+        bands = Bands(percent)
+
+        def find(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+            values, counts = np.unique(np.concatenate(sets), return_counts=True)
+            common = values[counts > 3]
+            for own in sets:
+                place = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+                rare = common[place] != own if len(common) else np.ones(len(own), bool)
+                yield tiles_of(own, rare, bands) if len(own) else np.zeros(0, np.uint64)
+
+        return find
+
+    return star_edges(texts.select("text"), tiler, sets_of)
+
+
 def linked(sets: list[np.ndarray], percent: int, labels: list[int], home: list[bool | None]) -> list[tuple[int, int]]:
     """Pairs of places that, with the components named by ``labels``, span the components of all links among ``sets``.
 
@@ -278,7 +296,7 @@ def linked(sets: list[np.ndarray], percent: int, labels: list[int], home: list[b
 def asked_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows whose text (the last column) gives the set that is asked for (the first), and the sets; a task gives each once."""
     known: set = set()
-    for part, found in pieces(batches, 1 << 20):
+    for part, found in pieces(batches, 1 << 19):
         sets, asked = shingles(found, width), part.column(0).to_pylist()
         rows = []
         for i, made in enumerate(set_ids(sets)):
@@ -326,33 +344,47 @@ def links(texts: DataFrame, chosen: DataFrame, tiles: Column, width: int, percen
     return materialise(dealt.groupBy("root", "part", "chunk").applyInArrow(compare, "a long, b long"), "links")
 
 
+def frequent_grams(texts: DataFrame, chosen: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that several of a bounded sample of the sets hold, ascending, and how many do; at most ``GRAMS``."""
+    step = -(-chosen.count() // SAMPLE_SETS)
+    some = chosen.select("row_key", "set_id").filter(F.pmod(F.xxhash64(F.lit("sample"), "set_id"), F.lit(max(step, 1))) == 0)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in asked_sets(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["gram"])
+
+    counts = _texts_of(texts, some).mapInArrow(spread, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
+    found = counts.filter("n > 1").orderBy(F.desc("n"), "gram").limit(GRAMS).toArrow()
+    grams, n = found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
 def prefix_edges(texts: DataFrame, chosen: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges that connect the sets of ``chosen`` (``row_key``, ``set_id``) which share an n-gram of their prefixes and a size band.
 
-    N-grams are ordered by how many rows of ``chosen`` hold them. Those of one row need no posting, they only fill prefixes."""
+    N-grams are ordered by how many sets of a sample hold them, then by hash. Any order that is the same for all sets keeps
+    every linked pair; the sample only makes it a good one."""
+    grams, held = frequent_grams(texts, chosen, width)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         for kept, sets in asked_sets(batches, width):
-            sizes = [len(s) for s in sets]
-            ids, band = np.array(kept.column(0).to_pylist(), np.int64), np.array([bands.of(n) for n in sizes], np.int32)
-            columns = [np.repeat(ids, sizes), np.repeat(np.array(sizes, np.int64), sizes), np.repeat(band, sizes),
-                       np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["set_id", "size", "band", "gram"])
-
-    rows = _texts_of(texts, chosen.select("row_key", "set_id")).mapInArrow(spread, "set_id long, size long, band int, gram long")
-    rows = materialise(rows, "member-grams")
-    counts = materialise(rows.groupBy("gram").agg(F.count("*").alias("held"), F.count("*").alias("n")).filter("n > 1"), "gram-counts")
-    own = W.partitionBy("set_id")
-    order = F.dense_rank().over(own.orderBy("held", "gram"))  # a row repeated as a whole counts once
-    shared = hot_join(rows, counts, ["gram"], "n").withColumn("place", order)
-    alone = F.col("size") - F.max("place").over(own)
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    first = shared.withColumn("alone", alone).filter(F.col("place") <= prefix - F.col("alone"))
-    posted = materialise(first.select("set_id", "gram", F.explode(F.array("band", F.col("band") + 1)).alias("band")), "prefixes")
-    release(rows, counts)
-    leaders = materialise(posted.groupBy("gram", "band").agg(F.min("set_id").alias("b"), F.count("*").alias("n")).filter("n > 1"), "leaders")
-    return hot_join(posted, leaders, ["gram", "band"], "n").select(F.col("set_id").alias("a"), "b")
+            yield kept.column(0).to_pylist(), sets
+
+    def tiler():
+        bands = Bands(percent)
+
+        def find(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+            for own in sets:
+                place = np.minimum(np.searchsorted(grams, own), max(len(grams) - 1, 0))
+                often = np.where(grams[place] == own, held[place], 0) if len(grams) else np.zeros(len(own), np.int64)
+                first = own[np.argsort(often, kind="stable")[:len(own) + (-percent * len(own)) // 100 + 1]]
+                band = bands.of(len(own))
+                yield np.concatenate([mixed(first ^ mixed(np.uint64([b]))) for b in (band, band + 1)])
+
+        return find
+
+    return star_edges(_texts_of(texts, chosen.select("row_key", "set_id")), tiler, sets_of)
 
 
 def _tile(part: Column, chunk: Column, home: Column) -> Column:
