@@ -15,7 +15,7 @@ links are not compared again: links found span each component.
 A group that fills more than one block is first cut by prefixes: with n-grams ordered by how many sets of a bounded
 sample hold them, two linked sets share one among the first (1 - threshold) of each (in any order, so the sample decides no result). A passage that many short
 documents share ties them to each other by tiles, but comes last in this order. What is still connected by shared
-prefix n-grams of a size band is compared in two rounds: within blocks, dealt by two hashes; then the sets outside
+prefix n-grams is compared in two rounds: within blocks, dealt by two hashes; then the sets outside
 the group's largest component so far (the guests) with every block of the first hash. Two sets of the largest component need
 no comparison, any other pair meets in the first or the last round. So a group of n sets of which g do not link to
 the rest costs about 3n + g * blocks sent sets instead of n * blocks.
@@ -350,10 +350,17 @@ def frequent_grams(texts: DataFrame, chosen: DataFrame, width: int) -> tuple[np.
     some = chosen.select("row_key", "set_id").filter(F.pmod(F.xxhash64(F.lit("sample"), "set_id"), F.lit(max(step, 1))) == 0)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, held = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of this task so far
         for _, sets in asked_sets(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["gram"])
-
-    counts = _texts_of(texts, some).mapInArrow(spread, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
+            new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            both, place = np.unique(np.concatenate([grams, new]), return_inverse=True)
+            grams, held = both, np.bincount(place, np.concatenate([held, n]), len(both)).astype(np.int64)
+            if len(grams) > WINDOW:
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(held)], ["gram", "n"])
+                grams, held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(held)], ["gram", "n"])
+
+    counts = _texts_of(texts, some).mapInArrow(spread, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = counts.filter("n > 1").orderBy(F.desc("n"), "gram").limit(GRAMS).toArrow()
     grams, n = found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(grams)
@@ -361,7 +368,7 @@ def frequent_grams(texts: DataFrame, chosen: DataFrame, width: int) -> tuple[np.
 
 
 def prefix_edges(texts: DataFrame, chosen: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges that connect the sets of ``chosen`` (``row_key``, ``set_id``) which share an n-gram of their prefixes and a size band.
+    """Edges that connect the sets of ``chosen`` (``row_key``, ``set_id``) which share an n-gram of their prefixes.
 
     N-grams are ordered by how many sets of a sample hold them, then by hash. Any order that is the same for all sets keeps
     every linked pair; the sample only makes it a good one."""
@@ -372,15 +379,12 @@ def prefix_edges(texts: DataFrame, chosen: DataFrame, width: int, percent: int)
             yield kept.column(0).to_pylist(), sets
 
     def tiler():
-        bands = Bands(percent)
-
         def find(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
             for own in sets:
                 place = np.minimum(np.searchsorted(grams, own), max(len(grams) - 1, 0))
                 often = np.where(grams[place] == own, held[place], 0) if len(grams) else np.zeros(len(own), np.int64)
                 first = own[np.argsort(often, kind="stable")[:len(own) + (-percent * len(own)) // 100 + 1]]
-                band = bands.of(len(own))
-                yield np.concatenate([mixed(first ^ mixed(np.uint64([b]))) for b in (band, band + 1)])
+                yield mixed(first)
 
         return find
 
