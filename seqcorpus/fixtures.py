@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .functions.arrays import computed_once, offsets, span
+from .functions.text import codepoints
 from .operators.lattice import (
     COUNT_FIELDS, KEY_ANALYSIS_SCORE, KEY_FEATURE_SCORE, KEY_LM_SCORE, KEY_NORMAL_FORM, KEY_RANKS, KEY_UNKNOWN_WORD,
     TOKEN_KEY, parse_lattice,
 )
-from .operators.vocab import freq_ranks
+from .operators.vocab import CHAR_KIND, build_char_dict, freq_ranks
 from .plans.dictionary import dictionaries as dictionary_job
 from .sources.scratch import materialise, spread
 
@@ -132,6 +133,13 @@ def dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return _TABLES[key]
 
 
+def benchmark_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The character dictionary by code of the texts of ``benchmark``: for documents, one with misses."""
+    text = F.translate("text", "\n ", "")
+    chars = table(spark, sf_dir, "benchmark").select(F.lit(CHAR_KIND).alias("kind"), F.explode(codepoints(text)).alias("value"))
+    return materialise(build_char_dict(chars.groupBy("kind", "value").agg(F.count("*").alias("cnt")), "code"), "benchmark-chars")
+
+
 def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, text): a line's tokens without the blanks between them."""
     return lines(spark, sf_dir).select(*SID, F.array_join(pieces(F.col("line")), "").alias("text"))
@@ -143,18 +151,22 @@ def flip(seg: Column, place: Column) -> Column:
     return F.when(~wrong, seg).otherwise(F.when(seg == 1, 2).otherwise(1))
 
 
-def gold_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_no, gold, pred): segmentation tags of the joined text as arrays."""
-    gold = F.flatten(
+def gold_tags(line: Column) -> Column:
+    """Segmentation tags of a line's characters without its blanks: 1 begins a token, 3 ends it, 2 lies between."""
+    return F.flatten(
         F.transform(
-            pieces(F.col("line")),
+            pieces(line),
             lambda t: F.transform(
                 span(F.length(t)),
                 lambda i: F.when(i == 0, 1).when(i == F.length(t) - 1, 3).otherwise(2),
             ),
         )
     )
-    rows = computed_once(lines(spark, sf_dir).select(*SID, "line"), gold=gold)
+
+
+def gold_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, gold, pred): segmentation tags of the joined text as arrays."""
+    rows = computed_once(lines(spark, sf_dir).select(*SID, "line"), gold=gold_tags(F.col("line")))
     return rows.select(*SID, "gold", F.transform("gold", lambda g, i: flip(g, i + 1)).alias("pred"))
 
 
@@ -166,7 +178,7 @@ def token_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     counts = keyed.groupBy(*TOKEN_KEY).agg(F.count("*").alias("cnt")).filter(F.col("cnt") > 1)
     counts = counts.withColumn("token", F.concat_ws("|", *TOKEN_KEY))
-    return freq_ranks(counts, NUM_TOP, NUM_BUCKETS).select(*TOKEN_KEY, "rank")
+    return freq_ranks(counts, NUM_TOP, NUM_BUCKETS, position=False).select(*TOKEN_KEY, "rank")
 
 
 NUM_TOP, NUM_BUCKETS = 30, 12

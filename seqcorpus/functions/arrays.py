@@ -62,6 +62,19 @@ def array_total(arr: Column, as_type: str = "bigint") -> Column:
     return F.aggregate(arr, F.lit(0).cast(as_type), lambda a, x: a + x.cast(as_type))
 
 
+def count_below(ordered: Column, key: Column, most: int) -> Column:
+    """How many elements of an ascending array of at most ``most`` are not above ``key``, by binary search."""
+    strides = [1 << i for i in reversed(range(max(most, 1).bit_length()))]
+
+    def search(arr: Column, wanted: Column) -> Column:
+        return F.aggregate(
+            F.lit(strides), F.lit(0),
+            lambda at, stride: F.when(F.get(arr, at + stride - 1) <= wanted, at + stride).otherwise(at),
+        )
+
+    return bind(ordered, lambda arr: bind(key, lambda wanted: search(arr, wanted)))
+
+
 def count_true(arr: Column) -> Column:
     """Number of true elements of a boolean array."""
     return F.size(F.filter(arr, lambda x: x)).cast("bigint")

@@ -31,6 +31,11 @@ class Augment:
     seed: int = 1
 
 
+def in_range(length: Column, low: int | Column, high: int | Column) -> Column:
+    """Whether a length lies between two limits, both included; a null length does not."""
+    return F.coalesce(length.between(low, high), F.lit(False))
+
+
 def node_length(node: Column) -> Column:
     return node["end"] - node["start"]
 

@@ -58,8 +58,42 @@ def span_matches(cells: Column) -> Column:
     )
 
 
-def seg_counts(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """One row: sentences, shared, gold_only, pred_only, matched, aligned."""
+def aligned(
+    gold: DataFrame, pred: DataFrame, sid: Sequence[str], position: str = "position", tag: str = "tag",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Gold and predicted tags of the same (sentence, position), one row each: sid, position, gold, pred, in_gold,
+    in_pred and the columns ``keep`` of the gold side. A position that only one side has stays, with a null tag for
+    the other; one that a side names twice is an error, as no pair of tags would be right.
+
+    Both sides are dealt once, by sentence, so that what groups by position or by sentence after it deals nothing again.
+    """
+
+    def side(df: DataFrame, is_gold: bool) -> DataFrame:
+        kept = [F.col(c) if is_gold else F.lit(None).cast(gold.schema[c].dataType).alias(c) for c in keep]
+        return df.select(
+            *sid, position, *kept, F.when(F.lit(is_gold), F.col(tag)).alias("gold"),
+            F.when(F.lit(not is_gold), F.col(tag)).alias("pred"), F.lit(int(is_gold)).alias("__g"), F.lit(int(not is_gold)).alias("__p"))
+
+    both = side(gold, True).unionByName(side(pred, False)).repartition(*sid)
+    met = both.groupBy(*sid, position).agg(
+        *[F.max(c).alias(c) for c in [*keep, "gold", "pred"]], F.sum("__g").alias("__g"), F.sum("__p").alias("__p"))
+    twice = F.raise_error(F.concat(F.lit("a position is named twice: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in [*sid, position]])))
+    once = F.when((F.col("__g") > 1) | (F.col("__p") > 1), twice.cast("boolean"))
+    return met.select(
+        *sid, position, *keep, "gold", "pred", F.coalesce(once, F.col("__g") == 1).alias("in_gold"), (F.col("__p") == 1).alias("in_pred"))
+
+
+def aligned_sentences(rows: DataFrame, sid: Sequence[str], position: str = "position", keep: Sequence[str] = ()) -> DataFrame:
+    """The gold positions of :func:`aligned` as arrays ``gold`` and ``pred`` of one sentence; a missed position is 0."""
+    cell = F.struct(position, F.coalesce("gold", F.lit(0)).alias("g"), F.coalesce("pred", F.lit(0)).alias("p"))
+    held = rows.filter("in_gold").groupBy(*sid).agg(
+        *[F.max(c).alias(c) for c in keep], F.sort_array(F.collect_list(cell)).alias("__cells"))
+    return held.select(*sid, *keep, F.col("__cells.g").alias("gold"), F.col("__cells.p").alias("pred"))
+
+
+def seg_counts(df: DataFrame, gold: str = "gold", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each ``by``): sentences, shared, gold_only, pred_only, matched, aligned."""
     cells = computed_once(df, __cells=_cells(F.col(gold), F.col(pred)))
     per_row = computed_once(
         cells,
@@ -68,7 +102,7 @@ def seg_counts(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFra
         __pred=_count(F.col("__cells"), lambda c: c == PRED_ONLY),
         __spans=span_matches(F.col("__cells")),
     )
-    return per_row.agg(
+    return per_row.groupBy(*by).agg(
         F.count("*").alias("sentences"),
         F.coalesce(F.sum("__both"), F.lit(0)).alias("shared"),
         F.coalesce(F.sum("__gold"), F.lit(0)).alias("gold_only"),

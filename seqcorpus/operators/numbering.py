@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.scratch import materialise
+from ..sources.scratch import is_stored, materialise
 
 _PART, _PLACE, _LOCAL = "__part", "__place", "__local"
 _LOCAL_BITS = (1 << 33) - 1
@@ -31,9 +31,9 @@ def _pieces(stored: DataFrame) -> int:
 
 
 def _sorted_ranges(df: DataFrame, order: Sequence[Column], groups: Sequence[str], pieces: int | None) -> DataFrame:
-    """``df`` in ranges of (group, order). It is written first: ranges are sampled, which would compute it twice."""
+    """``df`` in ranges of (group, order). Ranges are sampled, so what is no written table yet is written first."""
     keys = [F.col(g).asc_nulls_first() for g in groups] + list(order)
-    stored = materialise(df, "unordered")
+    stored = df if is_stored(df) else materialise(df, "unordered")
     return stored.repartitionByRange(pieces or _pieces(stored), *keys).sortWithinPartitions(*keys)
 
 

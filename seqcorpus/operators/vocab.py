@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import codept_repr, codepoints
+from ..sources.scratch import is_stored, materialise
 from .lattice import is_top
-from .lookup import FIRST_CHAR_ID, FIRST_TAG_ID
-from .numbering import prefix_sums
+from .lookup import FIRST_CHAR_ID, FIRST_TAG_ID, lookup_join
+from .numbering import positions
 
 CHAR_KIND = "cpt"
 # Name of a tag kind in the counts -> field of a node.
@@ -87,26 +88,65 @@ def build_tag_dict(counts: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def freq_ranks(df: DataFrame, num_top: int, num_buckets: int, key: str = "token", count: str = "cnt") -> DataFrame:
+def count_classes(counts: DataFrame, num_top: int, count: str = "cnt") -> DataFrame:
+    """Tokens of equal count as one row: (``__c``, ``__n`` tokens, tokens and mass of the more frequent classes, mass
+    of the ``num_top`` first tokens, mass of all).
+
+    ``d`` different positive counts need a mass of ``d * (d + 1) / 2``, so there are at most ``sqrt(2 * mass)`` classes
+    (4.5 million of 10^13 tokens); the window runs over them, never over tokens.
+    """
+    classes = counts.groupBy(F.coalesce(F.col(count).cast("bigint"), F.lit(0)).alias("__c")).agg(F.count("*").alias("__n"))
+    earlier = W.orderBy(F.col("__c").desc()).rowsBetween(W.unboundedPreceding, -1)
+    placed = classes.select(
+        "__c", "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__tokens"),
+        F.coalesce(F.sum(F.col("__c") * F.col("__n")).over(earlier), F.lit(0)).alias("__mass"),
+    )
+    inside = F.greatest(F.least(F.col("__n"), F.lit(num_top) - F.col("__tokens")), F.lit(0))
+    return placed.select(
+        "*", F.sum(F.col("__c") * inside).over(W.partitionBy()).alias("__top"),
+        F.sum(F.col("__c") * F.col("__n")).over(W.partitionBy()).alias("__all"),
+    )
+
+
+def _rank_at(place: Column, num_top: int, num_buckets: int) -> Column:
+    """Rank of the ``place``-th token (from 1) of a class."""
+    parts = num_buckets - 1
+    bucket = F.lit(0).cast("bigint")
+    if parts > 0:
+        shares = (F.col("__mass") + F.col("__c") * place - F.col("__top")) * parts
+        total = F.nullif(F.col("__all") - F.col("__top"), F.lit(0).cast("bigint"))
+        cut = F.call_function("div", shares, total)
+        bucket = F.greatest(F.least(F.coalesce(cut, F.lit(parts - 1)), F.lit(parts - 1)), F.lit(0))
+    return F.when(F.col("__tokens") + place <= num_top, 0).otherwise(bucket + 1).cast("int")
+
+
+def freq_ranks(
+    df: DataFrame, num_top: int, num_buckets: int, key: str = "token", count: str = "cnt", position: bool = True
+) -> DataFrame:
     """Difficulty rank of every token by cumulated frequency mass.
 
     Tokens run from frequent to rare (ties by key). The first ``num_top`` get rank 0; the mass of the
-    rest is cut into ``num_buckets - 1`` equal parts, numbered from 1.
+    rest is cut into ``num_buckets - 1`` equal parts, numbered from 1. Null counts are 0 and come last.
+
+    Ranks grow along the classes of equal count, so a class whose first and last token share a rank gives it to all of
+    its tokens. At most ``num_buckets`` classes are cut by a border; only their tokens are put in order. ``position``
+    adds every token's place, which needs the order of all.
     """
-    ordered = prefix_sums(df, [F.col(count).desc(), F.col(key)], count)
-    top_mass = ordered.filter(F.col("position") <= num_top).agg(
-        F.coalesce(F.sum(count), F.lit(0))
-    ).scalar()
-    parts = num_buckets - 1
-    mass, total = F.col("running") - top_mass, F.col("running_total") - top_mass
-    if parts <= 0:
-        bucket = F.lit(0)
-    else:
-        cut = F.expr(f"try_divide(__mass * {parts} - (__mass * {parts}) % nullif(__total, 0), __total)")
-        bucket = F.greatest(F.least(F.coalesce(cut.cast("bigint"), F.lit(parts - 1)), F.lit(parts - 1)), F.lit(0))
-    rows = ordered.withColumn("__mass", mass).withColumn("__total", total)
-    rank = F.when(F.col("position") <= num_top, 0).otherwise(bucket + 1).cast("int")
-    return rows.select(*df.columns, "position", rank.alias("rank"))
+    counts = df if is_stored(df) else materialise(df, "counted")
+    classes = materialise(count_classes(counts, num_top, count), "classes")
+    keyed = counts.withColumn("__c", F.coalesce(F.col(count).cast("bigint"), F.lit(0)))
+    order = [F.col(count).desc(), F.col(key)]
+    if position:
+        placed = lookup_join(positions(keyed, order), classes, ["__c"], {})
+        rank = _rank_at(F.col("position") - F.col("__tokens"), num_top, num_buckets)
+        return placed.select(*df.columns, "position", rank.alias("rank"))
+    first, last = (_rank_at(p, num_top, num_buckets) for p in (F.lit(1), F.col("__n")))
+    ranked = materialise(classes.select("*", first.alias("rank"), (first != last).alias("__cut")), "class-ranks")
+    whole = lookup_join(keyed, ranked.select("__c", "rank", "__cut"), ["__c"], {})
+    cut = ranked.filter("__cut").drop("rank", "__cut")  # at most num_buckets rows
+    ordered = positions(keyed.join(F.broadcast(cut), "__c"), order, ["__c"], "__place")
+    inside = ordered.select(*df.columns, _rank_at(F.col("__place"), num_top, num_buckets).alias("rank"))
+    return whole.filter(~F.col("__cut")).select(*df.columns, "rank").unionByName(inside)
 
 
 def subsample_prob(count: Column, total: Column) -> Column:

@@ -23,6 +23,8 @@ def dictionaries(parsed: DataFrame, max_chars: int | None = None) -> tuple[DataF
 
 
 def run(spark: SparkSession, list_file: str, output: str, max_chars: int | None = None) -> None:
+    """Dictionaries of the listed dumps; sentences that do not parse go to ``output.rejected`` with their reason."""
     paths = resolve_inputs(spark, list_file, always_list=True)
-    good, _ = quarantine(parse_lattice(read_records(spark, paths), fields=COUNT_FIELDS))
+    good, bad = quarantine(parse_lattice(read_records(spark, paths), fields=COUNT_FIELDS))
     write_dicts(*dictionaries(good, max_chars), output)
+    bad.write.parquet(f"{output}.rejected")

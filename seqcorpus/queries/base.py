@@ -57,6 +57,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           UNION ALL SELECT chr(i::INT), 0 FROM range(33, 128) t(i)) GROUP BY ch"""),
     "chardict": (["charset"], """
         SELECT ch, cnt, 3 + row_number() OVER (ORDER BY ch) AS id FROM charset"""),
+    "benchdict": ([], """
+        SELECT ch, max(cnt) AS cnt, 3 + row_number() OVER (ORDER BY ch) AS id FROM (
+          SELECT ch, count(*) AS cnt FROM (
+            SELECT unnest(string_split(replace(replace(text, chr(10), ''), ' ', ''), '')) AS ch FROM benchmark)
+          WHERE ch <> '' GROUP BY ch UNION ALL SELECT chr(i::INT), 0 FROM range(33, 128) t(i)) GROUP BY ch"""),
     "tagdict": (["counts"], """
         SELECT CASE kind WHEN 'conjtype' THEN 'ctype' WHEN 'conjform' THEN 'cform' ELSE kind END AS kind,
                value AS tag, cnt, row_number() OVER (PARTITION BY kind ORDER BY cnt DESC, value) AS id

@@ -164,6 +164,19 @@ def part_ranks(spark, sf):
     return vocab.freq_ranks(counts, 5, 10)
 
 
+@query("rank_classes", """
+WITH c AS (SELECT surface AS token, count(*) AS cnt FROM tokens0 GROUP BY surface),
+o AS (SELECT *, row_number() OVER w AS position, sum(cnt) OVER w AS run FROM c
+      WINDOW w AS (ORDER BY cnt DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT sum(cnt) FILTER (position > 100) AS total, sum(cnt) FILTER (position <= 100) AS top FROM o)
+SELECT token, cnt, (CASE WHEN position <= 100 THEN 0 ELSE
+       greatest(least(((run - top) * 19)::BIGINT // total::BIGINT, 18), 0) + 1 END)::INT AS rank FROM o, t""", ("tokens0",))
+def rank_classes(spark, sf):
+    """Ranks of all tokens where only those of a cut count are put in order."""
+    counts = fx.tokens(spark, sf).groupBy(F.col("surface").alias("token")).agg(F.count("*").alias("cnt"))
+    return vocab.freq_ranks(counts, 100, 20, position=False)
+
+
 @query("subsample_prob", """
 WITH c AS (SELECT surface AS word, count(*) AS cnt FROM tokens0 GROUP BY surface),
 f AS (SELECT word, cnt, cnt::DOUBLE / sum(cnt) OVER () AS f FROM c)

@@ -45,6 +45,13 @@ def too_long(spark, sf):
     return done.select(*SID, F.size("codes").alias("codes"), "reason")
 
 
+@query("in_range", """
+SELECT doc_id, line_no, (n + 2)::INT AS codes, n + 2 BETWEEN 10 AND 200 AS fits FROM coded""", ("coded",))
+def in_range(spark, sf):
+    sizes = fx.joined_text(spark, sf).select(*SID, (F.length("text") + 2).alias("codes"))
+    return sizes.withColumn("fits", encode.in_range(F.col("codes"), 10, 200))
+
+
 @query("encoded_paths", """
 SELECT doc_id, line_no, (n + 2)::INT AS codes, array_to_string(codes, ',') AS chars FROM coded""", ("coded",))
 def encoded_paths(spark, sf):
@@ -54,21 +61,21 @@ def encoded_paths(spark, sf):
 
 @query("raw_codes", """
 SELECT doc_id, line_no, array_to_string(list(coalesce(d.id, 2) ORDER BY cp), ',') AS codes
-FROM chars LEFT JOIN (SELECT * FROM chardict WHERE ch BETWEEN 'a' AND 'z') d USING (ch) GROUP BY doc_id, line_no""",
-       ("chars", "chardict"))
+FROM chars LEFT JOIN benchdict d USING (ch) GROUP BY doc_id, line_no""",
+       ("chars", "benchdict"))
 def raw_codes(spark, sf):
-    known = fx.dictionaries(spark, sf)[0].filter(F.col("ch").between("a", "z"))
-    ids = encode.encode_chars(F.col("text"), lookup.char_table(known, 2), bos_eos=False, default=2)
+    """Documents by the characters of another table, so that there are misses."""
+    ids = encode.encode_chars(F.col("text"), lookup.char_table(fx.benchmark_chars(spark, sf), 2), bos_eos=False, default=2)
     return fx.joined_text(spark, sf).select(*SID, joined(ids).alias("codes"))
 
 
 @query("char_join", """
 SELECT ch, coalesce(id, 1) AS id, cnt FROM (SELECT ch, count(*) AS cnt FROM chars GROUP BY ch)
-LEFT JOIN (SELECT ch, id::INT AS id FROM chardict WHERE cnt > 100) USING (ch)""", ("chars", "chardict"))
+LEFT JOIN (SELECT ch, id::INT AS id FROM benchdict) USING (ch)""", ("chars", "benchdict"))
 def char_join(spark, sf):
     chars = fx.joined_text(spark, sf).select(F.explode(text.codepoints(F.col("text"))).alias("ch"))
     counts = chars.groupBy("ch").agg(F.count("*").alias("cnt"))
-    return lookup.char_join(counts, fx.dictionaries(spark, sf)[0].filter("cnt > 100"))
+    return lookup.char_join(counts, fx.benchmark_chars(spark, sf))
 
 
 @query("tag_join", """
@@ -226,14 +233,13 @@ def mask_plan(spark, sf):
 
 
 @query("masked_chars", "WITH " + MASK_SQL + f""",
-best AS (SELECT ch, id, row_number() OVER (ORDER BY cnt DESC, ch) AS r, sqrt(cnt + 100) AS w FROM chardict
-         QUALIFY row_number() OVER (ORDER BY cnt DESC, ch) <= 60),
+best AS (SELECT ch, id, row_number() OVER (ORDER BY cnt DESC, ch) AS r, sqrt(cnt + 100) AS w FROM chardict),
 cum AS (SELECT id, r, sum(w) OVER (ORDER BY r) / sum(w) OVER () AS upto FROM best),
 tab AS (SELECT list(id ORDER BY r) AS ids, list(upto ORDER BY r) AS uptos FROM cum),
 x AS (SELECT o.doc_id, o.line_no, o.cp, op, coalesce(d.id, 1) AS id,
         {sql_unit("o.doc_id, o.line_no, o.cp + 1", "random")} AS u FROM ops o LEFT JOIN chardict d USING (ch)),
 y AS (SELECT doc_id, line_no, cp, CASE op WHEN 3 THEN 99999
-        WHEN 2 THEN ids[least(len(list_filter(uptos, lambda z: z <= u)), 59) + 1] ELSE id END AS new, id FROM x, tab)
+        WHEN 2 THEN ids[least(len(list_filter(uptos, lambda z: z <= u)), len(ids) - 1) + 1] ELSE id END AS new, id FROM x, tab)
 SELECT doc_id, line_no, '2,' || string_agg(new::VARCHAR, ',' ORDER BY cp) || ',3' AS chars,
        '2,' || string_agg(id::VARCHAR, ',' ORDER BY cp) || ',3' AS chars_orig
 FROM y GROUP BY doc_id, line_no""", ("chars", "chardict"))
@@ -241,5 +247,5 @@ def masked_chars(spark, sf):
     chars, _ = fx.dictionaries(spark, sf)
     rows = coded(spark, sf).filter(F.col("reason").isNull())
     planned = rows.select(*SID, "chars", masking.mask_plan(F.col("path"), SID).alias("bert"))
-    done = masking.masked(planned, masking.random_char_table(chars, 60), 99999, SID)
+    done = masking.masked(planned, masking.random_char_table(chars), 99999, SID)
     return done.select(*SID, joined(F.col("chars")).alias("chars"), joined(F.col("chars_orig")).alias("chars_orig"))

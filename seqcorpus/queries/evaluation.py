@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import scores
 from ..functions.arrays import joined
-from ..operators import decode, encode, metrics
+from ..functions.text import codepoints
+from ..operators import decode, encode, lookup, metrics
 from ..sources.records import parse_debug_table
+from ..sources.scratch import materialise
 from .base import query
 from .encoding import coded
 
@@ -201,6 +203,58 @@ def gold_pred_join(spark, sf):
     return marked.groupBy("quality", "toxic", "lang").agg(F.count("*").alias("docs"))
 
 
+MODEL_SQL = """
+bw AS (SELECT unnest(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) AS w FROM benchmark),
+bc AS (SELECT substr(w, p + 1, 1) AS ch, CASE WHEN p = 0 THEN 1 WHEN p = length(w) - 1 THEN 3 ELSE 2 END AS seg
+       FROM (SELECT w, unnest(range(length(w))) AS p FROM bw)),
+model AS (SELECT ch, seg AS pred FROM (SELECT ch, seg, count(*) AS n FROM bc GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY ch ORDER BY n DESC, seg) = 1),
+goldpred AS (SELECT doc_id, line_no, cp + 1 AS pos_no, seg AS gold, coalesce(pred, 0) AS pred, pred IS NOT NULL AS in_pred
+             FROM chars LEFT JOIN model USING (ch))"""
+
+
+def benchmark_tagger(spark, sf):
+    """(ch, pred): the segmentation tag that a character has most often in the texts of ``benchmark``."""
+    texts = fx.table(spark, sf, "benchmark").select(F.translate("text", "\n", " ").alias("line"))
+    cells = texts.select(F.inline(F.arrays_zip(
+        codepoints(F.array_join(fx.pieces(F.col("line")), "")).alias("ch"), fx.gold_tags(F.col("line")).alias("seg"))))
+    counts = cells.groupBy("ch", "seg").agg(F.count("*").alias("n"))
+    return materialise(counts.groupBy("ch").agg(F.max_by("seg", F.struct("n", -F.col("seg"))).alias("pred")), "tagger")
+
+
+def tagged_positions(spark, sf):
+    """Gold tags of all documents beside the tagger's, which has none for characters it has not met."""
+    lines = fx.lines(spark, sf)
+    cells = F.arrays_zip(codepoints(F.array_join(fx.pieces(F.col("line")), "")).alias("ch"), fx.gold_tags(F.col("line")).alias("tag"))
+    gold = lines.select(*SID, F.posexplode(cells).alias("p", "c")).select(*SID, (F.col("p") + 1).alias("position"), "c.ch", "c.tag")
+    found = lookup.lookup_join(gold, benchmark_tagger(spark, sf), ["ch"], {}).filter(F.col("pred").isNotNull())
+    return metrics.aligned(gold, found.select(*SID, "position", F.col("pred").alias("tag")), SID)
+
+
+@query("aligned_accuracy", "WITH " + MODEL_SQL + """
+SELECT gold, count(*) AS positions, count(*) FILTER (in_pred) AS predicted, count(*) FILTER (gold = pred) AS hits,
+       round(count(*) FILTER (gold = pred) / count(*), 9) AS accuracy FROM goldpred GROUP BY gold""", ("chars",))
+def aligned_accuracy(spark, sf):
+    """E8 on (sentence, position): a tagger learned from another table, with the positions it left out."""
+    rows = tagged_positions(spark, sf)
+    done = rows.groupBy("gold").agg(
+        F.count_if("in_gold").alias("positions"), F.count_if("in_pred").alias("predicted"),
+        F.count_if(F.col("gold") == F.col("pred")).alias("hits"))
+    return done.withColumn("accuracy", F.round(F.col("hits") / F.col("positions"), 9))
+
+
+@query("aligned_batch_prf", "WITH " + MODEL_SQL + """,
+counted AS (SELECT line_no, greatest(count(*) FILTER (gold = 1 AND pred = 1) - count(DISTINCT doc_id), 0) AS tp,
+   greatest(count(*) FILTER (gold <> 1 AND pred = 1), 1) AS fp, greatest(count(*) FILTER (gold = 1 AND pred <> 1), 1) AS fn
+   FROM goldpred GROUP BY line_no)
+SELECT line_no, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / greatest(p + r, 1e-6), 9) AS f1
+FROM (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM counted)""", ("chars",))
+def aligned_batch_prf(spark, sf):
+    """F16 for every line number as a batch of its own, over aligned positions with gaps."""
+    rows = metrics.aligned_sentences(tagged_positions(spark, sf), SID)
+    return rounded(metrics.batch_seg_prf(metrics.seg_counts(rows, by=["line_no"]), ["line_no"]))
+
+
 def emb():
     return F.col("embedding")
 

@@ -50,6 +50,57 @@ def hash_layout(spark, sf):
     return placed.groupBy("k1", "k2").agg(F.count("*").alias("rows"), F.countDistinct("file").alias("files"))
 
 
+FILES = 8
+
+
+@query("sorted_files", "WITH " + HASH_SQL + "," + KEY_SQL + f""",
+p AS (SELECT *, row_number() OVER (ORDER BY k1, k2, doc_id, line_no) - 1 AS pos, count(*) OVER () AS n FROM keyed)
+SELECT doc_id, line_no, k1, k2, (pos * {FILES} // n)::INT AS file,
+       row_number() OVER (PARTITION BY pos * {FILES} // n ORDER BY pos) - 1 AS place FROM p""", ("coded",))
+def sorted_files(spark, sf):
+    """File and place that every sentence really has, read off the partitions of the layout."""
+    laid = layout.ordered_files(keyed(spark, sf).select(*SID, "k1", "k2"), FILES, [F.col(c) for c in ("k1", "k2", *SID)])
+    at = F.monotonically_increasing_id()
+    return laid.select(
+        *SID, "k1", "k2", F.spark_partition_id().alias("file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+
+
+@query("shuffled_files", f"""
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY {sql_unit("doc_id", "shuffle")}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+SELECT doc_id, (pos * {FILES} // n)::INT AS file, row_number() OVER (PARTITION BY pos * {FILES} // n ORDER BY pos) - 1 AS place FROM p""")
+def shuffled_files(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id")
+    draw = hashing.uniform(1, [F.col("doc_id")], "shuffle")
+    laid = layout.ordered_files(docs.withColumn("draw", draw), FILES, [F.col("draw"), F.col("doc_id")])
+    at = F.monotonically_increasing_id()
+    return laid.select("doc_id", F.spark_partition_id().alias("file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+
+
+HASHED_FILES_SQL = f"""
+k AS (SELECT source, lang, count(*) * {FILES} > (SELECT count(*) FROM documents) AS heavy FROM documents GROUP BY ALL),
+f AS (SELECT doc_id, source, lang, heavy, floor((CASE WHEN heavy THEN {sql_unit("source, lang, doc_id", "file")}
+      ELSE {sql_unit("source, lang", "file")} END) * {FILES})::INT AS file FROM documents JOIN k USING (source, lang))"""
+
+
+def source_files(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return layout.hashed_files(docs, FILES, ["source", "lang"], ["doc_id"])
+
+
+@query("hashed_files", "WITH " + HASHED_FILES_SQL + "SELECT doc_id, source, lang, heavy, file FROM f")
+def hashed_files(spark, sf):
+    """Documents by source and language; a pair that fills more than a file is dealt over all."""
+    return source_files(spark, sf).select("doc_id", "source", "lang", "heavy", F.spark_partition_id().alias("file"))
+
+
+@query("file_manifest", "WITH " + HASHED_FILES_SQL + """
+SELECT file, count(*) AS rows, min(source || '/' || lang || '/' || doc_id) AS first, max(source || '/' || lang || '/' || doc_id) AS last
+FROM f GROUP BY file""")
+def file_manifest(spark, sf):
+    laid = source_files(spark, sf).withColumn("key", F.concat_ws("/", "source", "lang", "doc_id"))
+    return layout.manifest(laid, ["key"]).select("file", "rows", F.col("first.key").alias("first"), F.col("last.key").alias("last"))
+
+
 @query("shuffled_rows", f"""
 SELECT doc_id, n_chars, row_number() OVER (ORDER BY {sql_unit("doc_id", "shuffle")}, doc_id) AS place FROM documents""")
 def shuffled_rows(spark, sf):
@@ -82,6 +133,23 @@ def mixed_sources(spark, sf):
     return layout.mix_sources([docs, pages], [3, 1], [F.col("id")])
 
 
+MIXED_ROWS = 1_000
+
+
+@query("mixed_limited", f"""
+WITH s AS (SELECT doc_id AS id, 0 AS source_no FROM documents UNION ALL SELECT page_id, 1 FROM pages
+  UNION ALL SELECT vec_id, 2 FROM embeddings),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY id) AS source_pos FROM s),
+c AS (SELECT *, (source_pos - 1) // (CASE source_no WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 5 END) AS cycle FROM n),
+p AS (SELECT *, row_number() OVER (ORDER BY cycle, source_no, source_pos) AS place FROM c)
+SELECT id, source_no, source_pos, cycle, place FROM p WHERE place <= {MIXED_ROWS}""")
+def mixed_limited(spark, sf):
+    """The first rows of the mix, by the formula of their place."""
+    sources = [fx.table(spark, sf, t).select(F.col(c).alias("id"))
+               for t, c in (("documents", "doc_id"), ("pages", "page_id"), ("embeddings", "vec_id"))]
+    return layout.mix_sources(sources, [3, 1, 5], [F.col("id")], MIXED_ROWS, place="place", ordered=False)
+
+
 BOUNDARIES = layout.bucket_boundaries()
 SIZES = layout.batch_sizes(2000, BOUNDARIES)
 
@@ -111,10 +179,7 @@ def length_batches(spark, sf):
 @query("batch_stats", "WITH " + BATCH_SQL + """
 SELECT bucket, batch_no, count(*) AS size, max(length)::INT AS width, sum(width - length)::BIGINT AS padding FROM w GROUP BY bucket, batch_no""", ("coded",))
 def batch_stats(spark, sf):
-    batches = layout.bucket_batches(
-        codes(spark, sf), [F.col(c) for c in SID], boundaries=BOUNDARIES, sizes=SIZES)
-    padding = F.aggregate("rows", F.lit(0).cast("bigint"), lambda a, r: a + F.col("width") - r["length"])
-    return batches.select("bucket", "batch_no", "size", "width", padding.alias("padding"))
+    return layout.batch_shapes(codes(spark, sf), [F.col(c) for c in SID], boundaries=BOUNDARIES, sizes=SIZES)
 
 
 @query("fixed_batches", """

@@ -74,7 +74,7 @@ def _line_piper(command: list[str]) -> Callable:
         def texts() -> Iterator[bytes]:
             for batch in batches:
                 lines = batch.column(0).to_pylist()
-                yield "".join(f"{x}\n" for x in lines if x is not None).encode("utf-8")
+                yield "".join(f"{x or ''}\n" for x in lines).encode("utf-8")
 
         held: list[str] = []
         for line in _split_lines(run_through(command, texts())):
@@ -89,7 +89,7 @@ def _line_piper(command: list[str]) -> Callable:
 
 
 def pipe_lines(df: DataFrame, command: str, column: str = "value") -> DataFrame:
-    """A3: each partition's lines through one run of ``command`` (split on white space, no shell)."""
+    """A3: each partition's lines through one run of ``command`` (split on white space, no shell). A null is an empty line."""
     ship(df.sparkSession)
     return df.select(column).mapInArrow(_line_piper(command.split()), "value string")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, WindowSpec, functions as F
 
 from ..functions.arrays import bind, computed_once
+from .scratch import materialise
 
 END_MARK = "EOS"
 RECORD_END = "\nEOS\n"
@@ -69,45 +70,68 @@ def resolve_inputs(spark: SparkSession, spec: str, always_list: bool = False) ->
     return [r[0] for r in kept.collect()]
 
 
-def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, block, line_no, value): lines with their 0-based number in the file.
-
-    Every split counts its own lines; numbers follow from the counts of the splits before it. Only one
-    row per split is gathered and broadcast, so files of any size are numbered where they lie.
-    """
+def _split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, block, __mid, value) of one scan, written: ids of rows and of their splits are then the same ones."""
     rows = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("__mid"),
         "value",
     )
-    splits = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("__mid").alias("__first"))
-    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    shift = splits.select("path", "block", "__first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    joined = rows.join(F.broadcast(shift), ["path", "block"])
+    return materialise(rows, "lines")
+
+
+def _scanned(rows: DataFrame, *carried: Column) -> DataFrame:
+    """One row per split: its first id, the lines before it and ``carried`` windows over earlier splits.
+
+    It is a written table, so its size, which grows with splits and comments, decides how it is joined."""
+    splits = rows.groupBy("path", "block").agg(
+        F.count("*").alias("__n"), F.min("__mid").alias("__first"),
+        F.max(F.when(_is_comment(), F.struct("__mid", "value"))).getField("value").alias("__last"),
+    )
+    before = F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)).alias("__before")
+    return materialise(splits.select("path", "block", "__first", before, *carried), "splits")
+
+
+def _earlier() -> WindowSpec:
+    return W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+
+
+def _is_comment() -> Column:
+    return F.col("value").startswith(COMMENT_MARK)
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, block, line_no, value): lines with their 0-based number in the file.
+
+    Every split counts its own lines; numbers follow from the counts of the splits before it, so files of any
+    size are numbered where they lie. Lines and splits come from one written scan.
+    """
+    rows = _split_lines(spark, paths)
+    joined = rows.join(_scanned(rows), ["path", "block"])
     number = F.col("__before") + F.col("__mid") - F.col("__first")
     return joined.select("path", "block", number.alias("line_no"), "value")
 
 
-def carry_comments(lines: DataFrame) -> DataFrame:
-    """D6 on numbered lines: the latest ``#`` line of the file so far, also across splits."""
-    is_comment = F.col("value").startswith(COMMENT_MARK)
-    own = F.when(is_comment, F.col("value"))
-    inside = W.partitionBy("path", "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    local = lines.withColumn("__own", own).withColumn("__local", F.last("__own", ignorenulls=True).over(inside))
-    ends = lines.groupBy("path", "block").agg(
-        F.max(F.when(is_comment, F.struct("line_no", "value"))).getField("value").alias("__last")
-    )
-    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select("path", "block", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
-    joined = local.join(F.broadcast(carried), ["path", "block"])
+def with_comments(rows: DataFrame) -> DataFrame:
+    """Numbered lines of a written scan with the latest ``#`` line of the file so far (``comment``) and ``is_comment``.
+
+    A scan in segments under "the last that is not null": inside a split by a window, across splits over one row
+    per split, whose last comment is carried to those after it.
+    """
+    carried = F.last("__last", ignorenulls=True).over(_earlier()).alias("__carried")
+    inside = W.partitionBy("path", "block").orderBy("__mid").rowsBetween(W.unboundedPreceding, 0)
+    local = rows.withColumn("__local", F.last(F.when(_is_comment(), F.col("value")), ignorenulls=True).over(inside))
+    joined = local.join(_scanned(rows, carried), ["path", "block"])
+    number = F.col("__before") + F.col("__mid") - F.col("__first")
     comment = F.coalesce("__local", "__carried", F.lit(""))
-    return joined.select(*lines.columns, comment.alias("comment"), is_comment.alias("is_comment"))
+    return joined.select(
+        "path", "block", number.alias("line_no"), "value", comment.alias("comment"), _is_comment().alias("is_comment"))
 
 
 def read_annotated_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(path, line_no, comment, raw) for every line that is not a comment."""
-    rows = carry_comments(numbered_lines(spark, paths)).filter(~F.col("is_comment"))
+    rows = with_comments(_split_lines(spark, paths)).filter(~F.col("is_comment"))
     return rows.select("path", "line_no", "comment", F.col("value").alias("raw"))
 
 

@@ -39,6 +39,11 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return stored
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is a table that ``materialise`` wrote, so that reading it twice computes nothing twice."""
+    return "scratch_path" in vars(df)
+
+
 def release(*stored: DataFrame) -> None:
     """Empty tables that ``materialise`` wrote, once all that reads them is written itself."""
     for df in stored:
