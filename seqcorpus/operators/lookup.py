@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import bind
-from ..sources.scratch import materialise
+from ..sources.scratch import is_stored, materialise
 
 NUL, UNK, BOS, EOS = 0, 1, 2, 3
 FIRST_CHAR_ID, FIRST_TAG_ID = 4, 1
@@ -46,6 +46,7 @@ def lookup_join(
     ]
     if byte_size(dictionary) <= broadcast_bytes:
         return df.join(F.broadcast(dictionary), list(on), "left").select(*df.columns, *filled)
+    df = df if is_stored(df) else materialise(df, "looked-up")  # it is read three times below
     counts = materialise(df.groupBy(*on).agg(F.count("*").alias("__n")), "keys")
     rows = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     hot = counts.filter(F.col("__n") * hot_share > rows).select(*on)  # fewer than hot_share keys, null among them
@@ -160,6 +161,37 @@ def hash_table(entries: Sequence[tuple[str, int, int]]) -> HashTable:
     return HashTable(text_table([]), number_table([]), 0, 0)
 
 
+BLOOM_BITS = 22  # log2 of the filter's bits: half a megabyte, for about half a million keys
+BLOOM_SHIFTS = (0, 21, 42)
+
+
+def bloom_filter(df: DataFrame, key: Column) -> Column:
+    """The keys of ``df`` as a constant Bloom filter of a fixed size, whatever their number: an array of 64-bit words."""
+    places = F.array(*[F.shiftrightunsigned(F.col("__h"), s).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1)) for s in BLOOM_SHIFTS])
+    set_bits = df.select(F.xxhash64(key).alias("__h")).select(F.explode(places).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    words = set_bits.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    table = [0] * (1 << BLOOM_BITS - 6)  # as many words at most were collected
+    for word, bits in words:
+        table[word] = bits
+    return number_table(table, "bigint")
+
+
+def might_hold(table: Column, key: Column) -> Column:
+    """Whether a key may be in a :func:`bloom_filter`; false is certain."""
+
+    def probe(h: Column) -> Column:
+        hit = F.lit(True)
+        for s in BLOOM_SHIFTS:
+            at = F.shiftrightunsigned(h, s).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
+            word = F.get(table, F.shiftright(at, 6).cast("int"))
+            shifted = F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int"))
+            hit = hit & (shifted.bitwiseAND(F.lit(1)) == 1)
+        return hit
+
+    return bind(F.xxhash64(key), probe)
+
+
 TagIds = dict[str, Callable[[Column], Column]]
 
 

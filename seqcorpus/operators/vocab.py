@@ -73,18 +73,17 @@ def top_per_kind(counts: DataFrame, n: int) -> DataFrame:
 
 def build_tag_dict(counts: DataFrame, limit: int | None = None) -> DataFrame:
     """(kind, tag, cnt, id), ids from 1 per kind by falling frequency; kinds are named as in
-    the examples. ``limit`` keeps the most frequent only."""
+    the examples. ``limit`` keeps the most frequent only. No task holds a kind: places come from sorted ranges."""
     tags = counts.filter(F.col("kind") != CHAR_KIND)
-    order = W.partitionBy("kind").orderBy(F.col("cnt").desc(), F.col("value"))
-    numbered = tags.withColumn("__r", F.row_number().over(order))
     if limit is not None:
-        numbered = numbered.filter(F.col("__r") <= limit)
+        tags = top_per_kind(tags, limit)
+    numbered = positions(tags.select("kind", "value", "cnt"), [F.col("cnt").desc(), F.col("value")], ["kind"], "__r")
     kind = F.col("kind")
     for counted, field in COUNTED.items():
         kind = F.when(F.col("kind") == counted, field).otherwise(kind)
     return numbered.select(
         kind.alias("kind"), F.col("value").alias("tag"), "cnt",
-        (F.col("__r") - 1 + FIRST_TAG_ID).alias("id"),
+        (F.col("__r") - 1 + FIRST_TAG_ID).cast("int").alias("id"),
     )
 
 

@@ -10,8 +10,8 @@ from ..operators import decode, lattice
 from ..operators.sampling import default_rank
 from ..plans import dictionary
 from ..sources import dicts, examples, pipe, records, tfrecord
-from ..sources.scratch import scratch_path
-from ..streaming.counts import streaming_counts
+from ..sources.scratch import materialise, scratch_path
+from ..streaming.counts import read_versions, write_versions
 from .base import query
 from .encoding import MASK_SQL, coded
 from .selection import RANK_SQL
@@ -40,19 +40,10 @@ def records_roundtrip(spark, sf):
 
 @query("streamed_counts", "SELECT kind, value, cnt FROM counts", ("counts",))
 def streamed_counts(spark, sf):
-    """The dictionary counts as a stream over the folder, run until it is read."""
-    folder = write_dumps(spark, sf)
+    """The dictionary counts as a stream over the folder, two files a trigger, each adding what it changed."""
     stored = scratch_path(spark, "counts")
-    batches: list[int] = []
-
-    def store(rows, batch):
-        rows.write.mode("overwrite").parquet(f"{stored}/{batch}")
-        batches.append(batch)
-
-    stream = streaming_counts(spark, folder).writeStream.outputMode("complete").foreachBatch(store)
-    stream = stream.option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.read.parquet(f"{stored}/{batches[-1]}")
+    write_versions(spark, write_dumps(spark, sf), stored, scratch_path(spark, "stream"), 2).awaitTermination()
+    return read_versions(spark, stored)
 
 
 @query("carried_comments", """
@@ -73,7 +64,7 @@ def carried_comments(spark, sf):
 WITH c AS (SELECT surface, count(*) AS cnt FROM tokens0 GROUP BY surface)
 SELECT row_number() OVER (ORDER BY cnt DESC, surface) - 1 AS line_no, surface || chr(9) || cnt AS value FROM c""", ("tokens0",))
 def numbered_lines(spark, sf):
-    return records.numbered_lines(spark, write_word_counts(spark, sf)).select("line_no", "value")
+    return records.numbered_lines(spark, write_word_counts(spark, sf), across=True).select("line_no", "value")
 
 
 def word_counts(spark, sf):
@@ -81,11 +72,12 @@ def word_counts(spark, sf):
 
 
 def write_word_counts(spark, sf, count_first: bool = False) -> str:
-    """Word counts, most frequent first, in one file."""
+    """Word counts, most frequent first, in files that follow each other by name."""
     path = scratch_path(spark, "words")
     pair = ["word", F.col("cnt").cast("string")]
     line = F.concat_ws("\t", *(reversed(pair) if count_first else pair))
-    ordered = word_counts(spark, sf).orderBy(F.col("cnt").desc(), "word").coalesce(1)
+    keys = [F.col("cnt").desc(), F.col("word")]
+    ordered = materialise(word_counts(spark, sf), "word-counts").repartitionByRange(8, *keys).sortWithinPartitions(*keys)
     ordered.select(line.alias("value")).write.text(path)
     return path
 

@@ -28,16 +28,16 @@ def _is_count(text: Column) -> Column:
 def read_dict_tsv(
     spark: SparkSession, path: str, fixed: bool = False, max_lines: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """(position, key, cnt) of ``key<TAB>count`` lines, from position 0.
+    """(position, key, cnt) of ``key<TAB>count`` lines, from position 0; a folder's files follow each other by name.
 
     Shorter lines are dropped and do not count; at most ``max_lines - offset`` lines are kept. Without
     ``fixed`` either column may be the count; with it a line that does not parse is an error.
     """
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(spark, path, across=True)
     if max_lines is not None:
         lines = lines.filter(F.col("line_no") < max_lines)
     kept = lines.filter(F.length("value") >= MIN_LINE)
-    placed = positions(kept.select("path", "line_no", "value"), [F.col("path"), F.col("line_no")])
+    placed = positions(kept.select("line_no", "value"), [F.col("line_no")])
     if max_lines is not None:
         placed = placed.filter(F.col("position") <= max_lines - offset)
     rows = placed.select((F.col("position") - 1).alias("position"), "value", _fields(F.col("value")).alias("f"))
@@ -69,7 +69,7 @@ def read_vocab_tsv(spark: SparkSession, path: str, max_full: int, max_rows: int)
 
 def read_chardic(spark: SparkSession, path: str) -> DataFrame:
     """(ch, id), ids from 4 by line."""
-    rows = numbered_lines(spark, path)
+    rows = numbered_lines(spark, path, across=True)
     return rows.select(
         F.split("value", "\t")[0].alias("ch"), (F.col("line_no") + FIRST_CHAR_ID).cast("int").alias("id")
     )
@@ -95,8 +95,8 @@ def write_difficulty(df: DataFrame, path: str, sep: str = KEY_SEPARATOR) -> None
 
 
 def _write_lines(df: DataFrame, order: list[Column], value: Column, path: str) -> None:
-    """One sorted text file; only used for dictionaries, whose size is capped."""
-    df.orderBy(*order).select(value.alias("value")).coalesce(1).write.text(path)
+    """A folder of sorted text files, in the order of their names; small dictionaries are one file."""
+    df.orderBy(*order).select(value.alias("value")).write.text(path)
 
 
 def dic_line(key: str) -> Column:

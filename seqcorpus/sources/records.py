@@ -40,12 +40,16 @@ def marked_records(value: Column) -> Column:
 
 def read_records(
     spark: SparkSession, paths: str | Sequence[str], strict: bool = True, streaming: bool = False, name: str = "raw",
+    files_per_trigger: int | None = None,
 ) -> DataFrame:
     """A1: one row per record, ending in the mark.
 
-    ``strict`` fails on malformed UTF-8; otherwise such records get a ``valid`` of false.
+    ``strict`` fails on malformed UTF-8; otherwise such records get a ``valid`` of false. A stream takes at most
+    ``files_per_trigger`` new files at once.
     """
     reader = (spark.readStream if streaming else spark.read).option("lineSep", RECORD_END)
+    if streaming and files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     rows = reader.text(paths if isinstance(paths, str) else list(paths))
     if strict:
         return rows.select(F.explode(marked_records(F.validate_utf8("value"))).alias(name))
@@ -81,7 +85,7 @@ def _split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return materialise(rows, "lines")
 
 
-def _scanned(rows: DataFrame, *carried: Column) -> DataFrame:
+def _scanned(rows: DataFrame, *carried: Column, across: bool = False) -> DataFrame:
     """One row per split: its first id, the lines before it and ``carried`` windows over earlier splits.
 
     It is a written table, so its size, which grows with splits and comments, decides how it is joined."""
@@ -89,26 +93,28 @@ def _scanned(rows: DataFrame, *carried: Column) -> DataFrame:
         F.count("*").alias("__n"), F.min("__mid").alias("__first"),
         F.max(F.when(_is_comment(), F.struct("__mid", "value"))).getField("value").alias("__last"),
     )
-    before = F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)).alias("__before")
+    before = F.coalesce(F.sum("__n").over(_earlier(across)), F.lit(0)).alias("__before")
     return materialise(splits.select("path", "block", "__first", before, *carried), "splits")
 
 
-def _earlier() -> WindowSpec:
-    return W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+def _earlier(across: bool = False) -> WindowSpec:
+    ordered = W.orderBy("path", "block") if across else W.partitionBy("path").orderBy("block")
+    return ordered.rowsBetween(W.unboundedPreceding, -1)
 
 
 def _is_comment() -> Column:
     return F.col("value").startswith(COMMENT_MARK)
 
 
-def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, block, line_no, value): lines with their 0-based number in the file.
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str], across: bool = False) -> DataFrame:
+    """(path, block, line_no, value): lines with their 0-based number in the file or, ``across`` files, in all of them
+    in the order of their names.
 
     Every split counts its own lines; numbers follow from the counts of the splits before it, so files of any
     size are numbered where they lie. Lines and splits come from one written scan.
     """
     rows = _split_lines(spark, paths)
-    joined = rows.join(_scanned(rows), ["path", "block"])
+    joined = rows.join(_scanned(rows, across=across), ["path", "block"])
     number = F.col("__before") + F.col("__mid") - F.col("__first")
     return joined.select("path", "block", number.alias("line_no"), "value")
 

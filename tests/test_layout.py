@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqcorpus.operators import encode, lattice, layout, metrics, vocab
+from seqcorpus.operators import encode, lattice, layout, lookup, metrics, sampling, vocab
 from seqcorpus.plans import dictionary, examples
 from seqcorpus.sources import pipe, records
+from seqcorpus.streaming import counts
 
 
 def plan_of(df) -> str:
@@ -202,3 +203,55 @@ def test_examples_name_what_is_set_apart(spark, tmp_path):
     assert {tuple(r) for r in reports["rejected"].collect()} == {(2, "short_line"), (3, "too_long")}
     examples.run(parsed, chars, tags, ["sid"], str(tmp_path / "out"), options)
     assert spark.read.parquet(f"{tmp_path}/out.rejected").count() == 2
+
+
+def test_a_proven_miss_sends_no_keys(spark):
+    node = "struct<surface:string,ranks:array<int>>"
+    rows = [(i, [(f"w{i % 50}", [1]), (f"w{i % 7}", [1]), (f"x{i}" if i % 2 else "w1", [1])]) for i in range(400)] + [(400, []), (401, None)]
+    df = spark.createDataFrame(rows, f"sid int, nodes array<{node}>")
+    ranks = spark.createDataFrame([(f"w{i}", i % 9) for i in range(50)], "surface string, rank int")
+    keys = sampling.token_keys(F.col("nodes"), lambda n: F.struct(n["surface"].alias("surface")))
+    found = {r["sid"]: r["rank"] for r in sampling.sentence_difficulty(df, ranks, ["sid"], 9, keys, ["surface"]).collect()}
+    assert found == {i: 9 if i % 2 else max((i % 50) % 9, i % 7, 1) for i in range(400)} | {400: 0, 401: 0}
+    table = lookup.bloom_filter(ranks, F.struct("surface"))
+    tried = spark.range(2_000).select(F.concat(F.lit("w"), F.col("id")).alias("surface"))
+    kept = {r[0] for r in tried.filter(lookup.might_hold(table, F.struct("surface"))).collect()}
+    assert {f"w{i}" for i in range(50)} <= kept and len(kept) < 60
+
+
+def test_a_trigger_adds_only_what_it_changed(spark, tmp_path):
+    def dump(word):
+        return f"-\t1\t0\t0\t0\t{word}\ta/a\ta\ta\t{word}\t1\ts\t1\tc\t1\tf\t1\t{lattice.KEY_RANKS}:1\nEOS\n"
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for i, words in enumerate((["a", "b"], ["a"], ["c", "a", "a"])):
+        (folder / f"{i}.txt").write_text("".join(dump(w) for w in words))
+        counts.write_versions(spark, str(folder), out, state, 1).awaitTermination()
+    versions = spark.read.parquet(out).filter("kind = 'pos'").collect()
+    assert {(r["version"], r["value"], r["cnt"]) for r in versions} == {
+        (0, "a", 1), (0, "b", 1), (1, "a", 2), (2, "a", 4), (2, "c", 1)}
+    now = {(r["kind"], r["value"]): r["cnt"] for r in counts.read_versions(spark, out).collect()}
+    batch = vocab.feature_counts(lattice.parse_lattice(records.read_records(spark, str(folder))))
+    assert now == {(r["kind"], r["value"]): r["cnt"] for r in batch.collect()}
+    then = counts.read_versions(spark, out, 1).filter("kind = 'pos'").collect()
+    assert {(r["value"], r["cnt"]) for r in then} == {("a", 2), ("b", 1)}
+
+
+def test_lines_of_several_files_follow_each_other(spark, tmp_path):
+    for name, lines in (("b", ["3", "4"]), ("a", ["0", "1", "2"])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    rows = records.numbered_lines(spark, str(tmp_path), across=True).collect()
+    assert sorted((r["line_no"], r["value"]) for r in rows) == [(i, str(i)) for i in range(5)]
+
+
+def test_tag_ids_need_no_task_per_kind(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, "pos").otherwise("subpos").alias("kind"),
+                                     F.format_string("t%04d", "id").alias("value"), (F.col("id") % 10).alias("cnt"))
+    got = vocab.build_tag_dict(rows)
+    assert "Window" not in plan_of(got)
+    for kind in ("pos", "subpos"):
+        held = sorted(((r["id"], -r["cnt"], r["tag"]) for r in got.collect() if r["kind"] == kind))
+        assert [h[0] for h in held] == list(range(1, len(held) + 1)) and [h[1:] for h in held] == sorted(h[1:] for h in held)
+    assert {r["id"] for r in vocab.build_tag_dict(rows, 4).collect()} == {1, 2, 3, 4}
