@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqcorpus.sources.scratch import materialise, scratch_path
 from seqcorpus.sources.ship import ship
 
-__all__ = ["QUERIES", "ORACLES", "materialise", "scratch_path", "table", "texts_of", "batches_of", "query"]
+__all__ = ["QUERIES", "ORACLES", "materialise", "scratch_path", "table", "texts_of", "batches_of", "frugal", "query"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,21 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over an Arrow stream, at whose end the worker, which Spark keeps for later tasks, returns the memory it freed."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], chars: int = 1 << 23) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of an Arrow stream in groups of a bounded number of characters (one text at least)."""
     for batch in batches:

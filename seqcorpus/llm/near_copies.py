@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from seqcorpus.operators.lookup import lookup_join
 from seqcorpus.sources.scratch import release
 
-from .common import materialise, query, table, texts_of
+from .common import frugal, materialise, query, table, texts_of
 from .graphs import components
 
 TILE_ROWS = 1024  # sets that are compared with each other at once
@@ -170,7 +170,7 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
                 [*part.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64())],
                 ["doc_id", "row_key", "n_shingles", "set_id"])
 
-    return texts.select("doc_id", "row_key", "text").mapInArrow(sign, "doc_id long, row_key long, n_shingles long, set_id long")
+    return texts.select("doc_id", "row_key", "text").mapInArrow(frugal(sign), "doc_id long, row_key long, n_shingles long, set_id long")
 
 
 def star_edges(texts: DataFrame, tiler: Callable[[], Callable[[list[np.ndarray]], list[np.ndarray]]], read_sets) -> DataFrame:
@@ -225,8 +225,8 @@ def star_edges(texts: DataFrame, tiler: Callable[[], Callable[[list[np.ndarray]]
             pairs = np.unique(np.stack([own, leader])[:, own != leader], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    posted = texts.mapInArrow(post, "tile long, a long")
-    return posted.repartition("tile").sortWithinPartitions("tile", "a").mapInArrow(read, "a long, b long")
+    posted = texts.mapInArrow(frugal(post), "tile long, a long")
+    return posted.repartition("tile").sortWithinPartitions("tile", "a").mapInArrow(frugal(read), "a long, b long")
 
 
 def candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -339,7 +339,7 @@ def links(texts: DataFrame, chosen: DataFrame, tiles: Column, width: int, percen
         return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
 
     met = _texts_of(texts, chosen.select("row_key", "set_id", *(f.name for f in extra)))
-    sent = met.mapInArrow(arrays, schema).select("set_id", "label", "root", "shingles", F.explode(tiles).alias("tile"))
+    sent = met.mapInArrow(frugal(arrays), schema).select("set_id", "label", "root", "shingles", F.explode(tiles).alias("tile"))
     dealt = sent.select("set_id", "label", "root", "shingles", "tile.part", "tile.chunk", "tile.home")
     return materialise(dealt.groupBy("root", "part", "chunk").applyInArrow(compare, "a long, b long"), "links")
 
@@ -360,7 +360,7 @@ def frequent_grams(texts: DataFrame, chosen: DataFrame, width: int) -> tuple[np.
                 grams, held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(held)], ["gram", "n"])
 
-    counts = _texts_of(texts, some).mapInArrow(spread, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = _texts_of(texts, some).mapInArrow(frugal(spread), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = counts.filter("n > 1").orderBy(F.desc("n"), "gram").limit(GRAMS).toArrow()
     grams, n = found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(grams)
