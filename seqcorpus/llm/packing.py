@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batches_of, materialise, query, table, texts_of
+from .common import batches_of, frugal, materialise, query, table, texts_of
 from .tokens import END_ID, encoder, vocabulary_path
 
 LENGTH = 1024
@@ -88,7 +88,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(encode, PIECES)
+    return texts_of(docs, id_col, text_col).mapInArrow(frugal(encode), PIECES)
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -110,7 +110,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) ->
     schema = ", ".join(f"`{c}` {k}" for c, k in pieces.dtypes) + ", sequence_id long, offset long"
     dealt = pieces.repartition(F.xxhash64("doc_id", "piece"))
     order = [F.desc("length"), *(c for c in pieces.columns if c != "length")]
-    return dealt.sortWithinPartitions(*order).mapInArrow(place, schema)
+    return dealt.sortWithinPartitions(*order).mapInArrow(frugal(place), schema)
 
 
 @query("op2_packing")

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches_of, prepare, query, table, texts_of
+from .common import batches_of, frugal, prepare, query, table, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -175,7 +175,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(frugal(clean), docs.schema)
 
 
 def digest(spans_of: list[dict]) -> str:

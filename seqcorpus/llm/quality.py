@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import batches_of, materialise, prepare, query, table, texts_of
+from .common import batches_of, frugal, materialise, prepare, query, table, texts_of
 
 FIT_ROWS = 100_000
 FIT_PARTS = 16
@@ -129,7 +129,7 @@ def _sums(rows: DataFrame, of) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    found = [np.frombuffer(r["sums"]) for r in rows.select("x", "y").coalesce(FIT_PARTS).mapInArrow(run, "sums binary").collect()]
+    found = [np.frombuffer(r["sums"]) for r in rows.select("x", "y").coalesce(FIT_PARTS).mapInArrow(frugal(run), "sums binary").collect()]
     return np.sum(found, 0) if found else None
 
 
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y"), batch.column("fold")], ["x", "y", "fold"])
 
     labelled = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "y", fold(F.col("doc_id")).alias("fold"))
-    measured = materialise(labelled.mapInArrow(measure, "x array<double>, y double, fold long"), "statistics").repartition(FIT_PARTS, F.xxhash64("x", "y"))
+    measured = materialise(labelled.mapInArrow(frugal(measure), "x array<double>, y double, fold long"), "statistics").repartition(FIT_PARTS, F.xxhash64("x", "y"))
     moments = _sums(measured, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x**2).sum(0)]))
     if moments is None:
         return Model()
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             scores = model.score(np.array([statistics(t) for t in texts]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return texts_of(docs, id_col, text_col).mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPTED, text_col: str = "text") -> DataFrame:
@@ -204,7 +204,7 @@ def accepted(docs: DataFrame, model: Model, least: float = ACCEPTED, text_col: s
                 yield part.filter(pa.array(scores >= least))
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 @query("op4_quality")
