@@ -112,10 +112,10 @@ def seg_counts(df: DataFrame, gold: str = "gold", pred: str = "pred", by: Sequen
     )
 
 
-def prf(df: DataFrame, tp: Column, fp: Column, fn: Column, penalty: Column | int = 0) -> DataFrame:
-    """tp (after the penalty), fp, fn, precision, recall, f1."""
+def prf(df: DataFrame, tp: Column, fp: Column, fn: Column, penalty: Column | int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """tp (after the penalty), fp, fn, precision, recall, f1, beside the columns ``keep``."""
     pen = F.lit(penalty) if isinstance(penalty, int) else penalty
-    counts = df.select((tp - pen).alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    counts = df.select(*keep, (tp - pen).alias("tp"), fp.alias("fp"), fn.alias("fn"))
     hit = F.greatest(F.col("tp"), F.lit(0)).cast("double")
     rated = counts.withColumn("precision", hit / F.greatest(hit + F.col("fp"), F.lit(1.0))).withColumn(
         "recall", hit / F.greatest(hit + F.col("fn"), F.lit(1.0))
@@ -125,25 +125,25 @@ def prf(df: DataFrame, tp: Column, fp: Column, fn: Column, penalty: Column | int
 
 
 def prf_den(
-    df: DataFrame, tp: Column, prec_den: Column, rec_den: Column, penalty: Column | int = 0
+    df: DataFrame, tp: Column, prec_den: Column, rec_den: Column, penalty: Column | int = 0, keep: Sequence[str] = ()
 ) -> DataFrame:
     """the same from the numbers of predicted and of gold items."""
     pen = F.lit(penalty) if isinstance(penalty, int) else penalty
     real = tp - pen
-    return prf(df, real, prec_den - real, rec_den - real)
+    return prf(df, real, prec_den - real, rec_den - real, keep=keep)
 
 
-def seg_boundary_prf(counts: DataFrame) -> DataFrame:
+def seg_boundary_prf(counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """the first B of every sentence is free and does not count."""
-    return prf(counts, F.col("shared"), F.col("pred_only"), F.col("gold_only"), F.col("sentences"))
+    return prf(counts, F.col("shared"), F.col("pred_only"), F.col("gold_only"), F.col("sentences"), keep)
 
 
-def seg_token_prf(counts: DataFrame, strict: bool = False) -> DataFrame:
+def seg_token_prf(counts: DataFrame, strict: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """a token counts if both of its ends do. The last token of a sentence has no following B;
     by default one is added per sentence, with ``strict`` only where the last B's coincide."""
     bonus = F.col("aligned") if strict else F.col("sentences")
     return prf_den(
-        counts, F.col("matched"), F.col("shared") + F.col("pred_only"), F.col("shared") + F.col("gold_only"), -bonus
+        counts, F.col("matched"), F.col("shared") + F.col("pred_only"), F.col("shared") + F.col("gold_only"), -bonus, keep,
     )
 
 
@@ -167,8 +167,8 @@ def accuracy(df: DataFrame, gold: Column, pred: Column, by: Sequence[str] = ())
     ).withColumn("accuracy", F.col("hits") / F.greatest(F.col("labels"), F.lit(1)))
 
 
-def tag_accuracy(df: DataFrame, gold: str, pred: str, kinds: Sequence[str]) -> DataFrame:
-    """F11 on flat ``(n x kinds)`` arrays: one row per kind."""
+def tag_accuracy(df: DataFrame, gold: str, pred: str, kinds: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """F11 on flat ``(n x kinds)`` arrays: one row per kind (and ``by``)."""
     width = len(kinds)
     hits = F.zip_with(
         F.col(gold), F.col(pred), lambda g, p: F.when(g == 0, 0).when(g == p, 3).otherwise(1)
@@ -184,7 +184,7 @@ def tag_accuracy(df: DataFrame, gold: str, pred: str, kinds: Sequence[str]) -> D
         )
 
     per_kind = [of_kind(k, kind) for k, kind in enumerate(kinds)]
-    sums = marked.select(F.inline(F.array(*per_kind))).groupBy("kind").agg(
+    sums = marked.select(*by, F.inline(F.array(*per_kind))).groupBy(*by, "kind").agg(
         F.sum("labels").alias("labels"), F.sum("hits").alias("hits")
     )
     return sums.withColumn("accuracy", F.col("hits") / F.greatest(F.col("labels"), F.lit(1)))

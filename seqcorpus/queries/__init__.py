@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .base import ORACLES, QUERIES
-from . import corpus, encoding, evaluation, files, lexemes, placement, selection  # noqa: F401
+from . import corpus, encoding, evaluation, files, jobs, lexemes, placement, selection  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

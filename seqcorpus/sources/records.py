@@ -1,4 +1,4 @@
-"""Text sources (A1, A2, A18, A19, A23, D6). Compressed files are recognised by name."""
+"""Text sources (A1, A2, A18, A19, A23, D6, H4) and their writer (A20-A22). Compressed files are recognised by name."""
 
 from __future__ import annotations
 
@@ -177,4 +177,39 @@ def parse_debug_table(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def read_debug_table(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """A19 over files: (comment, chars) of every record."""
     return parse_debug_table(read_records(spark, paths))
+
+
+def write_records(df: DataFrame, path: str, record: str = "value", compression: str = "gzip") -> None:
+    """Records that end in the mark (``decode.token_lines``, ``decode.debug_lines``: A20, A21), one file per partition.
+
+    :func:`read_records` gives them back; the order inside a partition is kept. A null record is not written.
+    """
+    rows = df.select(F.col(record).cast("string").alias("value")).filter(F.col("value").isNotNull())
+    rows.write.text(path, compression=compression)
+
+
+def source_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(source, path, bytes) of the files that ``paths`` (folders or glob patterns) name, numbered from 0 in name order.
+
+    The scan reads no content. One row per file, so the numbering's single task holds names only.
+    """
+    found = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
+    named = found.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes")).distinct()
+    place = (F.row_number().over(W.orderBy("path")) - 1).cast("bigint").alias("source")
+    return named.select(place, "path", "bytes")
+
+
+def read_sources(spark: SparkSession, paths: str | Sequence[str], parallel: int = 1) -> DataFrame:
+    """H4: (turn, source, path, line_no, value): the lines of all files of a pattern, files in name order.
+
+    ``turn`` orders a reader that has ``parallel`` files open and takes a line of each in turn: files are opened
+    ``parallel`` at a time, and order is by (turn, line_no, source). With 1 that is file after file. Every file is read
+    where it lies, in splits; empty files are numbered but have no line.
+    """
+    if parallel < 1:
+        raise ValueError("at least one file must be open")
+    files = materialise(source_files(spark, paths), "sources").select("source", "path")
+    turn = F.call_function("div", F.col("source"), F.lit(parallel).cast("bigint")).alias("turn")
+    return numbered_lines(spark, paths).join(files, "path").select(turn, "source", "path", "line_no", "value")
