@@ -186,14 +186,14 @@ def write_records(df: DataFrame, path: str, record: str = "value", compression:
 
     :func:`read_records` gives them back; the order inside a partition is kept. A null record is not written.
     """
-    rows = df.select(F.col(record).cast("string").alias("value")).filter(F.col("value").isNotNull())
-    rows.write.text(path, compression=compression)
+    kept = F.array_compact(F.array(F.col(record).cast("string")))  # a filter would compute a costly record again
+    df.select(F.explode(kept).alias("value")).write.text(path, compression=compression)
 
 
 def source_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(source, path, bytes) of the files that ``paths`` (folders or glob patterns) name, numbered from 0 in name order.
 
-    The scan reads no content. One row per file, so the numbering's single task holds names only.
+    Spark's scan passes over empty files, so they get no number. It reads no content. One row per file, so the numbering's single task holds names only.
     """
     found = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
     named = found.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes")).distinct()
@@ -206,7 +206,7 @@ def read_sources(spark: SparkSession, paths: str | Sequence[str], parallel: int
 
     ``turn`` orders a reader that has ``parallel`` files open and takes a line of each in turn: files are opened
     ``parallel`` at a time, and order is by (turn, line_no, source). With 1 that is file after file. Every file is read
-    where it lies, in splits; empty files are numbered but have no line.
+    where it lies, in splits.
     """
     if parallel < 1:
         raise ValueError("at least one file must be open")
