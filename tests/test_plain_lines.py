@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seqcorpus import fixtures as fx
 from seqcorpus.functions.arrays import distinct_structs
 from seqcorpus.operators import lattice, node_lines
+from seqcorpus.sources import scratch
 
 
 def line(**changed):
@@ -54,3 +55,12 @@ def test_node_texts_lower_and_place():
 def test_distinct_keys_without_all_pairs(spark):
     df = spark.sql("""SELECT from_json('[{"x":"b"},{"x":"a","y":"1"},{"x":"b"},{"x":"a"},{"x":"a","y":"1"}]', 'array<struct<x:string,y:string>>') AS k""")
     assert [tuple(r) for r in df.select(distinct_structs(F.col("k")).alias("d")).first()["d"]] == [("a", None), ("a", "1"), ("b", None)]
+
+
+def test_pieces_of_a_scan_grow_with_it(spark, tmp_path, monkeypatch):
+    spark.range(5000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert scratch.spread(docs, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(scratch, "SPREAD_ROWS", 100)
+    pieces = scratch.spread(docs, "doc_id")
+    assert pieces.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and pieces.count() == 5000
