@@ -64,3 +64,13 @@ def test_pieces_of_a_scan_grow_with_it(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "SPREAD_ROWS", 100)
     pieces = scratch.spread(docs, "doc_id")
     assert pieces.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and pieces.count() == 5000
+
+
+def test_tokens_compute_only_the_kinds_that_are_named(spark, tmp_path):
+    spark.createDataFrame([(1, " Ab  12,\n\nx"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = fx.tokens(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in rows.collect()) == [
+        (1, 1, 1, "Ab", 2, "word", "plain", "cap", "short"), (1, 1, 2, "12,", 3, "mixed", "punct", "low", "short"),
+        (1, 3, 1, "x", 1, "word", "plain", "low", "short")]
+    plan = rows.select("surface", "cform")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "aggregate(" not in plan
