@@ -134,3 +134,13 @@ def test_evaluation_job_over_example_files(spark, tmp_path):
     assert len(lines) == 2 * 11 and "dev\tseg/f1\t1.0" in lines and "test\tseg/acc\t1.0" in lines
     with pytest.raises(ValueError):
         evaluation.run(spark, {}, ["seg"], lambda df: df, str(tmp_path / "no"))
+
+
+def test_requests_are_numbered_without_their_codes(spark, tmp_path, monkeypatch):
+    dealt = []
+    positions = decoding.positions
+    monkeypatch.setattr(decoding, "positions", lambda df, *a, **k: dealt.append(df.columns) or positions(df, *a, **k))
+    path = write(tmp_path / "in", a="# one\nab\n𠮷abc\n")
+    got = decoding.requests(spark, path, spark.createDataFrame(CHARS, "ch string, id int"), 2).orderBy("line_no").collect()
+    assert dealt == [["path", "line_no", "comment", "raw", "length"]]
+    assert [(r["length"], r["width"], len(r["codes"])) for r in got] == [(4, 6, 4), (6, 6, 6)]
