@@ -60,3 +60,14 @@ def test_tags_of_large_and_null_ids(spark, tmp_path):
     assert got == {k: (g, flipped(*k, g)) for k, g in want.items()}
     cells = fx.tagged_chars(spark, str(tmp_path)).filter(F.col("line_no") == 1).collect()
     assert [tuple(r)[2:] for r in cells if r["doc_id"] == 1 << 62] == [(1, "é", 1), (2, "𠮷", 2), (3, "b", 3), (4, "c", 1)]
+
+
+def test_keys_are_made_of_counted_surfaces(spark, tmp_path):
+    spark.createDataFrame([(1, "Ab x Ab,\nAb Ab,"), (1, "x 12"), (2, None)], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    rows = fx.token_counts(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [
+        ("Ab", "ab", "ab", "word", "plain", "cap", "short", 2), ("Ab,", "ab,", "ab,", "mixed", "punct", "cap", "short", 2),
+        ("x", "x", "x", "word", "plain", "low", "short", 2)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().index("RLIKE") < plan.index("Aggregate")
