@@ -1,5 +1,6 @@
 """Plain lattice lines by Arrow batch, and distinct structs without comparing all pairs."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -36,6 +37,35 @@ def test_only_plain_sentences_are_built_by_batch(spark):
     assert rows[4]["nodes"][0]["feature_score"] == 1000.0 and rows[5]["nodes"] == rows[6]["nodes"] == []
 
 
+def test_lines_and_fields_are_places_in_the_bytes():
+    texts = pa.array(["skipped", "a\tÄb\n", "", "12;-3\n\n語"]).slice(1)
+    data, offsets = node_lines.parts_of(texts)
+    assert bytes(data).decode() == "a\tÄb\n12;-3\n\n語" and offsets[0] == 0
+    newlines, tabs = node_lines.marks_of(data, "\n", "\t")
+    begin, end, owner = node_lines.cut(offsets[:-1], offsets[1:], newlines)
+    assert node_lines.texts_at(data, begin, end).to_pylist() == ["a\tÄb", "", "", "12;-3", "", "語"] and owner.tolist() == [0, 0, 1, 2, 2, 2]
+    words = node_lines.words_of(data)
+    assert node_lines.begins(words, begin, end, "語").tolist() == [5] and node_lines.begins(words, begin, end, "a\tÄbc").tolist() == []
+    data = np.frombuffer("7-12-1234567890x1".encode(), np.uint8)
+    value, good = node_lines.numbers(data, np.array([0, 1, 4, 5, 15, 17, 1]), np.array([1, 4, 5, 15, 17, 17, 2]))
+    assert good.tolist() == [True, True, False, False, False, False, False] and value[:2].tolist() == [7, -12]
+
+
+def test_odd_sentences_between_plain_ones(spark):
+    odd = ["特徴量スコア:1x|ランク:1", "特徴量スコア:1.5|特徴量スコア:2.5|ランク:1", "ランク:1;x", "ランク:1234567890", "ランク:", "x\tmore"]
+    texts = [None if i % 5 == 4 else f"# {i}\n{line(f1=str(i))}\n{line(f17=odd[i % 6])}\nEOS" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").coalesce(1)
+    rows = lattice.parse_lattice(df).orderBy("i").collect()
+    for i, r in enumerate(rows):
+        if i % 5 == 4:
+            assert (r["comment"], r["nodes"], r["reason"]) == (None, [], None)
+            continue
+        assert (r["comment"], r["reason"]) == (f"# {i}", "bad_number" if i % 6 in (0, 2) else None)
+        if not r["reason"]:
+            assert r["nodes"][0]["node_id"] == i and r["nodes"][0]["ranks"] == [1, 2] and r["nodes"][1]["ranks"] == {1: [1], 3: [1234567890]}.get(i % 6, [])
+            assert i % 6 != 1 or r["nodes"][1]["feature_score"] == 2.5
+
+
 def test_batches_are_cut_by_bytes():
     batch = pa.RecordBatch.from_pydict({"i": pa.array(range(6)), "raw": pa.array(["aaaa", None, "bbbbbbbbbbbb", "", "c", "dddd"])})
     parts = list(node_lines.slices(batch, "raw", 8))
