@@ -141,3 +141,18 @@ def test_augmentation(spark):
     sure = encode.Augment(unk_prob=1.0, zen2han_prob=1.0)
     row = encode_sentences(lattice.best_path(parsed), chars, tags, ["sid"], augment=sure).first()
     assert row["codes"] == [2, 4, 1, 1, 3] and row["chars"] == [2, 1, 5, 6, 3]
+
+
+def test_counts_of_a_batch_without_a_row_per_character(spark):
+    kind = "nodes array<struct<surface:string,pos:string,subpos:string,ctype:string,cform:string,ranks:array<int>,node_id:int>>"
+    rows = [
+        ([("aé𠮷a", "p", "s", "c", None, [1], 1), ("zz", "p", "s", "c", "f", [2], 2), None],),
+        ([(None, "q", "s", "c", "f", [2, 1], 1), ("b", "q", "s", "c", "f", [1], 2)],), (None,), ([],),
+        ([("", "p", "s", "c", "f", [1], 1), (None, "p", "s", "c", "f", None, 1), ("ab", "p", "s", "c", "f", [None], 1)],),
+    ]
+    counts = vocab.feature_counts(spark.createDataFrame(rows, kind).coalesce(1))
+    assert {(r["kind"], r["value"]): r["cnt"] for r in counts.collect()} == {
+        ("cpt", "a"): 2, ("cpt", "é"): 1, ("cpt", "𠮷"): 1, ("pos", "p"): 5, ("pos", None): 1, ("subpos", "s"): 5, ("subpos", None): 1,
+        ("conjtype", "c"): 5, ("conjtype", None): 1, ("conjform", "f"): 4, ("conjform", None): 2}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and counts.schema.simpleString() == "struct<kind:string,value:string,cnt:bigint>"
