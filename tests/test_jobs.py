@@ -144,3 +144,18 @@ def test_requests_are_numbered_without_their_codes(spark, tmp_path, monkeypatch)
     got = decoding.requests(spark, path, spark.createDataFrame(CHARS, "ch string, id int"), 2).orderBy("line_no").collect()
     assert dealt == [["path", "line_no", "comment", "raw", "length"]]
     assert [(r["length"], r["width"], len(r["codes"])) for r in got] == [(4, 6, 4), (6, 6, 6)]
+
+
+def test_words_meet_a_large_vocabulary_without_their_other_columns(spark, monkeypatch):
+    from seqcorpus.operators import lexeme
+
+    words = spark.createDataFrame(
+        [(1, 1, "b", "動詞", "*", 2, 1), (1, 2, "x", "名詞", "数詞", 0, 0), (2, 1, None, None, None, 0, 0)],
+        "doc_id int, tok_no int, word string, pos string, subpos string, category int, conjugation int")
+    vocab = spark.createDataFrame([("b", 0)], "word string, id bigint")
+    conjugations = spark.createDataFrame([(2 << 16 | 1, 0)], "pos_key int, id int")
+    seen, lookup_join = [], lexeme.lookup_join
+    monkeypatch.setattr(lexeme, "lookup_join", lambda df, entries, on, *rest: (seen.append((on[0], df.columns)), lookup_join(df, entries, on, *rest, broadcast_bytes=0))[1])
+    rows = lexeme.lexeme_ids(words, vocab, conjugations, 1, ["doc_id"])
+    assert {r["doc_id"]: r["ids"] for r in rows.collect()} == {1: [2, 14, 13, 6, 3], 2: [2, 4, 3]}
+    assert dict(seen)["__word"] == ["doc_id", "tok_no", "__word", "__rule", "conj_id"]
