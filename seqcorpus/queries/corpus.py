@@ -81,7 +81,8 @@ def lattice_scores(spark, sf):
             F.size(F.flatten(F.transform(lattice.score_details(n), lambda d: d["lm"]))).alias("lm_scores"),
         ),
     )
-    return fx.sentences(spark, sf).select(*SID, F.inline(rows))
+    fields = ("node_id", "feature_score", "lm_score", "analysis_score", "ranks")
+    return fx.sentences(spark, sf, fields).select(*SID, F.inline(rows))
 
 
 @query("bad_records", """
