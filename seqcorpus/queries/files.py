@@ -33,7 +33,7 @@ def write_dumps(spark, sf, compression: str = "gzip") -> str:
 SELECT '# S-ID:' || doc_id || '-' || line_no AS comment, count(*) AS nodes, sum(n)::BIGINT AS chars
 FROM nodes GROUP BY doc_id, line_no""", ("nodes",))
 def records_roundtrip(spark, sf):
-    good, _ = lattice.quarantine(lattice.parse_lattice(records.read_records(spark, write_dumps(spark, sf))))
+    good, _ = lattice.quarantine(lattice.parse_lattice(records.read_records(spark, write_dumps(spark, sf)), fields=("surface",)))
     chars = F.aggregate("nodes", F.lit(0).cast("bigint"), lambda a, n: a + F.length(n["surface"]))
     return good.select("comment", F.size("nodes").cast("bigint").alias("nodes"), chars.alias("chars"))
 
@@ -106,7 +106,7 @@ def vocab_tsv(spark, sf):
 
 def write_dictionaries(spark, sf) -> str:
     base = scratch_path(spark, "dicts")
-    dicts.write_dicts(*dictionary.dictionaries(fx.sentences(spark, sf)), base)
+    dicts.write_dicts(*dictionary.dictionaries(fx.sentences(spark, sf, lattice.COUNT_FIELDS)), base)
     return base
 
 
