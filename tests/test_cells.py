@@ -1,13 +1,15 @@
 """Characters by Arrow batch against expressions and plain Python, and what their plans hold."""
 
+import hashlib
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seqcorpus.functions import hashing
-from seqcorpus.operators import cells, decode, encode, lookup
+from seqcorpus.operators import cells, decode, encode, lookup, masking
 from seqcorpus.sources import records
 
 KINDS = encode.TAG_KINDS
@@ -151,3 +153,39 @@ def test_codes_of_texts_and_paths(spark):
         assert r["t"] == (None if text is None else [ids.get(c, 7 if c > "Ä" else 1) for c in text])
         assert r["p"] == (None if text is None or r["id"] == 99 else [2, *[ids.get(c, 1) for c in text], 4, 3])
     assert "lambdafunction" not in plan_of(rows)
+
+
+def test_digests(monkeypatch):
+    texts = ["", "a", "ü" * 20, "x" * 55, "x" * 56, "y" * 200, *[f"1:{i}:{i * i}:char" for i in range(500)]]
+    for most in (1 << 14, 7):
+        monkeypatch.setattr(cells, "_MD5_TEXTS", most)
+        first, second = cells.md5_words(pa.array(["skipped", *texts]).slice(1))
+        assert [f"{a:08x}{b:08x}" for a, b in zip(first, second)] == [hashlib.md5(t.encode()).hexdigest()[:16] for t in texts]
+
+
+def test_mask_plan(spark):
+    draw = random.Random(4)
+    rows = []
+    for i in range(80):
+        edges = sorted(draw.choices(range(60), k=i % 9 + 1))
+        rows.append((None if i == 5 else i, f"k{i}" * (30 if i % 7 == 0 else 1), [{"start": a, "end": b} for a, b in zip(edges, edges[1:])]))
+    df = spark.createDataFrame([*rows, (99, "none", None)], "a int, b string, path array<struct<start: int, end: int>>")
+    plans = df.select("b", masking.mask_plan(F.col("path"), ["a", "b"], 3).alias("plan"))
+
+    def digest(a, b, place, salt):
+        bits = hashlib.md5(":".join(["3", *[str(k) for k in (a, b) if k is not None], str(place), salt]).encode()).hexdigest()
+        return int(bits[:8], 16) / 2**32, int(bits[8:16], 16) / 2**32
+
+    def op(u):
+        return 1 if u < 0.1 else 2 if u < 0.2 else 3
+
+    expected = {"none": None}
+    for a, b, path in rows:
+        plan = []
+        for n in path:
+            u, v = digest(a, b, n["start"], "token")
+            chars = [digest(a, b, p, "char") for p in range(n["start"], n["end"])]
+            plan += [op(v)] * len(chars) if u < masking.TOKEN_PROB else [op(y) if x < masking.CHAR_PROB else 0 for x, y in chars]
+        expected[b] = [0, *plan, 0]
+    assert {r["b"]: r["plan"] for r in plans.collect()} == expected
+    assert "lambdafunction" not in plan_of(plans)
