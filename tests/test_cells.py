@@ -189,3 +189,24 @@ def test_mask_plan(spark):
         expected[b] = [0, *plan, 0]
     assert {r["b"]: r["plan"] for r in plans.collect()} == expected
     assert "lambdafunction" not in plan_of(plans)
+
+
+def test_heads_of_records_are_checked_one_by_one(monkeypatch):
+    from seqcorpus.sources import crc32c, tfrecord
+    import numpy as np
+
+    draw = random.Random(5)
+    for data in [b"", b"123456789", *[draw.randbytes(n) for n in (1, 3, 4, 8, 300)]]:
+        of = np.frombuffer(data, np.uint8)
+        assert crc32c.masked_crc32c_of(data) == int(crc32c.masked_crc32c(of, np.array([0]), np.array([len(data)]))[0])
+    messages = [draw.randbytes(n) for n in (0, 5, 2000) * 30]
+    whole = tfrecord.frame(messages)
+    calls = []
+    monkeypatch.setattr(tfrecord, "masked_crc32c", lambda *a, own=tfrecord.masked_crc32c: calls.append(1) or own(*a))
+    assert [m for g in tfrecord.unframe(iter([whole]), True, "x") for m in g] == messages
+    assert len(calls) == 1  # by vector for a group's messages, not for a record
+    for at, what in ((2, "length"), (9, "length"), (len(whole) - 1, "a record"), (len(whole) - 30, "a record")):
+        bad = bytearray(whole)
+        bad[at] ^= 1
+        with pytest.raises(OSError, match=what):
+            list(tfrecord.unframe(iter([bytes(bad)]), True, "x"))
