@@ -210,3 +210,15 @@ def test_heads_of_records_are_checked_one_by_one(monkeypatch):
         bad[at] ^= 1
         with pytest.raises(OSError, match=what):
             list(tfrecord.unframe(iter([bytes(bad)]), True, "x"))
+
+
+def test_records_are_checked_once(spark, tmp_path):
+    texts = ["", "EOS", "EOS\nEOS\n# c\nx", "x", "x\nEOS", "x\n", "EOS\n", "# VIDEOS", "xEOS", "\n", "EOS\nEOS", "あ\ny"]
+    found = spark.createDataFrame([(t,) for t in texts], "v string").select("v", records.marked_records(F.col("v")).alias("r"))
+    assert {r["v"]: r["r"] for r in found.collect()} == {
+        "": ["EOS"], "EOS": ["EOS"], "EOS\nEOS\n# c\nx": ["EOS", "EOS", "# c\nx\nEOS"], "x": ["x\nEOS"], "x\nEOS": ["x\nEOS"], "x\n": ["x\nEOS"],
+        "EOS\n": ["EOS"], "# VIDEOS": ["# VIDEOS\nEOS"], "xEOS": ["xEOS\nEOS"], "\n": ["EOS"], "EOS\nEOS": ["EOS", "EOS"], "あ\ny": ["あ\ny\nEOS"]}
+    (tmp_path / "a.txt").write_text("x\nEOS\ny\nEOS\n")
+    rows = records.read_records(spark, str(tmp_path))
+    assert sorted(r["raw"] for r in rows.collect()) == ["x\nEOS", "y\nEOS"]
+    assert plan_of(rows).count("validateUTF8String") == 1
