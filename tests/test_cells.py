@@ -222,3 +222,17 @@ def test_records_are_checked_once(spark, tmp_path):
     rows = records.read_records(spark, str(tmp_path))
     assert sorted(r["raw"] for r in rows.collect()) == ["x\nEOS", "y\nEOS"]
     assert plan_of(rows).count("validateUTF8String") == 1
+
+
+@pytest.mark.parametrize("table_bytes", [1 << 20, 0])  # constant table, then the join
+def test_rows_of_characters(spark, table_bytes):
+    nodes = [(0, 3, "x", "y", None, "z"), (3, 4, "y", "x", "x", "x"), (4, 4, "x", "x", "x", "x"), (2, 5, "q", "x", "x", "x")]
+    df = spark.createDataFrame([(1, nodes), (2, []), (3, None)], "sid int, nodes array<struct<start: int, end: int, " + ", ".join(f"{k}: string" for k in KINDS) + ">>")
+    tags = spark.createDataFrame([(k, t, i) for k in KINDS for i, t in enumerate("xy", 1)], "kind string, tag string, id int")
+    df, tables = lookup.tag_ids(df, tags, KINDS, ["sid"], table_bytes=table_bytes)
+    rows = df.select("sid", F.inline(encode.char_tag_rows(F.col("nodes"), tables)))
+    assert rows.columns == ["sid", "at", "seg", *KINDS]
+    assert sorted(tuple(r) for r in rows.collect()) == sorted([
+        (1, 0, 1, 1, 2, 0, 0), (1, 1, 2, 1, 2, 0, 0), (1, 2, 3, 1, 2, 0, 0), (1, 3, 1, 2, 1, 1, 1),
+        (1, 2, 1, 0, 1, 1, 1), (1, 3, 2, 0, 1, 1, 1), (1, 4, 3, 0, 1, 1, 1)])
+    assert "namedlambdavariable" not in plan_of(rows).lower() and ("lambdafunction" not in plan_of(rows) or not table_bytes)
